@@ -74,24 +74,24 @@ def exclusive_prefix(df: DataFrame, key: str, size: str, out: str = "offset") ->
     )
 
 
-def _carry_lag(blocks: DataFrame, group: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy("_b")
-    return blocks.withColumn("_carry", F.lag(value).over(w))
-
-
-def grouped_lag(df: DataFrame, group: list[str], key: str, out: str, span: int = 1 << 16) -> DataFrame:
-    """Previous ``key`` inside ``group`` where one group may hold most of the rows.
+def grouped_lag(
+    df: DataFrame, group: list[str], key: str, out: str, value: str | None = None, span: int = 1 << 16
+) -> DataFrame:
+    """Previous ``value`` (default: the key) by ``key`` inside ``group``.
 
-    Windows run over (group, key div span), at most ``span`` rows each since keys
-    are distinct integers; the first row of a block takes the largest key of the
-    previous non-empty block of its group.
+    One group may hold most of the rows: windows run over (group, key div span),
+    at most ``span`` rows each since keys are distinct integers, and the first row
+    of a block takes the last value of the previous non-empty block of its group.
     """
+    value = value or key
     b = df.withColumn("_b", F.floor(F.col(key) / span).cast("bigint"))
     inner = Window.partitionBy(*group, "_b").orderBy(key)
-    tops = b.groupBy(*group, "_b").agg(F.max(key).alias("_top"))
-    carried = _carry_lag(tops, group, "_top").select(*group, "_b", "_carry")
+    lasts = b.groupBy(*group, "_b").agg(F.max_by(value, key).alias("_last"))
+    carried = lasts.select(
+        *group, "_b", F.lag("_last").over(Window.partitionBy(*group).orderBy("_b")).alias("_carry")
+    )
     return (
-        b.withColumn("_prev", F.lag(key).over(inner))
+        b.withColumn("_prev", F.lag(value).over(inner))
         .join(carried, [*group, "_b"])
         .withColumn(out, F.coalesce("_prev", "_carry"))
         .drop("_b", "_prev", "_carry")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.session import spread
+
 
 class Order(IntEnum):
     IDENTITY = 0
@@ -122,4 +124,4 @@ def order_parts(parts: DataFrame, local_edges: DataFrame, how: Order) -> DataFra
         return group.assign(src_slot=slot[src], dst_slot=ends)
 
     schema = "part bigint, src bigint, dst bigint, dist double, src_slot int, dst_slot int"
-    return rows.groupBy("part").applyInPandas(run, schema)
+    return spread(rows, "part").groupBy("part").applyInPandas(run, schema)

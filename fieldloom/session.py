@@ -71,3 +71,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly spark.sql.shuffle.partitions tasks.
+
+    For groups that are heavy on CPU but small in bytes: adaptive execution would
+    merge them into few tasks, and it leaves an explicit partition count alone.
+    The grouped operator that follows reuses this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
