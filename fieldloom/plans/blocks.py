@@ -31,14 +31,21 @@ _BLOB_ARROW = pa.schema(
 
 
 def lay_out_mesh(
-    positions: DataFrame, edges: DataFrame, part_size: int, order: traverse.Order
+    positions: DataFrame,
+    edges: DataFrame,
+    part_size: int,
+    order: traverse.Order,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """(part, slot, vid, pos, nbr_slots, nbr_raw): the mesh ready for block jobs.
 
     Built once and reused by every field, step and method. Coordinates are
     centred per part; neighbours are the causal part-local ones, nearest first.
+    ``parts`` (vid, part) overrides the space-filling curve, e.g. for id ranges.
     """
-    parts = materialize(partition.assign_parts(positions, part_size), "parts")
+    if parts is None:
+        parts = partition.assign_parts(positions, part_size)
+    parts = materialize(parts, "parts")
     local = adjacency.within_parts(edges, parts)
     rows = materialize(
         traverse.order_parts(parts, neighbours.with_distance(local, positions), order), "ordered"
