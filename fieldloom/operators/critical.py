@@ -23,23 +23,28 @@ def gather_corners(cells: DataFrame, vectors: DataFrame, positions: DataFrame |
     )
 
 
-# Long formulas go through named columns step by step: the optimizer keeps a
-# projection whose columns are used more than once, so nothing is evaluated twice
-# and the generated code stays small.
+def _settle(rows: DataFrame) -> DataFrame:
+    """Evaluate the columns so far exactly once.
+
+    Long formulas reuse intermediate columns many times. A one-element explode is
+    a boundary the optimizer neither inlines projections nor pushes filters
+    through, so each step stays small enough to be compiled.
+    """
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
 
 
 def _with_weights(rows: DataFrame) -> tuple[DataFrame, list, list, object, list, object]:
     """Add corner weights to rows with columns u0..w3; returns the handles too."""
     p = [tuple(F.col(f"{n}{i}") for n in "uvw") for i in range(4)]
     terms, last = tetra.face_terms(p)
-    rows = rows.withColumns(
+    rows = _settle(rows).withColumns(
         {f"e{i}{c}": terms[i][c] for i in range(3) for c in range(3)} | {"m3": last}
     )
     terms = [tuple(F.col(f"e{i}{c}") for c in range(3)) for i in range(3)]
     m, _ = tetra.totals(terms, F.col("m3"))
     rows = rows.withColumns({f"m{i}": m[i] for i in range(3)})
     m = [F.col(f"m{i}") for i in range(4)]
-    rows = rows.withColumn("m", m[0] + m[1] + m[2] + m[3])
+    rows = _settle(rows.withColumn("m", m[0] + m[1] + m[2] + m[3]))
     return rows, p, terms, F.col("m3"), m, F.col("m")
 
 
@@ -57,7 +62,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
     tr(adj(U) X) / det X, determinant = det U / det X. Roots in closed form.
     """
     edges = {f"d{n}{i}": F.col(f"{n}{i}") - F.col(f"{n}3") for n in "uvwxyz" for i in range(3)}
-    rows = rows.withColumns(edges)
+    rows = _settle(rows.withColumns(edges))
     ex = [tuple(F.col(f"d{n}{i}") for n in "xyz") for i in range(3)]
     ep = [tuple(F.col(f"d{n}{i}") for n in "uvw") for i in range(3)]
     pairs = ((1, 2), (2, 0), (0, 1))
@@ -66,7 +71,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
         for i, (a, b) in enumerate(pairs):
             for axis, value in enumerate(tetra.cross(e[a], e[b])):
                 cof[f"{tag}{i}{axis}"] = value
-    rows = rows.withColumns(cof)
+    rows = _settle(rows.withColumns(cof))
     cx = [tuple(F.col(f"cx{i}{a}") for a in range(3)) for i in range(3)]
     cp = [tuple(F.col(f"cp{i}{a}") for a in range(3)) for i in range(3)]
 
@@ -82,6 +87,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
             "pd": -F.try_divide(tetra.dot(ep[0], cp[0]), det_x),
         }
     )
+    rows = _settle(rows)
     b, c, d = F.col("pb"), F.col("pc"), F.col("pd")
     rows = rows.withColumns(
         {"cq": (3.0 * c - b * b) / 9.0, "cr": (-27.0 * d + b * (9.0 * c - 2.0 * b * b)) / 54.0}
@@ -98,6 +104,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
             "angle": F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))),
         }
     )
+    rows = _settle(rows)
     s, angle = F.col("s"), F.col("angle")
     two_complex = (shift + s < 0).cast("int") + 2 * (shift - s / 2.0 < 0).cast("int")
     three_real = sum(
