@@ -11,7 +11,9 @@ from fieldloom.catalogue.registry import (
     CORNERS, DIST, EDGES, PART_SIZE, POS, STATIC, TETS, WEIGHTS, near_cte, parts_cte, query, with_,
 )
 from fieldloom.functions import scalars
-from fieldloom.operators import adjacency, masks, neighbours, ranking, regions, regression, stats, traverse
+from fieldloom.operators import (
+    adjacency, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
+)
 from fieldloom.plans import blocks
 from fieldloom.session import materialize
 from fieldloom.sources import tables
@@ -537,14 +539,53 @@ def huffman_code(spark, sf):
 
     h = stats.symbol_histogram(mq.coded(spark, sf), [])
     table = materialize(code_table(h), "codes")
+    f = F.col("freq").cast("double")
     sums = table.agg(
         F.count(F.lit(1)).alias("symbols"),
         F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("kraft"),
         F.sum(F.col("freq") * F.col("length")).alias("coded"),
         F.sum("freq").alias("n"),
+        (F.sum(f) * F.log2(F.sum(f)) - F.sum(f * F.log2(f))).alias("bits"),
     )
-    bits = stats.entropy_bits(h, []).select("bits")
-    return sums.join(F.broadcast(bits)).select(
+    return sums.select(
         "symbols", (F.abs(F.col("kraft") - 1) < 1e-9).alias("kraft_equality"),
         ((F.col("coded") >= F.col("bits") - 1e-6) & (F.col("coded") < F.col("bits") + F.col("n"))).alias("within_one_bit"),
     )
+
+
+@query()
+def predictor_shares(spark, sf):
+    """Share of samples on the regression, kriging and interpolation predictor."""
+    blobs = [encoded(spark, sf, n) for n in ("adaptive-fit", "kriging", "adaptive-interp")]
+    return blocks.shares(blobs[0].unionByName(blobs[1]).unionByName(blobs[2]))
+
+
+PAIRS = with_(EDGES, POS, DIST, near_cte(4), STATIC) + """, lists AS (
+  SELECT n.src, n.rn, n.dst, CAST(f.val AS DOUBLE) AS v, p.x, p.y, count(*) OVER (PARTITION BY n.src) AS m
+  FROM near n JOIN field f ON f.vid = n.dst JOIN pos p ON p.vid = n.dst)"""
+
+
+def variogram_lists(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(mq.distances(spark, sf).where("dst < src"), 4)
+    return variogram.neighbour_lists(near, tables.positions(spark, sf), mq.field(spark, sf))
+
+
+@query(PAIRS + """SELECT a.src, CAST(a.rn - 1 AS INTEGER) AS j, CAST(b.rn - 1 AS INTEGER) AS k,
+  round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS lag,
+  round((a.v - b.v) * (a.v - b.v) / 2, 3) AS half
+FROM lists a JOIN lists b ON a.src = b.src AND a.rn < b.rn WHERE a.m >= 3""")
+def semivariogram_pairs(spark, sf):
+    """Lag and half squared difference of all pairs of a vertex's four neighbours."""
+    return variogram.semivariogram_pairs(variogram_lists(spark, sf)).select(
+        "src", "j", "k", F.round("lag", 6).alias("lag"), F.round("half", 3).alias("half")
+    )
+
+
+@query(PAIRS + "SELECT src, CAST(m AS INTEGER) AS m, true AS unbiased FROM lists WHERE m >= 3 GROUP BY ALL")
+def kriging_weights(spark, sf):
+    """Ordinary-kriging weights of every vertex: they sum to one where the system is usable."""
+    w = variogram.weights_per_vertex(variogram_lists(spark, sf), 20)
+    total = F.aggregate("lambda", F.lit(0.0), lambda a, b: a + b)
+    return w.select(
+        "src", F.size("ids").alias("m"), (~F.col("usable") | (F.abs(total - 1) < 1e-6)).alias("unbiased")
+    )

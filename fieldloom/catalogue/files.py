@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalogue import fields as fq
 from fieldloom.catalogue import mesh as mq
-from fieldloom.catalogue.registry import POS, STATIC, parts_cte, query, with_
-from fieldloom.operators import traverse
-from fieldloom.plans import blocks, transform
+from fieldloom.catalogue import vectors as vq
+from fieldloom.catalogue.registry import DIST, EDGES, POS, STATIC, parts_cte, query, with_
+from fieldloom.operators import adjacency, components, critical, neighbours, traverse
+from fieldloom.plans import blocks, reorder, transform
 from fieldloom.session import scratch_dir
 from fieldloom.sources import artefacts, rawarray, tables
 from fieldloom.streaming.masks import stream_mask_changes
@@ -134,3 +135,38 @@ def part_tables(spark, sf):
     return again.groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == F.count_distinct("vid")).alias("bijective")
     )
+
+
+@query(with_(EDGES, POS, DIST) + """SELECT CAST(count(*) AS BIGINT) AS edges, round(sum(dist), 2) AS length,
+  (SELECT CAST(count(*) AS BIGINT) FROM part) AS vertices, true AS dense_ids FROM dists""")
+def reordered_mesh(spark, sf):
+    """Positions, cells and field renumbered by part and visiting order: same mesh, new ids."""
+    order = reorder.order_from_layout(fq.block_mesh(spark, sf))
+    pos, cells, f = reorder.reorder_mesh(
+        tables.positions(spark, sf), tables.tets(spark, sf), mq.field(spark, sf), order
+    )
+    lengths = neighbours.with_distance(adjacency.from_cells(cells, 4), pos)
+    ids = f.agg(
+        F.count(F.lit(1)).alias("vertices"),
+        ((F.min("vid") == 0) & (F.max("vid") == F.count_distinct("vid") - 1)).alias("dense_ids"),
+    )
+    one = lengths.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("dist"), 2).alias("length"))
+    return one.withColumn("k", F.lit(0)).join(ids.withColumn("k", F.lit(0)), "k").drop("k")
+
+
+@query(with_(vq.TETS, vq.CORNERS, vq.VECTORS, vq.PLACES, vq.gather_sql(), vq.FOUND) + "SELECT cid FROM found")
+def critical_point_table(spark, sf):
+    """Critical points of the original field kept as a table and reused."""
+    path = folder(spark, "critical-points")
+
+    def build():
+        return critical.extract(tables.tets(spark, sf), vq.vectors(spark, sf), tables.positions3(spark, sf))
+
+    artefacts.reuse_or_build(spark, path, build)
+    return artefacts.reuse_or_build(spark, path, build).select("cid")
+
+
+@query()
+def breadth_first_order(spark, sf):
+    """Exact breadth-first queue order over the whole mesh."""
+    return components.breadth_first_order(tables.positions(spark, sf).select("vid"), mq.edges(spark, sf))

@@ -70,6 +70,7 @@ class Writer:
         self.x, self.eb = x.astype(np.float32), np.asarray(eb, float)
         self.q = np.zeros(x.shape, np.int32)
         self.notes: list[bytes] = []
+        self.facts: dict[str, float] = {}
         self.shape = x.shape
 
     def code(self, rows, pred, cols=slice(None), scale: float = 1.0) -> np.ndarray:
@@ -102,6 +103,7 @@ class Reader:
     def __init__(self, payload: bytes, shape: tuple[int, int], eb: np.ndarray):
         symbols, raw, *self.notes = entropy.unpack(payload)
         self.shape, self.eb = shape, np.asarray(eb, float)
+        self.facts: dict[str, float] = {}
         self.q = entropy.huffman_decode(symbols).reshape(shape)
         self.raw = np.zeros(shape, np.float32)
         self.raw[self.q == 0] = np.frombuffer(raw, np.float32)
@@ -149,6 +151,7 @@ def scan_neighbours(job: Job, coder, cols=None, scale: float = 1.0) -> np.ndarra
 def scan_fitted(job: Job, coder) -> np.ndarray:
     """Regression for flagged columns (no dependency at all), neighbours for the rest."""
     flagged = job.fit[:, 0] > 0
+    coder.facts["regression_share"] = float(flagged.mean())
     dec = np.zeros(coder.shape, np.float32)
     rows = np.arange(job.mesh.n)
     fitted = np.flatnonzero(flagged)
@@ -190,6 +193,7 @@ def scan_kriged(job: Job, coder) -> np.ndarray:
     count = (w > 0).sum(1)
     lam = w.copy()
     fewest = max(int(job.options["min_neighbors"]), 3)
+    coder.facts["kriging_share"] = float((count >= fewest).mean())
     dec = np.zeros(coder.shape, np.float32)
     order = fronts(nbr, w > 0)
     head, tail = np.arange(1), np.arange(1, coder.shape[1])
@@ -274,6 +278,7 @@ def scan_adaptive(job: Job, coder) -> np.ndarray:
         return np.packbits(np.asarray(by_nbr) <= np.asarray(by_interp))
 
     flags = np.unpackbits(coder.note(choose), count=coder.shape[1]).astype(bool)
+    coder.facts["interpolation_share"] = float((~flags).mean())
     dec = np.zeros(coder.shape, np.float32)
     for cols, scan in ((np.flatnonzero(flags), "nbr"), (np.flatnonzero(~flags), "interp")):
         if len(cols):

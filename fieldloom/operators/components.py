@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.ranking import with_rank
 from fieldloom.session import materialize
 
 
@@ -47,9 +48,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .join(hooks, "vid", "left")
             .select("vid", F.least("f", "g", "m", "h").alias("f"))
         )
-        moved = materialize(moved, "cc-moved")
+        moved = moved.persist()  # read by both sides of the self-join, then dropped
         lookup = moved.select(F.col("vid").alias("f"), F.col("f").alias("g"))
         state = materialize(moved.join(lookup, "f").select("vid", "f", "g"), "cc")
+        moved.unpersist()
     # g is constant on every component and no larger than its smallest id
     return state.select("vid", F.col("g").alias("root"))
 
@@ -75,3 +77,34 @@ def breadth_first_levels(vertices: DataFrame, edges: DataFrame, start: int) -> D
         frontier = materialize(fresh, "bfs")
         reached = reached.unionByName(frontier)
     return reached
+
+
+def breadth_first_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vid, level, rank): the exact queue order over the whole mesh.
+
+    A queue visits a level in the order of the parents' positions and, below one
+    parent, in ascending id. So a level is ranked by (smallest parent position,
+    id), and all components advance together; each starts at its smallest id and
+    components follow one another by that id.
+    """
+    roots = materialize(components(vertices, edges), "bfs-roots")
+    frontier = with_rank(roots.where("vid = root").select("vid", "root"), ["root"], "pos")
+    frontier = materialize(frontier.withColumn("level", F.lit(0)), "bfs")
+    reached = frontier
+    while True:
+        level = F.lit(1) + F.col("level")
+        parents = frontier.select(F.col("vid").alias("src"), "root", "level", F.col("pos").alias("parent"))
+        fresh = (
+            edges.join(parents, "src")
+            .groupBy(F.col("dst").alias("vid"))
+            .agg(F.min("parent").alias("parent"), F.first("root").alias("root"), F.first(level).alias("level"))
+            .join(reached.select("vid"), "vid", "left_anti")
+        )
+        fresh = materialize(fresh, "bfs-fresh")
+        if fresh.isEmpty():
+            break
+        frontier = materialize(
+            with_rank(fresh, ["parent", "vid"], "pos").select("vid", "root", "pos", "level"), "bfs"
+        )
+        reached = reached.unionByName(frontier)
+    return with_rank(reached, ["root", "level", "pos"], "rank").select("vid", "level", "rank")

@@ -190,7 +190,7 @@ def compress(
                 {
                     "part": key[0].as_py(), "tb": key[1].as_py(), "var": name, "method": method,
                     "n": x.shape[0], "steps": x.shape[1], "eb": eb.tolist(),
-                    "params": [*params.items(), ("fitted", float(table is not None))],
+                    "params": [*params.items(), ("fitted", float(table is not None)), *writer.facts.items()],
                     "payload": writer.payload(),
                 }
             )
@@ -277,3 +277,14 @@ def ratio(blob: DataFrame, keys: list[str]) -> DataFrame:
     return blob.groupBy(*keys).agg(
         values.alias("samples"), stored.alias("bytes"), (values * 4 / stored).alias("ratio")
     )
+
+
+def shares(blob: DataFrame) -> DataFrame:
+    """(method, share, value): how often a block took the alternative predictor."""
+    sizes = F.col("n").cast("double") * F.col("steps")
+    rows = blob.select("method", sizes.alias("size"), F.explode("params").alias("share", "value"))
+    return (
+        rows.where(F.col("share").endswith("_share"))
+        .groupBy("method", "share")
+        .agg((F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("value"))
+    )

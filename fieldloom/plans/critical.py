@@ -95,7 +95,8 @@ def compress(
         q = np.zeros((n, 3), np.int32)
         for at in fronts(np.where(used, wait, 0), used):
             bound = np.full(n, max_rel)
-            pick = np.flatnonzero(np.isin(own, at))
+            each = first[at + 1] - first[at]
+            pick = np.repeat(first[at] - np.cumsum(each) + each, each) + np.arange(each.sum())
             p = [tuple(dec[turned[pick, c], a].astype(float) for a in range(3)) for c in range(4)]
             terms, last = tetra.face_terms(p)
             m, total = tetra.totals(terms, last)

@@ -58,11 +58,10 @@ def _files(path: str) -> list[tuple[str, int, int]]:
 
 
 @dataclass
-class ByteRange(InputPartition):
-    file: str
-    first: int
-    offset: int
-    rows: int
+class ByteRanges(InputPartition):
+    """(file, first row, byte offset, rows) pieces read by one task."""
+
+    pieces: list[tuple[str, int, int, int]]
 
 
 class RawArrayReader(DataSourceReader):
@@ -72,35 +71,37 @@ class RawArrayReader(DataSourceReader):
         self.width = int(options.get("width", "1"))
         self.task_bytes = int(options.get("taskBytes", str(64 << 20)))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         row = self.dtype.itemsize * self.width
         per_task = max(1, self.task_bytes // row)
-        out = []
+        tasks: list[ByteRanges] = [ByteRanges([])]
+        room = per_task
         for name, size, first in _files(self.path):
             if size % row:
                 raise ValueError(f"{name}: {size} bytes is no multiple of {row}")
-            for at in range(0, size // row, per_task):
-                out.append(ByteRange(name, first + at, at * row, min(per_task, size // row - at)))
-        return out
-
-    def read(self, part: ByteRange):
+            at, rows = 0, size // row
+            while at < rows:  # cut large files, pack small ones
+                n = min(room, rows - at)
+                tasks[-1].pieces.append((name, first + at, at * row, n))
+                at, room = at + n, room - n
+                if room == 0:
+                    tasks.append(ByteRanges([]))
+                    room = per_task
+        return tasks
+
+    def read(self, part: ByteRanges):
         fs, _ = _open(self.path)
         row = self.dtype.itemsize * self.width
-        with fs.open_input_file(part.file) as f:
-            done = 0
-            while done < part.rows:
-                n = min(1 << 16, part.rows - done)
-                data = np.frombuffer(f.read_at(n * row, part.offset + done * row), self.dtype)
-                offsets = np.arange(0, len(data) + 1, self.width, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part.file] * n),
-                        pa.array(np.arange(part.first + done, part.first + done + n)),
-                        pa.ListArray.from_arrays(offsets, pa.array(data)),
-                    ],
-                    names=["file", "idx", "vals"],
-                )
-                done += n
+        for file, first, offset, rows in part.pieces:
+            with fs.open_input_file(file) as f:
+                for done in range(0, rows, 1 << 16):
+                    n = min(1 << 16, rows - done)
+                    data = np.frombuffer(f.read_at(n * row, offset + done * row), self.dtype)
+                    ends = np.arange(0, len(data) + 1, self.width, dtype=np.int32)
+                    name = pa.array([file]).take(pa.array(np.zeros(n, np.int64)))
+                    idx = pa.array(np.arange(first + done, first + done + n))
+                    vals = pa.ListArray.from_arrays(ends, pa.array(data))
+                    yield pa.RecordBatch.from_arrays([name, idx, vals], names=["file", "idx", "vals"])
 
 
 @dataclass
@@ -124,16 +125,17 @@ class RawArrayWriter(DataSourceArrowWriter):
         out, current, expected = None, None, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            names = table.column("file").to_numpy(zero_copy_only=False)
+            coded = table.column("file").combine_chunks().dictionary_encode()
+            names, labels = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             idx = table.column("idx").to_numpy()
             cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(names)]):
                 if lo == hi:
                     continue
-                if names[lo] != current:
+                if labels[names[lo]] != current:
                     if out is not None:
                         out.close()
-                    current, expected = names[lo], int(idx[lo])
+                    current, expected = labels[names[lo]], int(idx[lo])
                     home = f"{folder}/{current}" if current else folder
                     fs.create_dir(home, recursive=True)
                     moves.append((f"{home}/_tmp-{uuid.uuid4().hex}", f"{home}/seg-{expected:018d}"))

@@ -10,6 +10,7 @@ from fieldloom import SENTINEL
 from fieldloom.operators import adjacency, critical, masks, regions, regression, stats, traverse
 from fieldloom.plans import blocks
 from fieldloom.plans import critical as cp
+from fieldloom.plans.workflow import MeshWorkflow
 from fieldloom.session import materialize, scratch_dir
 from fieldloom.sources import artefacts, rawarray
 from fieldloom.streaming.masks import stream_mask_changes
@@ -240,3 +241,24 @@ def test_stream_of_steps_equals_the_batch_form(spark, tmp_path):
 def test_scratch_is_local_only_in_local_mode(spark):
     assert spark.sparkContext.master.startswith("local")
     assert scratch_dir(spark) == scratch_dir(spark)
+
+
+def test_workflow_covers_every_method(spark):
+    n, steps = 40, 4
+    rng = np.random.default_rng(3)
+    pos = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(n)], "vid bigint, pos array<double>")
+    cells = spark.createDataFrame(random_tets(n, 60, 2), "cid bigint, verts array<bigint>")
+    vals = rng.normal(size=(n, steps)).astype(np.float32)
+    f = spark.createDataFrame([("a", i, vals[i].tolist()) for i in range(n)], "var string, vid bigint, vals array<float>")
+    wf = MeshWorkflow.lay_out(pos, cells, "tets", steps, part_size=20, batch=2)
+    laid = wf.place(f)
+    b = wf.bounds(laid, 0.05, relative=False)
+    for method in (1, 2, 3, 4, 5, 6, "interpolated", "transform"):
+        blob = materialize(wf.compress(laid, b, method), "blob")
+        s = wf.statistics(wf.pairs(laid, wf.decompress(blob, b), b)).collect()
+        assert len(s) == steps and all(r.n == n and r.max_err <= 0.05 for r in s), method
+    step = f.select("vid", F.col("vals")[0].alias("val"))
+    back = step.join(wf.recompose(wf.decompose(step, 0.05)), "vid").collect()
+    assert len(back) == n and all(abs(r.val - r.dec) <= 0.05 for r in back)
+    with pytest.raises(ValueError):
+        wf.compress(laid, b, 7)

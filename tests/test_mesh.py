@@ -217,3 +217,12 @@ def test_orders_inside_parts_meet_local_edges_only(spark):
     for r in rows:
         if r.dst is not None:
             assert r.src // 5 == r.dst // 5 and verts[r.dst] == r.dst_slot and verts[r.src] == r.src_slot
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_whole_mesh_breadth_first_order(spark, seed):
+    n, edges = 40, random_graph(40, 30, seed)
+    adj = [sorted(b for a, b in edges if a == v) for v in range(n)]
+    got = components.breadth_first_order(spark.range(n).withColumnRenamed("id", "vid"), edge_frame(spark, edges))
+    order = [r.vid for r in got.orderBy("rank").collect()]
+    assert order == slow_order(n, adj, traverse.Order.BREADTH)
