@@ -151,7 +151,8 @@ def reordered_mesh(spark, sf):
         ((F.min("vid") == 0) & (F.max("vid") == F.count_distinct("vid") - 1)).alias("dense_ids"),
     )
     one = lengths.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("dist"), 2).alias("length"))
-    return one.withColumn("k", F.lit(0)).join(ids.withColumn("k", F.lit(0)), "k").drop("k")
+    both = one.unionByName(ids, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query(with_(vq.TETS, vq.CORNERS, vq.VECTORS, vq.PLACES, vq.gather_sql(), vq.FOUND) + "SELECT cid FROM found")

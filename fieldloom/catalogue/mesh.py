@@ -297,10 +297,9 @@ def breadth_first_levels(spark, sf):
 
 
 def local_distances(spark: SparkSession, sf: str) -> DataFrame:
-    d = distances(spark, sf)
     return tables.once(
         spark, sf, "local-distances",
-        lambda: neighbours.with_distance(adjacency.within_parts(d, parts(spark, sf)), tables.positions(spark, sf)),
+        lambda: adjacency.within_parts(distances(spark, sf), parts(spark, sf)),
     )
 
 

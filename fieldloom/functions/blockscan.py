@@ -49,20 +49,27 @@ class LocalMesh:
         return nbr, np.divide(w, total, out=np.zeros_like(w), where=total > 0)
 
 
-def fronts(nbr: np.ndarray, used: np.ndarray) -> list[np.ndarray]:
-    """Vertices grouped by causal depth (1 + the deepest used neighbour)."""
-    depth = [0] * len(nbr)
-    for i, (row, ok) in enumerate(zip(nbr.tolist(), used.tolist())):
-        deepest = -1
-        for j, u in zip(row, ok):
-            if u and depth[j] > deepest:
-                deepest = depth[j]
-        depth[i] = deepest + 1
+def depth_groups(n: int, owner: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+    """Vertices grouped by depth = 1 + the deepest earlier vertex they wait for.
+
+    Pairs (owner, earlier) are sorted by owner and earlier < owner, so one pass
+    finds every depth after those it depends on.
+    """
+    depth = [0] * n
+    for o, e in zip(owner.tolist(), earlier.tolist()):
+        if depth[e] >= depth[o]:
+            depth[o] = depth[e] + 1
     by = np.argsort(np.asarray(depth), kind="stable")
     cuts = np.flatnonzero(np.diff(np.asarray(depth)[by])) + 1
     return np.split(by, cuts)
 
 
+def fronts(nbr: np.ndarray, used: np.ndarray) -> list[np.ndarray]:
+    """Depth groups of an n x k neighbour table."""
+    owner, _ = np.nonzero(used)
+    return depth_groups(len(nbr), owner, nbr[used])
+
+
 class Writer:
     """Quantizes residuals of x (n x F) against per-column bounds."""
 

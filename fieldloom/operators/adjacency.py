@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.scalars import distance
+
 # The nine edges of a wedge with triangles (0,1,2), (3,4,5) and
 # verticals (0,3), (1,4), (2,5).
 WEDGE_EDGES = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (0, 3), (1, 4), (2, 5))
@@ -77,7 +79,20 @@ def within_parts(edges: DataFrame, layout: DataFrame) -> DataFrame:
     """Keep edges whose ends share a part; adds the part."""
     s = layout.select(F.col("vid").alias("src"), F.col("part"))
     d = layout.select(F.col("vid").alias("dst"), F.col("part").alias("pd"))
-    return edges.join(s, "src").join(d, "dst").where("part = pd").select("part", "src", "dst")
+    kept = edges.join(s, "src").join(d, "dst").where("part = pd")
+    return kept.select("part", *edges.columns)
+
+
+def local_with_distance(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(part, src, dst, dist) of edges inside a part, from vertices (vid, part, pos).
+
+    Part and position travel together, so cutting and measuring cost one join
+    per edge end.
+    """
+    s = placed.select(F.col("vid").alias("src"), "part", F.col("pos").alias("ps"))
+    d = placed.select(F.col("vid").alias("dst"), F.col("part").alias("pd"), F.col("pos").alias("pt"))
+    kept = edges.join(s, "src").join(d, "dst").where("part = pd")
+    return kept.select("part", "src", "dst", distance(F.col("ps"), F.col("pt")).alias("dist"))
 
 
 def induced(edges: DataFrame, sample: DataFrame) -> DataFrame:

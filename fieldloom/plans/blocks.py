@@ -46,10 +46,8 @@ def lay_out_mesh(
     if parts is None:
         parts = partition.assign_parts(positions, part_size)
     parts = materialize(parts, "parts")
-    local = adjacency.within_parts(edges, parts)
-    rows = materialize(
-        traverse.order_parts(parts, neighbours.with_distance(local, positions), order), "ordered"
-    )
+    local = adjacency.local_with_distance(edges, positions.join(parts, "vid"))
+    rows = materialize(traverse.order_parts(parts, local, order), "ordered")
     lists = (
         rows.where("dst_slot < src_slot")
         .withColumn("raw", neighbours.raw_weight())
@@ -105,11 +103,12 @@ def step_bounds(laid: DataFrame, eb: float, relative: bool = True, sentinel: flo
     )
 
 
-def _windows(mesh: DataFrame, steps: int, batch: int, k: int | None) -> DataFrame:
-    """Mesh rows for every time window, with neighbour lists cut to what is needed."""
+def _windows(mesh: DataFrame, steps: int, batch: int, k: int | None, places: bool = True) -> DataFrame:
+    """Mesh rows for every time window, cut to the neighbours and columns needed."""
+    pos = F.col("pos") if places else F.array(F.lit(0.0)).alias("pos")
     lists = [F.slice(c, 1, k).alias(c) if k else F.col(c) for c in ("nbr_slots", "nbr_raw")]
     tb = F.explode(F.sequence(F.lit(0), F.lit((steps - 1) // batch))).alias("tb")
-    return mesh.select("part", tb, "slot", "vid", "pos", *lists)
+    return mesh.select("part", tb, "slot", "vid", pos, *lists)
 
 
 def _rows(column: pa.ChunkedArray, n: int, dtype) -> np.ndarray:
@@ -198,7 +197,7 @@ def compress(
                 out[-1]["var"] = ",".join(names)
         return pa.Table.from_pylist(out, _BLOB_ARROW)
 
-    right = _windows(mesh, steps, batch, None if whole_lists else k)
+    right = _windows(mesh, steps, batch, None if whole_lists else k, method in ("kriged", "fitted"))
     left, right = spread(left, "part", "tb"), spread(right, "part", "tb")
     return (
         left.groupBy("part", "tb").cogroup(right.groupBy("part", "tb")).applyInArrow(run, schema.BLOB)

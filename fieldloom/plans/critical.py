@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import entropy, tetra
-from fieldloom.functions.blockscan import blend, fronts
+from fieldloom.functions.blockscan import blend, depth_groups, fronts
 from fieldloom.functions.scalars import CAPACITY, FLOAT_EPS, RADIUS
 from fieldloom.plans.blocks import _local_mesh
-from fieldloom.session import materialize, spread
+from fieldloom.session import broadcast_if_small, materialize, spread
 
 SMALLEST = 1e-10
 """Fixed value: smaller relative bounds mean "store verbatim"."""
 
+MAX_CELLS = 1_000_000
+"""Cells one task checks; a part with more keeps their corners verbatim instead."""
+
 BLOB = "part bigint, n int, max_rel double, payload binary"
 DECODED = "vid bigint, u float, v float, w float"
 
@@ -39,8 +42,18 @@ def lay_out_cells(cells: DataFrame, mesh: DataFrame) -> tuple[DataFrame, DataFra
         ),
         "cells",
     )
-    inside = whole.where("not crossing").select("part", F.transform("c", lambda s: s["slot"]).alias("corners"))
-    frozen = whole.where("crossing").select(F.explode("c").alias("s")).select("s.vid").distinct()
+    # repeated cells allow the same change, so each set of corners counts once
+    distinct = whole.select(
+        "part", "crossing", F.transform("c", lambda s: s["slot"]).alias("corners"),
+        F.transform("c", lambda s: s["vid"]).alias("ids"),
+    ).distinct()
+    heavy = distinct.where("not crossing").groupBy("part").agg(
+        (F.count(F.lit(1)) > MAX_CELLS).alias("heavy")
+    )
+    judged = distinct.join(broadcast_if_small(heavy.where("heavy")), "part", "left")
+    judged = judged.withColumn("kept", F.col("crossing") | F.coalesce("heavy", F.lit(False)))
+    inside = judged.where("not kept").select("part", "corners")
+    frozen = judged.where("kept").select(F.explode("ids").alias("vid")).distinct()
     return inside, frozen
 
 
@@ -84,16 +97,14 @@ def compress(
         turned, own = turned[by], own[by]
         first = np.searchsorted(own, np.arange(n + 1))
         # wait for earlier cell mates and earlier neighbours
-        mates = np.full((n, max(1, int(np.diff(first).max(initial=1))) * 3), -1)
-        turn = np.arange(len(own)) - first[own]
-        for j in range(3):
-            mates[own, turn * 3 + j] = turned[:, j]
-        wait = np.hstack((mates, np.where(w > 0, nbr, -1)))
-        used = (wait >= 0) & (wait < np.arange(n)[:, None])
+        owner, _ = np.nonzero(w > 0)
+        waits = np.concatenate([own * n + turned[:, j] for j in range(3)] + [owner * n + nbr[w > 0]])
+        later, earlier = np.divmod(np.unique(waits), n)
+        waits_on = earlier < later
         dec, lg = x.copy(), _log(x)
         ids = np.zeros(n, np.int32)
         q = np.zeros((n, 3), np.int32)
-        for at in fronts(np.where(used, wait, 0), used):
+        for at in depth_groups(n, later[waits_on], earlier[waits_on]):
             bound = np.full(n, max_rel)
             each = first[at + 1] - first[at]
             pick = np.repeat(first[at] - np.cumsum(each) + each, each) + np.arange(each.sum())
