@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fieldloom import SENTINEL
 from fieldloom.catalogue import mesh as mq
 from fieldloom.catalogue.registry import (
-    CORNERS, DIST, EDGES, PART_SIZE, POS, STATIC, TETS, WEIGHTS, near_cte, parts_cte, query, with_,
+    DIST, EDGES, PART_SIZE, POS, STATIC, WEIGHTS, near_cte, parts_cte, query, with_,
 )
 from fieldloom.functions import scalars
 from fieldloom.operators import (
-    adjacency, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
+    adjacency, coding, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
 )
 from fieldloom.plans import blocks
 from fieldloom.session import materialize
@@ -209,8 +209,9 @@ def coefficient_deltas(spark, sf):
 @query(GRID + """, preds AS (
   SELECT r.part, r.vid, r.v, g0 * (0.2 / 3) + g1 * (0.2 / 3) * (x - mx) + g2 * (0.2 / 3) * (y - my) AS pred
   FROM rows r JOIN grids g ON g.part = r.part)
-SELECT part, vid, CAST(32768 + CASE WHEN v > pred THEN floor((abs(v - pred) / 2.5 + 1) / 2)
-                               ELSE -floor((abs(v - pred) / 2.5 + 1) / 2) END AS INTEGER) AS q, true AS ok
+SELECT part, vid, CAST(CASE WHEN abs(v - pred) / 2.5 + 1 >= 65536 THEN 0
+    ELSE 32768 + CASE WHEN v > pred THEN floor((abs(v - pred) / 2.5 + 1) / 2)
+                      ELSE -floor((abs(v - pred) / 2.5 + 1) / 2) END END AS INTEGER) AS q, true AS ok
 FROM preds""")
 def regression_residuals(spark, sf):
     """Residual indices of the regression predictor: no dependency between vertices."""
@@ -535,10 +536,8 @@ def entropy_bits(spark, sf):
   true AS within_one_bit FROM coded""")
 def huffman_code(spark, sf):
     """Code table over the whole histogram: complete, and within one bit of the entropy."""
-    from fieldloom.operators.coding import code_table
-
     h = stats.symbol_histogram(mq.coded(spark, sf), [])
-    table = materialize(code_table(h), "codes")
+    table = materialize(coding.code_table(h), "codes")
     f = F.col("freq").cast("double")
     sums = table.agg(
         F.count(F.lit(1)).alias("symbols"),
@@ -589,3 +588,15 @@ def kriging_weights(spark, sf):
     return w.select(
         "src", F.size("ids").alias("m"), (~F.col("usable") | (F.abs(total - 1) < 1e-6)).alias("unbiased")
     )
+
+
+@query(PAIRS + """SELECT a.src, CAST(count(*) AS BIGINT) AS pairs, round(avg(abs((a.v - b.v) * (a.v - b.v) / 2
+  - 9000 * (1 - exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (30.0 * 30.0))))), 2) AS misfit
+FROM lists a JOIN lists b ON a.src = b.src AND a.rn < b.rn WHERE a.m >= 3 GROUP BY a.src""")
+def variogram_misfit(spark, sf):
+    """Mean distance of every vertex's semivariogram pairs from one Gaussian model."""
+    pairs = variogram.semivariogram_pairs(variogram_lists(spark, sf))
+    model = scalars.gaussian_variogram(F.col("lag"), F.lit(30.0), F.lit(9000.0))
+    return pairs.groupBy("src").agg(
+        F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.abs(F.col("half") - model)), 2).alias("misfit")
+    )

@@ -88,12 +88,15 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(TETS, CORNERS, VECTORS, PLACES, gather_sql(), FOUND, KINDS) + """
-SELECT cid, round((m0*x0 + m1*x1 + m2*x2 + m3*x3) / m, 4) AS x, round((m0*y0 + m1*y1 + m2*y2 + m3*y3) / m, 4) AS y,
-       round((m0*z0 + m1*z1 + m2*z2 + m3*z3) / m, 4) AS z, CAST(kind AS INTEGER) AS kind FROM kinds""")
+SELECT cid, floor((m0*x0 + m1*x1 + m2*x2 + m3*x3) / m * 10000 + 0.5) / 10000 AS x,
+       floor((m0*y0 + m1*y1 + m2*y2 + m3*y3) / m * 10000 + 0.5) / 10000 AS y,
+       floor((m0*z0 + m1*z1 + m2*z2 + m3*z3) / m * 10000 + 0.5) / 10000 AS z, CAST(kind AS INTEGER) AS kind FROM kinds""")
 def critical_points(spark, sf):
     """Zeros of the vector field on the order tetrahedra: place and class."""
     found = critical.extract(tables.tets(spark, sf), vectors(spark, sf), tables.positions3(spark, sf))
-    return found.select("cid", *[F.round(c, 4).alias(c) for c in "xyz"], "kind")
+    # floor, not round: engines break decimal ties of doubles differently
+    near = [(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in "xyz"]
+    return found.select("cid", *near, "kind")
 
 
 

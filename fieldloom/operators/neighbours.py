@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalars import distance
@@ -45,7 +45,7 @@ def inverse_distance_weights(near: DataFrame, key: str = "src") -> DataFrame:
     return near.withColumn("w", weight)
 
 
-def raw_weight() -> "F.Column":
+def raw_weight() -> Column:
     """Un-normalized weight of one edge: 1/distance, a huge finite value if coincident."""
     return F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(F.lit(1e300))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ranking import grouped_lag
+from fieldloom.operators.ranking import grouped_lag, grouped_running_sum
 
 COEFFICIENT_BOUND = 0.1
 """Fixed value: coefficients are kept within 0.1 / (d + 1), whatever the field's bound."""
@@ -79,8 +79,6 @@ def coefficient_deltas(fits: DataFrame) -> DataFrame:
 
 def coefficients_from_deltas(deltas: DataFrame, d: int) -> DataFrame:
     """Grid numbers back from their differences: a running sum over the parts."""
-    from fieldloom.operators.ranking import grouped_running_sum
-
     out = deltas
     for a in range(d + 1):
         out = grouped_running_sum(
@@ -92,7 +90,9 @@ def coefficients_from_deltas(deltas: DataFrame, d: int) -> DataFrame:
 
 
 def predicted(kept: Column, pos: Column, d: int) -> Column:
-    return sum((kept[1 + a] * pos[a] for a in range(d)), kept[0])
+    """Design row times coefficients, term by term."""
+    row = design_row(pos)
+    return sum((kept[a] * row[a] for a in range(1, d + 1)), kept[0])
 
 
 def as_side_rows(fits: DataFrame, flag: Column) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.scalars import psnr
+from fieldloom.functions.scalars import psnr, valid
 
 
 def value_range(field: DataFrame, keys: list[str], sentinel: float | None = None) -> DataFrame:
     """Min, max and span of the valid values per key."""
-    val = F.col("val").cast("double")
-    seen = val if sentinel is None else F.when(F.col("val") != F.lit(sentinel).cast("float"), val)
+    seen = (F.col("val") if sentinel is None else valid(F.col("val"), sentinel)).cast("double")
     lo, hi = F.min(seen), F.max(seen)
     return field.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("span"))
 

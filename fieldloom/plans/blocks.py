@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import SENTINEL, schema
 from fieldloom.functions.blockscan import SCANS, Job, LocalMesh, Reader, Writer
+from fieldloom.functions.scalars import compression_ratio, valid
 from fieldloom.operators import adjacency, neighbours, partition, traverse
 from fieldloom.operators.stats import absolute_bound
 from fieldloom.session import broadcast_if_small, materialize, spread
@@ -92,8 +93,7 @@ def lay_out_field(field: DataFrame, mesh: DataFrame, steps: int, batch: int) ->
 def step_bounds(laid: DataFrame, eb: float, relative: bool = True, sentinel: float | None = SENTINEL) -> DataFrame:
     """(var, tb, eb): absolute bound of every step of a window, from its valid range."""
     long = laid.select("var", "tb", F.posexplode("vals").alias("i", "val"))
-    val = F.col("val").cast("double")
-    seen = val if sentinel is None else F.when(F.col("val") != F.lit(sentinel).cast("float"), val)
+    seen = (F.col("val") if sentinel is None else valid(F.col("val"), sentinel)).cast("double")
     spans = long.groupBy("var", "tb", "i").agg((F.max(seen) - F.min(seen)).alias("span"))
     bound = absolute_bound(F.col("span"), eb, relative)
     return spans.groupBy("var", "tb").agg(
@@ -260,7 +260,7 @@ def paired(laid: DataFrame, decoded: DataFrame, bounds: DataFrame, batch: int) -
 def bound_report(pairs: DataFrame) -> DataFrame:
     """Per variable and step: rows, rows inside the bound, range of the valid samples."""
     err = F.abs(F.col("dec").cast("double") - F.col("val").cast("double"))
-    seen = F.when(F.col("val") != F.lit(SENTINEL).cast("float"), F.col("val").cast("double"))
+    seen = valid(F.col("val"), SENTINEL).cast("double")
     return pairs.groupBy("var", "t").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(err <= F.col("eb")).alias("inside"),
@@ -274,7 +274,7 @@ def ratio(blob: DataFrame, keys: list[str]) -> DataFrame:
     values = F.sum(F.col("n").cast("bigint") * F.col("steps"))
     stored = F.sum(F.length("payload"))
     return blob.groupBy(*keys).agg(
-        values.alias("samples"), stored.alias("bytes"), (values * 4 / stored).alias("ratio")
+        values.alias("samples"), stored.alias("bytes"), compression_ratio(values, stored).alias("ratio")
     )
 
 

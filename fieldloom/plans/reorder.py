@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldloom.operators import permute
 from fieldloom.operators.ranking import with_rank

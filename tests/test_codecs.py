@@ -1,4 +1,4 @@
-"""Block codecs: exact inverses, bounds, and a plain loop as the reference scan."""
+"""Block codecs: exact inverses, bounds, and a plain loop to compare scans with."""
 
 import numpy as np
 import pytest
