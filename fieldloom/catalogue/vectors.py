@@ -21,7 +21,7 @@ VECTORS = """vectors AS (
     SELECT l_partkey, sum(round(l_discount * 100) - 5) AS u, sum(round(l_tax * 100) - 4) AS v,
            sum(l_quantity - 25) AS w FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"""
 PLACES = """places AS (SELECT p_partkey AS vid, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y,
-  CAST(p_partkey % 97 AS DOUBLE) AS z FROM part)"""
+  CAST(p_partkey * 37 % 97 AS DOUBLE) AS z FROM part)"""
 
 
 def gather_sql(order: str = "corner") -> str:

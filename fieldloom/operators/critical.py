@@ -57,34 +57,34 @@ DEGENERATE = 0
 def with_kind(rows: DataFrame) -> DataFrame:
     """Add ``kind`` to rows with corner vectors u0..w3 and positions x0..z3.
 
-    The characteristic polynomial of the Jacobian needs no inverse: with edge
-    matrices X and U, trace = tr(adj(X) U) / det X, second coefficient =
-    tr(adj(U) X) / det X, determinant = det U / det X. Roots in closed form.
+    With edge matrices X (positions) and U (vectors) the Jacobian is inv(X) U up to
+    a change of basis. Its characteristic polynomial is solved in closed form.
     """
     edges = {f"d{n}{i}": F.col(f"{n}{i}") - F.col(f"{n}3") for n in "uvwxyz" for i in range(3)}
     rows = _settle(rows.withColumns(edges))
     ex = [tuple(F.col(f"d{n}{i}") for n in "xyz") for i in range(3)]
     ep = [tuple(F.col(f"d{n}{i}") for n in "uvw") for i in range(3)]
     pairs = ((1, 2), (2, 0), (0, 1))
-    cof = {}
-    for tag, e in (("cx", ex), ("cp", ep)):
-        for i, (a, b) in enumerate(pairs):
-            for axis, value in enumerate(tetra.cross(e[a], e[b])):
-                cof[f"{tag}{i}{axis}"] = value
-    rows = _settle(rows.withColumns(cof))
-    cx = [tuple(F.col(f"cx{i}{a}") for a in range(3)) for i in range(3)]
-    cp = [tuple(F.col(f"cp{i}{a}") for a in range(3)) for i in range(3)]
-
-    def trace(c, e):
-        return tetra.dot(c[0], e[0]) + tetra.dot(c[1], e[1]) + tetra.dot(c[2], e[2])
-
-    rows = rows.withColumn("det_x", tetra.dot(ex[0], cx[0]))
-    det_x = F.col("det_x")
+    normals = [tetra.cross(ex[a], ex[b]) for a, b in pairs]
+    rows = rows.withColumns({f"cx{i}{axis}": normals[i][axis] for i in range(3) for axis in range(3)})
+    cx = [tuple(F.col(f"cx{i}{axis}") for axis in range(3)) for i in range(3)]
+    rows = _settle(rows.withColumn("det_x", tetra.dot(ex[0], cx[0])))
+    jacobian = {
+        f"j{i}{k}": F.try_divide(tetra.dot(cx[i], ep[k]), F.col("det_x")) for i in range(3) for k in range(3)
+    }
+    rows = _settle(rows.withColumns(jacobian))
+    j = [[F.col(f"j{i}{k}") for k in range(3)] for i in range(3)]
+    det = (
+        j[0][0] * (j[1][1] * j[2][2] - j[1][2] * j[2][1])
+        - j[0][1] * (j[1][0] * j[2][2] - j[1][2] * j[2][0])
+        + j[0][2] * (j[1][0] * j[2][1] - j[1][1] * j[2][0])
+    )
     rows = rows.withColumns(
         {
-            "pb": -F.try_divide(trace(cx, ep), det_x),
-            "pc": F.try_divide(trace(cp, ex), det_x),
-            "pd": -F.try_divide(tetra.dot(ep[0], cp[0]), det_x),
+            "pb": -(j[0][0] + j[1][1] + j[2][2]),
+            "pc": j[0][0] * j[1][1] - j[0][1] * j[1][0] + j[0][0] * j[2][2] - j[0][2] * j[2][0]
+            + j[1][1] * j[2][2] - j[1][2] * j[2][1],
+            "pd": -det,
         }
     )
     rows = _settle(rows)

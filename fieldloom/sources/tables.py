@@ -41,13 +41,16 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spatial positions (size, retail price, shelf = key mod 97)."""
+    """Spatial positions (size, retail price, shelf = 37 * key mod 97).
+
+    The shelf jumps from key to key, so cells are not flat although prices follow keys.
+    """
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("vid"),
         F.array(
             F.col("p_size").cast("double"),
             F.col("p_retailprice"),
-            (F.col("p_partkey") % 97).cast("double"),
+            (F.col("p_partkey") * 37 % 97).cast("double"),
         ).alias("pos"),
     )
 
