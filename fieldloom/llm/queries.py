@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import simhash
+from fieldloom.llm import repetition, simhash
 from fieldloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _gram(n: int) -> str:
+    """Hash of the n words from a position on, put together from power-of-two runs."""
+    parts, at = [], 0
+    for k in (16, 8, 4, 2, 1):
+        while n - at >= k:
+            parts.append(f"lead(p{k}, {at}) OVER o" if at else f"p{k}")
+            at += k
+    return parts[0] if len(parts) == 1 else f"hash({', '.join(parts)})"
+
+
+def _coverage_cte(n: int) -> str:
+    return f"""hit{n} AS (
+  SELECT doc_id, i, word, max(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) > 1 AS hit
+  FROM (SELECT doc_id, i, word,
+               CASE WHEN i + {n - 1} <= n_words THEN count(*) OVER (PARTITION BY doc_id, i + {n - 1} <= n_words, gram) ELSE 0 END AS n
+        FROM (SELECT *, {_gram(n)} AS gram FROM p16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)))),
+cov{n} AS (SELECT doc_id, count(*) AS words, sum(length(word)) AS chars FROM hit{n} WHERE hit GROUP BY doc_id)"""
+
+
+_LENGTHS = sorted({repetition.BASE_WINDOW, *repetition.COVERAGE})
+_OP5 = rf"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+p1 AS (SELECT *, hash(word) AS p1 FROM w),
+{", ".join(f"p{2 * k} AS (SELECT *, hash(p{k}, lead(p{k}, {k}) OVER (PARTITION BY doc_id ORDER BY i)) AS p{2 * k} FROM p{k})" for k in (1, 2, 4, 8))},
+size AS (SELECT doc_id, sum(length(word)) AS chars FROM w GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, sum(n - 1) AS n, sum((n - 1) * length(line)) AS chars
+  FROM (SELECT doc_id, line, count(*) AS n
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+{", ".join(_coverage_cte(n) for n in _LENGTHS)},
+m AS (
+  SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(size.chars, 0) AS BIGINT) AS word_chars,
+         CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov{repetition.BASE_WINDOW}.words, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(lines.chars, 0)::DOUBLE / greatest(length(d.text), 1)::DOUBLE AS line_coverage,
+         {", ".join(f"coalesce(cov{n}.chars, 0)::DOUBLE / greatest(coalesce(size.chars, 0), 1)::DOUBLE AS coverage_{n}" for n in repetition.COVERAGE)}
+  FROM d LEFT JOIN size USING (doc_id) LEFT JOIN lines USING (doc_id)
+       {" ".join(f"LEFT JOIN cov{n} USING (doc_id)" for n in _LENGTHS)}),
+b AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT (base_failed OR line_coverage > {repetition.LINE_CHARS}
+               OR {" OR ".join(f"coverage_{n} > {most}" for n, most in repetition.COVERAGE.items())}) AS kept FROM b"""
+
+
+@query(_OP5)
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.assess(table(spark, sf_dir, "documents"))
