@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import langid, repetition, simhash
+from fieldloom.llm import langid, licenses, repetition, simhash
 from fieldloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["first_word"], m["last_word"], m["edits"]))
+    return found.withColumns(joined).withColumn("spans", F.array_join(spans, " ")).drop("matches")
+
+
 def _gram(n: int) -> str:
     """Hash of the n words from a position on, put together from power-of-two runs."""
     parts, at = [], 0
