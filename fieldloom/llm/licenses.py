@@ -198,10 +198,11 @@ def _row(data: bytes) -> dict:
     words = normalise(data)
     base = places(words)
     matches = []
-    for i, a, b, e in fuzzy(words):
-        while a < b and words[a] == " ":
-            a += 1
-        first = words.count(" ", 0, a)
+    at = first = 0
+    for i, a, b, e in sorted(fuzzy(words), key=lambda m: m[1]):
+        first, at = first + words.count(" ", at, a), a
+        if words[a] == " ":  # the match begins with the blank before its first word
+            first, at, a = first + 1, a + 1, a + 1
         matches.append(
             {
                 "label": NOTICES[i][1],
