@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,12 @@ SLICE_BYTES = 4 << 20
 """Text that one numpy step holds at a time; a single longer text is one slice of its own."""
 
 
+STEP = 0x9E3779B97F4A7C15
+"""Odd base of the polynomial hashes; its inverse modulo 2**64 exists."""
+CHUNK = 1 << 20
+"""Values under one prefix sum; a single longer span has one of its own."""
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, row offsets, valid) of a string array, without copying; a null row is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -58,6 +65,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of STEP and of its inverse modulo 2**64."""
+    out = []
+    for base in (STEP, pow(STEP, -1, 1 << 64)):
+        p = np.full(n + 1, base, np.uint64)
+        p[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for ascending spans, from one prefix sum per chunk."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    with np.errstate(over="ignore"):
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, side="right")))
+            a, b = int(starts[lo]), int(ends[hi - 1])
+            up, down = _powers(CHUNK) if b - a <= CHUNK else _powers.__wrapped__(b - a)
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[a:b] * up[: b - a], dtype=np.uint64)])
+            s, e = starts[lo:hi] - a, ends[lo:hi] - a
+            out[lo:hi] = (prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64)
+            lo = hi
+    return mix64(out)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, licenses, repetition, simhash
+from fieldloom.llm import chat, langid, licenses, pieces, repetition, simhash
 from fieldloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,8 @@ SELECT *, NOT (base_failed OR line_coverage > {repetition.LINE_CHARS}
 @query(_OP5)
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.assess(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(table(spark, sf_dir, "documents"))

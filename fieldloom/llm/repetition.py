@@ -8,15 +8,13 @@ word inside a repeated window is covered once, however many windows overlap ther
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from fieldloom.llm.common import mix64, slices, text, utf8, with_result
+from fieldloom.llm.common import mix64, slices, span_hashes, text, utf8, with_result
 
 BASE_WINDOW = 8
 MIN_WORDS = 20
@@ -27,9 +25,6 @@ which the text is rejected, by n. A long window repeats by chance less often."""
 LINE_CHARS = 0.30
 """Share of a text's characters in lines equal to an earlier line above which it is rejected."""
 
-STEP = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20
-
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -44,34 +39,6 @@ RESULT = StructType(
 )
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of STEP and of its inverse modulo 2**64."""
-    out = []
-    for base in (STEP, pow(STEP, -1, 1 << 64)):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for ascending spans, from one prefix sum per chunk."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    with np.errstate(over="ignore"):
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, side="right")))
-            a, b = int(starts[lo]), int(ends[hi - 1])
-            up, down = _powers(CHUNK) if b - a <= CHUNK else _powers.__wrapped__(b - a)
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[a:b] * up[: b - a], dtype=np.uint64)])
-            s, e = starts[lo:hi] - a, ends[lo:hi] - a
-            out[lo:hi] = (prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64)
-            lo = hi
-    return mix64(out)
-
-
 def covered_words(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """Which words stand in an n-gram that occurs twice or more in their row."""
     count = len(words) - n + 1
