@@ -93,6 +93,21 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64(out)
 
 
+_WS = np.zeros(256, bool)
+_WS[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_spans(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words of rows of UTF-8 text, cut at ASCII white space;
+    ``at`` are byte offsets from 0, and no word runs on into the next row."""
+    word = ~_WS[b]
+    cut = np.zeros(len(b) + 1, bool)
+    cut[at] = True
+    starts = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | cut[:-1]))
+    ends = np.flatnonzero(word & (~np.concatenate([word[1:], [False]])[: len(b)] | cut[1:])) + 1
+    return starts, ends, np.searchsorted(at, starts, side="right") - 1
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from fieldloom.llm.common import mix64, slices, span_hashes, text, utf8, with_result
+from fieldloom.llm.common import mix64, slices, span_hashes, text, utf8, with_result, word_spans
 
 BASE_WINDOW = 8
 MIN_WORDS = 20
@@ -25,8 +25,6 @@ which the text is rejected, by n. A long window repeats by chance less often."""
 LINE_CHARS = 0.30
 """Share of a text's characters in lines equal to an earlier line above which it is rejected."""
 
-_WS = np.zeros(256, bool)
-_WS[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BYTE = mix64(np.arange(1, 257))
@@ -45,7 +43,7 @@ def covered_words(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(len(words), bool)
     inside = np.flatnonzero(row[:count] == row[n - 1 :])
-    keys = span_hashes(words, inside, inside + n) ^ mix64(row[inside] + np.uint64(1))
+    keys = span_hashes(words, inside, inside + n) ^ mix64(row[inside].astype(np.uint64) + np.uint64(1))
     order = np.argsort(keys)
     same = keys[order[1:]] == keys[order[:-1]]
     hit = np.zeros(len(keys), bool)
@@ -75,24 +73,16 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     b = raw[at[0] : at[-1]]
     at = at - at[0]
     n = len(at) - 1
-    word = ~_WS[b]
-    cut = np.zeros(len(b) + 1, bool)
-    cut[at] = True  # no word runs on into the next row
-    cut = cut[:-1]
-    before = np.concatenate([[False], word[:-1]])
-    starts = np.flatnonzero(word & (~before | cut))
-    after = np.concatenate([word[1:], [False]])
-    ends = np.flatnonzero(word & (~after | np.concatenate([cut[1:], [True]]))) + 1
-    row = (np.searchsorted(at, starts, side="right") - 1).astype(np.uint64)
+    starts, ends, row = word_spans(b, at)
     char = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
     size = char[ends] - char[starts]
     symbol = np.concatenate([[0], np.cumsum(_SYMBOL[b])])
 
     def per_row(weights: np.ndarray) -> np.ndarray:
-        return np.bincount(row.astype(np.int64), weights=weights, minlength=n)[:n]
+        return np.bincount(row, weights=weights, minlength=n)[:n]
 
     out = {
-        "n_words": np.bincount(row.astype(np.int64), minlength=n)[:n],
+        "n_words": np.bincount(row, minlength=n)[:n],
         "word_chars": per_row(size).astype(np.int64),
         "n_symbols": symbol[at[1:]] - symbol[at[:-1]],
     }
