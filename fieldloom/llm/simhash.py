@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from fieldloom.llm.common import text, utf8
+from fieldloom.llm.common import free_name, text, utf8
 from fieldloom.operators.components import components
 from fieldloom.session import materialize
 
@@ -164,3 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less near duplicates: one row per component.
+
+    It is the row with the component's smallest id (null only if there is no other); of
+    rows that share that id and the fingerprint, the smallest in the order of their columns.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
+    stays = found.where(mine).select(F.col(id_col).alias("_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_fp"))
+    # one row of several with the smallest id: copies of it, or other texts under the same id
+    stays = materialize(stays.groupBy("_id").agg(F.min("_fp").alias("_fp")), "simhash-kept")
+    name = free_name(docs, "fp")
+    marked = docs.withColumn(name, fingerprint_column(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_fp"))
+    kept = marked.join(stays, same, "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return kept.groupBy(id_col, name).agg(F.min(row).alias("row")).select("row.*")
