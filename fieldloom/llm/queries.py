@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, licenses, mixing, pieces, repetition, simhash
+from fieldloom.llm import chat, langid, licenses, mixing, pieces, rendering, repetition, simhash
 from fieldloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.extract(table(spark, sf_dir, "pages"))
