@@ -12,9 +12,12 @@ and reading back removes exactly one.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -97,22 +100,26 @@ def token_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]
     return known & (begin[np.minimum(first, len(begin) - 1)] < ends) & (ends > starts)
 
 
-def masked_text(formatted: str, starts, ends, mask, spans) -> list[str]:
-    """What the masked tokens cover of each span, unescaped. Tokens of one character that
-    spans several bytes share their offsets, so a character is taken once."""
-    filled = [(a, b) for a, b in spans if b > a]
-    out: list[list[str]] = [[] for _ in filled]
-    close = np.array([b for _, b in filled])
-    done = 0
-    for s, e in zip(np.asarray(starts)[mask].tolist(), np.asarray(ends)[mask].tolist()):
-        i = int(np.searchsorted(close, s, side="right"))
-        while i < len(filled) and filled[i][0] < e:
-            a, b = max(s, filled[i][0], done), min(e, filled[i][1])
-            if a < b:
-                out[i].append(formatted[a:b])
-                done = b
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, spans) -> list[str]:
+    """What the masked tokens cover of each span, unescaped. Tokens that touch or overlap
+    (those of one character in several bytes share its offsets) are one run, so a character
+    is taken once."""
+    s, e = starts[mask], ends[mask]
+    reach = np.maximum.accumulate(e) if len(e) else e
+    opens = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]])) if len(s) else np.zeros(0, np.int64)
+    begin = s[opens].tolist()
+    close = reach[np.append(opens[1:], len(s)) - 1].tolist() if len(s) else []
+    out, r = [], 0
+    for a, b in spans:
+        parts = []
+        while r < len(begin) and close[r] <= a:
+            r += 1
+        i = r
+        while i < len(begin) and begin[i] < b:
+            parts.append(formatted[max(a, begin[i]) : min(b, close[i])])
             i += 1
-    return [unescape("".join(parts)) for parts in out]
+        out.append(unescape("".join(parts)))
+    return out
 
 
 @lru_cache(2)
@@ -123,34 +130,58 @@ def load(model: bytes) -> Tokenizer:
     return tokenizer
 
 
-_ARROW = pa.struct(
+SCHEMA = pa.schema(
     [("formatted", pa.string())]
     + [(c, pa.list_(pa.int32())) for c in ("input_ids", "token_start", "token_end")]
     + [("loss_mask", pa.list_(pa.bool_()))]
     + [(c, pa.list_(pa.int32())) for c in ("span_start", "span_end")]
     + [("n_turns", pa.int64())]
 )
-
-
-def encode(tokenizer: Tokenizer, conversations: list[list[dict]], learned) -> pa.Array:
-    rendered = [render([(t["role"], t["text"]) for t in turns], learned) for turns in conversations]
-    rows = []
-    for turns, (formatted, spans) in zip(conversations, rendered):
-        got = tokenizer.encode(formatted, add_special_tokens=False)
-        at = np.array(got.offsets, np.int32).reshape(-1, 2)
-        rows.append(
-            {
-                "formatted": formatted,
-                "input_ids": np.array(got.ids, np.int32),
-                "token_start": at[:, 0],
-                "token_end": at[:, 1],
-                "loss_mask": token_mask(at[:, 0], at[:, 1], spans),
-                "span_start": [a for a, _ in spans],
-                "span_end": [b for _, b in spans],
-                "n_turns": len(turns),
-            }
-        )
-    return pa.array(rows, _ARROW)
+"""Columns that formatting gives behind the conversation's id."""
+BATCH_CHARS = 1 << 20
+"""Rendered characters per batch handed on, unless a single conversation is longer."""
+
+
+def encode(tokenizer: Tokenizer, turns: list[dict], learned) -> dict:
+    """One conversation rendered, encoded and masked."""
+    formatted, spans = render([(t["role"], t["text"]) for t in turns], learned)
+    got = tokenizer.encode(formatted, add_special_tokens=False)
+    at = np.fromiter(itertools.chain.from_iterable(got.offsets), np.int32, 2 * len(got)).reshape(-1, 2)
+    return {
+        "formatted": formatted,
+        "input_ids": np.array(got.ids, np.int32),
+        "token_start": at[:, 0],
+        "token_end": at[:, 1],
+        "loss_mask": token_mask(at[:, 0], at[:, 1], spans),
+        "span_start": [a for a, _ in spans],
+        "span_end": [b for _, b in spans],
+        "n_turns": len(turns),
+    }
+
+
+def encoded(batches: Iterator[pa.RecordBatch], model, learned) -> Iterator[tuple[pa.Array, list[dict]]]:
+    """(ids, rows) of conversations (id, turns), in small batches."""
+    tokenizer = load(model.value)
+    for batch in batches:
+        rows, lo, size = [], 0, 0
+        for i, turns in enumerate(batch.column(1)):
+            rows.append(encode(tokenizer, turns.as_py(), learned))
+            size += len(rows[-1]["formatted"])
+            if size > BATCH_CHARS:
+                yield batch.column(0)[lo : i + 1], rows
+                rows, lo, size = [], i + 1, 0
+        if rows:
+            yield batch.column(0)[lo:], rows
+
+
+def conversations(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(conv, turns): the rows of a conversation in the order of turn, role and text."""
+    row = F.struct(
+        F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
+    return turns.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
 
 def format_conversations(
@@ -168,59 +199,56 @@ def format_conversations(
     nulls first, repeated rows kept. A null role or text is empty. Rows of one conversation
     meet in one task, since a rendered conversation is one string. Other columns are ignored.
     """
-    spark = turns.sparkSession
-    model = asset(spark, tokenizer)
-
-    @F.arrow_udf(RESULT)
-    def run(conversations: pa.Array) -> pa.Array:
-        return encode(load(model.value), conversations.to_pylist(), learned)
-
-    row = F.struct(
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    whole = turns.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    done = whole.select("conv", run("turns").alias("out"))
-    return done.select(F.col("conv").alias(conv_col), "out.*")
+    model = asset(turns.sparkSession, tokenizer)
+    whole = conversations(turns, conv_col, turn_col, role_col, text_col)
+
+    def run(batches):
+        for ids, rows in encoded(batches, model, learned):
+            columns = [pa.array([r[f.name] for r in rows], f.type) for f in SCHEMA]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["conv", *SCHEMA.names])
+
+    done = whole.mapInArrow(run, StructType([whole.schema["conv"], *RESULT]))
+    return done.withColumnRenamed("conv", conv_col)
+
+
+def digest(row: dict) -> dict:
+    """Figures of a conversation read back from its rendered string and token mask."""
+    spans = list(zip(row["span_start"], row["span_end"]))
+    learned = "".join(masked_text(row["formatted"], row["token_start"], row["token_end"], row["loss_mask"], spans))
+    whole = "".join(f"{role}\n{said}\n" for role, said in parse(row["formatted"]))
+    return {
+        "n_turns": row["n_turns"],
+        "turns_sha256": sha256(whole.encode()).hexdigest(),
+        "loss_chars": len(learned),
+        "loss_sha256": sha256(learned.encode()).hexdigest(),
+        "formatted_chars": len(row["formatted"]),
+        "n_tokens": len(row["input_ids"]),
+    }
+
+
+def digest_conversations(
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    learned: tuple[str, ...] = LEARNED_ROLES,
+    tokenizer: str = TOKENIZER,
+) -> DataFrame:
+    """(conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens):
+    what ``format_conversations`` gives, read back in the task that made it."""
+    model = asset(turns.sparkSession, tokenizer)
+    whole = conversations(turns, conv_col, turn_col, role_col, text_col)
+    fields = [StructField(c, StringType() if "sha" in c else LongType()) for c in DIGESTS]
 
+    def run(batches):
+        for ids, rows in encoded(batches, model, learned):
+            got = [digest(r) for r in rows]
+            columns = [pa.array([g[c] for g in got], pa.string() if "sha" in c else pa.int64()) for c in DIGESTS]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["conv", *DIGESTS])
 
-DIGEST = StructType(
-    [
-        StructField("turns_sha256", StringType()),
-        StructField("loss_chars", LongType()),
-        StructField("loss_sha256", StringType()),
-        StructField("formatted_chars", LongType()),
-    ]
-)
+    done = whole.mapInArrow(run, StructType([whole.schema["conv"], *fields]))
+    return done.withColumnRenamed("conv", conv_col)
 
 
-@F.arrow_udf(DIGEST)
-def _digest(formatted: pa.Array, starts: pa.Array, ends: pa.Array, mask: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-    from hashlib import sha256
-
-    rows = []
-    for i, text in enumerate(formatted.to_pylist()):
-        spans = list(zip(a[i].as_py(), b[i].as_py()))
-        on = np.array(mask[i].as_py(), bool)
-        learned = "".join(masked_text(text, starts[i].values.to_numpy(), ends[i].values.to_numpy(), on, spans))
-        whole = "".join(f"{role}\n{said}\n" for role, said in parse(text))
-        rows.append(
-            {
-                "turns_sha256": sha256(whole.encode()).hexdigest(),
-                "loss_chars": len(learned),
-                "loss_sha256": sha256(learned.encode()).hexdigest(),
-                "formatted_chars": len(text),
-            }
-        )
-    names = [(f.name, pa.int64() if isinstance(f.dataType, LongType) else pa.string()) for f in DIGEST]
-    return pa.array(rows, pa.struct(names))
-
-
-def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """(conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read
-    back from the rendered string and the token mask."""
-    got = _digest("formatted", "token_start", "token_end", "loss_mask", "span_start", "span_end")
-    return formatted.select(conv_col, "n_turns", F.size("input_ids").cast("long").alias("n_tokens"), got.alias("d")).select(
-        conv_col, "n_turns", "n_tokens", "d.*"
-    )
+DIGESTS = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens")

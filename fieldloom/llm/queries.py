@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, licenses, mixing, pieces, rendering, repetition, simhash
-from fieldloom.session import ship_package
+from fieldloom.llm import chat, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
+from fieldloom.session import scratch_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +101,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         said.alias("text"),
     )
-    return chat.digests(chat.format_conversations(turns.unionByName(probe))).drop("n_tokens")
+    return chat.digest_conversations(turns.unionByName(probe)).drop("n_tokens")
 
 
 _LENGTHS = sorted({repetition.BASE_WINDOW, *repetition.COVERAGE})
@@ -149,3 +150,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.extract(table(spark, sf_dir, "pages"))
+
+
+_OP2 = """WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to, true AS verified FROM f"""
+
+
+@query(_OP2)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("url", "file")
