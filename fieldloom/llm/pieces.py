@@ -6,10 +6,10 @@ then a path is drawn backwards, piece by piece, in proportion to what reaches ea
 node. The random number at a node is a hash of the row's key and the node's position,
 so a row gets the same segmentation in any batch, partition or retry.
 
-No piece holds a blank behind another character, so paths meet wherever a run of blanks
-begins, and the lattice falls apart into units (a word and the blanks before it). The
-forward pass runs once per distinct unit of a slice, the backward pass over all units
-at once, both in numpy. Characters without a piece become byte pieces, and so does a
+Where two neighbouring characters stand together in no piece, every path has a node
+between them, so the lattice falls apart into units (mostly a word and the blank before
+it). The forward pass runs once per distinct unit and is kept for later texts, up to
+KEPT_EDGES; the backward pass runs over all units of a slice at once, both in numpy. Characters without a piece become byte pieces, and so does a
 literal U+2581, which would otherwise read as a blank; decoding is therefore lossless.
 """
 
@@ -34,6 +34,11 @@ ALPHA = 1.0
 """Exponent of the piece probabilities: larger is closer to the best path, 0 is uniform."""
 SEED = 10
 BUCKET_BITS = 17
+PAIR_BITS = 22
+SLICE = 1 << 20
+"""Bytes of text per numpy step."""
+KEPT_EDGES = 4_000_000
+"""Lattice edges a worker keeps between slices (16 bytes each); beyond it, it starts anew."""
 
 BLANK = 0x2581
 LITERAL = 0x110000
@@ -49,11 +54,19 @@ class Vocabulary:
     ids: np.ndarray  # the piece that a prefix is, or -1
     longer: np.ndarray  # whether a longer piece begins with it
     longest: int
+    pairs: np.ndarray  # by hash: whether two characters may stand side by side in a piece
     log_p: np.ndarray
     byte_ids: np.ndarray
     table: pa.Array
     size: int
 
+    def joined(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each character may share a piece with the one before it. A chance hit of
+        the hash only makes a longer unit."""
+        out = np.zeros(len(codes), bool)
+        out[1:] = self.pairs[_pair(codes[:-1], codes[1:])]
+        return out
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, or -1: leading bits give a bucket of very few entries."""
         top = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -73,8 +86,17 @@ def _code(piece: str) -> np.ndarray:
     return np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
+_PLANE = mix64(np.arange(1, (1 << 16) + 1))
+
+
 def _values(codes: np.ndarray) -> np.ndarray:
-    return mix64(codes.astype(np.uint64) + np.uint64(1))
+    if len(codes) and codes.max() >= 1 << 16:
+        return mix64(codes.astype(np.uint64) + np.uint64(1))
+    return _PLANE[codes]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) * 40503 + b.astype(np.int64)) & ((1 << PAIR_BITS) - 1)
 
 
 @lru_cache(2)
@@ -85,9 +107,6 @@ def load(model: bytes, alpha: float = ALPHA, ranked: bool = True) -> Vocabulary:
     n = sp.get_piece_size()
     names = [sp.id_to_piece(i) for i in range(n)]
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    for i in plain:
-        if chr(BLANK) in names[i].lstrip(chr(BLANK)):
-            raise ValueError(f"piece {i} has a blank behind another character")
     byte_ids = np.full(256, -1, np.int64)
     raw = [b""] * n
     for i in range(n):
@@ -119,8 +138,14 @@ def load(model: bytes, alpha: float = ALPHA, ranked: bool = True) -> Vocabulary:
     h = np.concatenate(hashes)
     order = np.argsort(h)
     bucket = np.searchsorted(h[order] >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
-    table = pa.array(raw, pa.binary())
-    return Vocabulary(h[order], bucket, np.array(ids)[order], np.array(longer)[order], max(by_length), log_p, byte_ids, table, n)
+    pairs = np.zeros(1 << PAIR_BITS, bool)
+    for i in plain:
+        codes = _code(names[i])
+        pairs[_pair(codes[:-1], codes[1:])] = True
+    return Vocabulary(
+        h[order], bucket, np.array(ids)[order], np.array(longer)[order], max(by_length), pairs, log_p, byte_ids,
+        pa.array(raw, pa.binary()), n,
+    )
 
 
 @dataclass
@@ -134,6 +159,49 @@ class Lattice:
     start: np.ndarray  # first node of each unit
 
 
+class Kept:
+    """Lattices of the units seen so far, by hash."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.zeros(0, np.int32)
+        self.hashes, self.units = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lattice = Lattice(none, none, np.zeros(0), np.zeros(1, np.int32), none)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.units[at], -1)
+
+    def units_of(self, hashes: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Index of each (distinct, ascending) unit; those not seen before are added."""
+        if len(self.lattice.src) > KEPT_EDGES:
+            self._clear()
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = np.concatenate([[0], np.cumsum(size[new])])
+            inside = np.arange(at[-1]) - np.repeat(at[:-1], size[new])
+            more, old = forward(self.v, codes[np.repeat(start[new], size[new]) + inside], at), self.lattice
+            nodes, edges = len(old.first) - 1, len(old.src)
+            found[new] = len(old.start) + np.arange(len(new))
+            self.lattice = Lattice(
+                np.concatenate([old.src, (more.src + nodes).astype(np.int32)]),
+                np.concatenate([old.piece, more.piece.astype(np.int32)]),
+                np.concatenate([old.cum, more.cum]),
+                np.concatenate([old.first[:-1], (more.first + edges).astype(np.int32)]),
+                np.concatenate([old.start, (more.start + nodes).astype(np.int32)]),
+            )
+            both = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(both)
+            self.hashes, self.units = both[order], np.concatenate([self.units, found[new]])[order]
+        return found
+
+
 def _utf8_length(code: np.ndarray) -> np.ndarray:
     code = np.where(code == LITERAL, BLANK, code)
     return 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
@@ -208,26 +276,22 @@ def forward(v: Vocabulary, codes: np.ndarray, at: np.ndarray) -> Lattice:
     return Lattice(src, piece, weight, first, node_at)
 
 
-def sample(v: Vocabulary, codes: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sample(kept: Kept, codes: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, row offsets): one path per row of lattice codes, drawn by the rows' keys."""
-    rows = len(at) - 1
+    v, rows = kept.v, len(at) - 1
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
-    blank = codes == BLANK
-    opens = blank & ~np.concatenate([[False], blank[:-1]])
+    opens = ~v.joined(codes)
     opens[at[:-1][np.diff(at) > 0]] = True
     start = np.flatnonzero(opens)
     stop = np.append(start[1:], len(codes))
-    _, one, which = np.unique(span_hashes(_values(codes), start, stop), return_index=True, return_inverse=True)
-    near = np.argsort(which, kind="stable")  # equal units side by side keep the lattice in cache
-    size = (stop - start)[one]
-    unit_at = np.concatenate([[0], np.cumsum(size)])
-    inside = np.arange(unit_at[-1]) - np.repeat(unit_at[:-1], size)
-    lattice = forward(v, codes[np.repeat(start[one], size) + inside], unit_at)
-    start, stop, which = start[near], stop[near], which[near]
+    hashes, one, which = np.unique(span_hashes(_values(codes), start, stop), return_index=True, return_inverse=True)
+    unit = kept.units_of(hashes, codes, start[one], (stop - start)[one])[which]
+    near = np.argsort(unit)  # equal units side by side keep the lattice in cache
+    start, stop, unit, lattice = start[near], stop[near], unit[near], kept.lattice
     row = np.searchsorted(at, start, side="right") - 1
     key, zero = keys[row], start - at[row]  # a unit's key and its place in the row
-    first = lattice.start[which]
+    first = lattice.start[unit].astype(np.int64)
     node = first + (stop - start)
     slot = np.full(len(codes), -1, np.int64)
     live = np.arange(len(start))
@@ -264,13 +328,25 @@ def _all_short(count: np.ndarray, spelt: np.ndarray) -> bool:
     return bool((count[spelt] == 1).all())
 
 
+_KEPT: dict[int, Kept] = {}
+
+
+def _kept(v: Vocabulary) -> Kept:
+    """This worker's lattices for a vocabulary; only the last vocabulary's stay."""
+    if id(v) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[id(v)] = Kept(v)
+    return _KEPT[id(v)]
+
+
 def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> pa.Array:
     raw, at, _ = utf8(texts)
+    kept = _kept(v)
     seeds = np.fromiter(
         (xxhash.xxh64_intdigest(b"" if k is None else b"=" + k.encode(), seed) for k in keys.to_pylist()), np.uint64, len(keys)
     )
     ids, sizes = [], [np.zeros(1, np.int64)]
-    for lo, hi in slices(at):
+    for lo, hi in slices(at, SLICE):
         points, starts = codepoints(raw, at, lo, hi)
         n = np.diff(starts)
         lead = (n > 0).astype(np.int64)  # a text is led in by one blank, an empty one is not
@@ -278,7 +354,7 @@ def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED
         codes = np.full(offsets[-1], BLANK, np.uint32)
         body = np.where(points == 32, BLANK, np.where(points == BLANK, LITERAL, points))
         codes[np.arange(len(points)) + np.repeat(np.cumsum(lead), n)] = body
-        got, ends = sample(v, codes, offsets, seeds[lo:hi])
+        got, ends = sample(kept, codes, offsets, seeds[lo:hi])
         ids.append(got)
         sizes.append(np.diff(ends))
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
