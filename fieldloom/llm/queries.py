@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
+from fieldloom.llm import chat, hamming, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
 from fieldloom.session import scratch_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path).drop("url", "file")
+
+
+@query()
+def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
