@@ -203,9 +203,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     blocks, query_blocks = -(-facts["n"] // BLOCK), -(-facts["q"] // QUERY_BLOCK)
     index = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec")
-    asked = rows.where(is_query).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("part"), "id", "vec")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1))).cast("long"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = rows.where(is_query).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(query_blocks, 1))).alias("part"), "id", "vec")
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(query_blocks, 1) - 1).cast("long"))))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
