@@ -30,13 +30,15 @@ from fieldloom.llm.common import codepoints, free_name, mix64, slices, text, utf
 from fieldloom.session import materialize
 
 ORDER = 4
+ALPHABET = 1 << 16
+"""Characters that the order below single ones spreads its mass over, seen or not."""
 MAX_GRAMS = 1_000_000
 """Largest number of 4-grams in one language's model. Beyond it the rarest are left out of
 the model (not of the counting), so that the model's size has a bound and it can be sent to
 all executors."""
 MAX_LANGUAGES = 256
 """Languages a model may hold; more are an error, not cut."""
-MARGIN = 4.0
+MARGIN = 3.0
 """Standard errors that a short text may lie above the rejection threshold."""
 SHARPNESS = 8.0
 """Nats of cross-entropy per character to the exponent of the score."""
@@ -164,7 +166,6 @@ def fit_language(keys: np.ndarray, counts: np.ndarray):
         shorter = grams_ & np.uint64((1 << 16 * (order - 1)) - 1)  # without the first character
         grams_, n = np.unique(shorter, return_counts=True)  # continuation counts
         n = n.astype(np.float64)
-    size = len(levels[-1][1]) + 1  # one more for whatever was never seen
     lower_keys, lower_p = None, None
     tables = []
     for order, g, n in reversed(levels):
@@ -174,8 +175,8 @@ def fit_language(keys: np.ndarray, counts: np.ndarray):
         back = d * kinds / total
         p = np.maximum(n - d, 0) / total[where]
         if order == 1:
-            p = p + back[where] / size
-            floor = math.log(back[0] / size)
+            p = p + back[where] / ALPHABET
+            floor = math.log(back[0] / ALPHABET)
         else:
             shorter = g & np.uint64((1 << 16 * (order - 1)) - 1)
             p = p + back[where] * lower_p[np.searchsorted(lower_keys, shorter)]

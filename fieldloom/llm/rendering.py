@@ -32,6 +32,7 @@ BLOCK = frozenset(
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir fieldset".split())
 """Blocks with a margin: a blank line before and behind."""
 KEEPS_SPACE = frozenset(("pre", "textarea", "listing", "xmp"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("html body option optgroup legend td th tr thead tbody tfoot caption".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
@@ -82,13 +83,13 @@ class TreeBuilder(HTMLParser):
 
     def _imply(self, tag: str) -> None:
         if tag in ENDS_P:
-            self._close({"p"}, {"table", "td", "th", "caption", "button", "object", "li", "div"} if tag != "p" else {"table", "td", "th", "caption", "button", "object"})
+            self._close({"p"}, {"table", "td", "th", "caption", "button", "object"})
         for old in {t for t, by in CLOSED_BY.items() if tag in by}:
             self._close({old}, SCOPE[old] | ({"table"} if old not in SCOPE["td"] else set()))
         # rows and cells stand inside a table and a row, written or not
         if tag in ("td", "th"):
             self._within("tr", {"table"})
-        if len(self.open[-1].tag) == 2 and self.open[-1].tag in {"h1", "h2", "h3", "h4", "h5", "h6"} and tag in {"h1", "h2", "h3", "h4", "h5", "h6"}:
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.open.pop()
 
     def _within(self, tag: str, scope: set[str]) -> None:
@@ -129,6 +130,8 @@ class TreeBuilder(HTMLParser):
             return
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self._push("p", {})
+        if tag in HEADINGS:  # the end of any heading ends the open one
+            return self._close(HEADINGS, {"table", "td", "th"})
         inline = tag not in BLOCK and tag not in UNSEEN
         walls = {"td", "th", "table", "caption"} if inline or tag == "p" else {"table"} if tag in SCOPE else set()
         self._close({tag}, walls - {tag})
