@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,10 @@ from fieldloom.operators.ranking import with_rank
 
 # Element types of raw files and their Spark names.
 DTYPES = {"float32": "float", "float64": "double", "int32": "int", "int64": "bigint"}
+RENAMES = 32
+"""Segments renamed at a time on commit."""
 SEGMENT = re.compile(r"seg-(\d+)$")
-STEP_FILE = r"([^/]+)\.dat\.(\d+)(/seg-\d+)?$"
+STEP_FILE = re.compile(r"([^/]+)\.dat\.(\d+)(?:/seg-\d+)?$")
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -70,13 +73,18 @@ class RawArrayReader(DataSourceReader):
         self.dtype = np.dtype(options.get("dtype", "float32")).newbyteorder("<")
         self.width = int(options.get("width", "1"))
         self.task_bytes = int(options.get("taskBytes", str(64 << 20)))
+        self.tasks = int(options.get("tasks", "1"))
+        self.steps = options.get("steps") == "true"
 
     def partitions(self) -> list[ByteRanges]:
         row = self.dtype.itemsize * self.width
-        per_task = max(1, self.task_bytes // row)
+        files = _files(self.path)
+        # small arrays are spread over all cores, large ones cut at taskBytes
+        even = -(-sum(size for _, size, _ in files) // self.tasks)
+        per_task = max(1, min(self.task_bytes, even) // row)
         tasks: list[ByteRanges] = [ByteRanges([])]
         room = per_task
-        for name, size, first in _files(self.path):
+        for name, size, first in files:
             if size % row:
                 raise ValueError(f"{name}: {size} bytes is no multiple of {row}")
             at, rows = 0, size // row
@@ -93,15 +101,22 @@ class RawArrayReader(DataSourceReader):
         fs, _ = _open(self.path)
         row = self.dtype.itemsize * self.width
         for file, first, offset, rows in part.pieces:
+            labels, names = [pa.array([file])], ["file"]
+            if self.steps:  # variable and step once per piece, not per row
+                found = STEP_FILE.search(file)
+                if found is None:
+                    raise ValueError(f"{file} is not named <var>.dat.<t>")
+                labels, names = [pa.array([found[1]]), pa.array([int(found[2])], pa.int32())], ["var", "t"]
             with fs.open_input_file(file) as f:
                 for done in range(0, rows, 1 << 16):
                     n = min(1 << 16, rows - done)
                     data = np.frombuffer(f.read_at(n * row, offset + done * row), self.dtype)
                     ends = np.arange(0, len(data) + 1, self.width, dtype=np.int32)
-                    name = pa.array([file]).take(pa.array(np.zeros(n, np.int64)))
+                    same = pa.array(np.zeros(n, np.int64))
                     idx = pa.array(np.arange(first + done, first + done + n))
                     vals = pa.ListArray.from_arrays(ends, pa.array(data))
-                    yield pa.RecordBatch.from_arrays([name, idx, vals], names=["file", "idx", "vals"])
+                    columns = [*[label.take(same) for label in labels], idx, vals]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "idx", "vals"])
 
 
 @dataclass
@@ -152,9 +167,9 @@ class RawArrayWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         fs, _ = _open(self.path)
-        for m in messages:
-            for temporary, final in m.moves if m else ():
-                fs.move(temporary, final)
+        moves = [move for m in messages if m for move in m.moves]
+        with ThreadPoolExecutor(RENAMES) as pool:  # renames wait for the store, not for this process
+            list(pool.map(lambda move: fs.move(*move), moves))
 
     def abort(self, messages) -> None:
         fs, _ = _open(self.path)
@@ -169,7 +184,8 @@ class RawArraySource(DataSource):
         return "rawarray"
 
     def schema(self) -> str:
-        return f"file string, idx bigint, vals array<{DTYPES[self.options.get('dtype', 'float32')]}>"
+        label = "var string, t int" if self.options.get("steps") == "true" else "file string"
+        return f"{label}, idx bigint, vals array<{DTYPES[self.options.get('dtype', 'float32')]}>"
 
     def reader(self, schema) -> RawArrayReader:
         return RawArrayReader(dict(self.options))
@@ -178,10 +194,12 @@ class RawArraySource(DataSource):
         return RawArrayWriter(dict(self.options), overwrite)
 
 
-def read_raw(spark: SparkSession, path: str, dtype: str = "float32", width: int = 1) -> DataFrame:
-    """(file, idx, vals) of one file or of all files and segments below a folder."""
+def read_raw(spark: SparkSession, path: str, dtype: str = "float32", width: int = 1, steps: bool = False) -> DataFrame:
+    """(file, idx, vals) of one file or of all files and segments below a folder; with
+    ``steps`` (var, t, idx, vals) of files named <var>.dat.<t>."""
     spark.dataSource.register(RawArraySource)
-    return spark.read.format("rawarray").options(path=path, dtype=dtype, width=str(width)).load()
+    options = dict(path=path, dtype=dtype, width=str(width), tasks=str(spark.sparkContext.defaultParallelism))
+    return spark.read.format("rawarray").options(**options, steps=str(steps).lower()).load()
 
 
 def _write(rows: DataFrame, path: str, dtype: str) -> None:
@@ -212,9 +230,6 @@ def write_steps(field: DataFrame, folder: str, dtype: str = "float32") -> None:
 
 def read_steps(spark: SparkSession, folder: str, dtype: str = "float32") -> DataFrame:
     """(var, t, vid, val) of all <var>.dat.<t> arrays in a folder."""
-    raw = read_raw(spark, folder, dtype)
-    return raw.select(
-        F.regexp_extract("file", STEP_FILE, 1).alias("var"),
-        F.regexp_extract("file", STEP_FILE, 2).cast("int").alias("t"),
-        F.col("idx").alias("vid"), F.col("vals")[0].alias("val"),
+    return read_raw(spark, folder, dtype, steps=True).select(
+        "var", "t", F.col("idx").alias("vid"), F.col("vals")[0].alias("val")
     )
