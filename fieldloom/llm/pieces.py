@@ -15,6 +15,7 @@ literal U+2581, which would otherwise read as a blank; decoding is therefore los
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from fieldloom.llm.common import asset, codepoints, mix64, slices, span_hashes, text, utf8
 
@@ -37,7 +38,7 @@ BUCKET_BITS = 17
 PAIR_BITS = 22
 SLICE = 1 << 20
 """Bytes of text per numpy step."""
-KEPT_EDGES = 4_000_000
+KEPT_EDGES = 3_000_000
 """Lattice edges a worker keeps between slices (16 bytes each); beyond it, it starts anew."""
 
 BLANK = 0x2581
@@ -339,13 +340,13 @@ def _kept(v: Vocabulary) -> Kept:
     return _KEPT[id(v)]
 
 
-def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> pa.Array:
+def encode_slices(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, piece ids) for runs of rows of about SLICE bytes."""
     raw, at, _ = utf8(texts)
     kept = _kept(v)
     seeds = np.fromiter(
         (xxhash.xxh64_intdigest(b"" if k is None else b"=" + k.encode(), seed) for k in keys.to_pylist()), np.uint64, len(keys)
     )
-    ids, sizes = [], [np.zeros(1, np.int64)]
     for lo, hi in slices(at, SLICE):
         points, starts = codepoints(raw, at, lo, hi)
         n = np.diff(starts)
@@ -355,10 +356,12 @@ def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED
         body = np.where(points == 32, BLANK, np.where(points == BLANK, LITERAL, points))
         codes[np.arange(len(points)) + np.repeat(np.cumsum(lead), n)] = body
         got, ends = sample(kept, codes, offsets, seeds[lo:hi])
-        ids.append(got)
-        sizes.append(np.diff(ends))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(flat))
+        yield lo, hi, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got))
+
+
+def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> pa.Array:
+    parts = [ids for _, _, ids in encode_slices(v, texts, keys, seed)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def decode_rows(v: Vocabulary, ids: pa.Array) -> pa.Array:
@@ -399,13 +402,26 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     texts have no pieces. Equal ids with equal texts are segmented alike; a null id is a
     key of its own. Other columns are ignored.
     """
-    pieces = Pieces(docs.sparkSession, model, alpha, seed)
-    slim = docs.select(F.col(id_col), F.coalesce(text(text_col), F.lit("")).alias("_text"))
-    got = slim.withColumn("_ids", pieces.encode("_text", F.col(id_col)))
-    return got.select(
-        id_col,
-        F.col("_ids").alias("ids"),
-        F.size("_ids").cast("long").alias("n_pieces"),
-        F.length("_text").cast("long").alias("n_chars"),
-        (pieces.decode("_ids") == F.col("_text")).alias("lossless"),
+    held = asset(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = load(held.value, alpha)
+        for batch in batches:
+            ids, texts, keys = batch.columns
+            for lo, hi, got in encode_slices(v, texts, keys, seed):
+                said = texts[lo:hi]
+                columns = [
+                    ids[lo:hi], got, pc.list_value_length(got).cast(pa.int64()), pc.utf8_length(said).cast(pa.int64()),
+                    pc.equal(decode_rows(v, got), said),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *_COLUMNS])
+
+    slim = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(text(text_col), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("key")
     )
+    kinds = zip(_COLUMNS, (ArrayType(IntegerType()), LongType(), LongType(), BooleanType()))
+    out = StructType([slim.schema["id"], *[StructField(c, t) for c, t in kinds]])
+    return slim.mapInArrow(run, out).withColumnRenamed("id", id_col)
+
+
+_COLUMNS = ("ids", "n_pieces", "n_chars", "lossless")
