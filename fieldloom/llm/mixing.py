@@ -3,7 +3,7 @@
 A softmax classifier over hashed words, fitted on a bounded sample of the labelled
 documents, gives every document posteriors p over the domains. With n tokens and rate
 x, a document is expected to add x * n * p[k] tokens to domain k. The rates minimise the
-squared distance of these totals to the targets, subject to x >= 0, by accelerated
+squared distance of these totals to the targets, subject to 0 <= x <= MAX_RATE, by accelerated
 projected gradient from x = 1. Residuals count in units of the domain's present share,
 so a rare domain is fitted as well as a common one and a step of 1 is safe. The gradient
 of one document is p . c, where c is the residual vector of the whole corpus; so a step is one aggregation of a few numbers in
@@ -28,7 +28,12 @@ TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 TRAIN_ROWS = 2000
 """Labelled documents per domain that the classifier is fitted on (those of smallest hash)."""
 BUCKETS = 1 << 16
-EPOCHS = 60
+MIN_DOCS = 10
+"""Training documents that a bucket must occur in to have weights."""
+EPOCHS = 150
+MAX_RATE = 4.0
+"""Largest rate: more repetitions of the same text teach a model next to nothing. A target that
+would need more is met as nearly as this allows."""
 STEPS = 40
 """Projected-gradient steps at most; fewer if the totals are within TOLERANCE of the targets."""
 TOLERANCE = 1e-4
@@ -73,38 +78,43 @@ def _rows(batches):
                 [
                     batch.column(0)[i : i + 1],
                     pa.array([kinds.astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([n / max(1, n.sum())], pa.list_(pa.float64())),
+                    pa.array([n / max(1, n.sum()) ** 0.5], pa.list_(pa.float64())),
                 ],
                 names=["domain", "bucket", "share"],
             )
 
 
-def fit(domain: np.ndarray, bucket: np.ndarray, share: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Weights (BUCKETS + 1, k) of a softmax over mean word weights; the last row is the bias."""
-    rows = len(at) - 1
+def fit(domain: np.ndarray, bucket: np.ndarray, share: np.ndarray, at: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Weights (BUCKETS + 1, k) of a softmax over word weights; the last row is the bias.
+
+    ``share`` is a bucket's count over the root of the document's words, so that a few
+    telling words count in a long text too. ``prior`` are the domains' shares among all labels.
+    """
+    rows, k = len(at) - 1, len(prior)
     weights = np.zeros((BUCKETS + 1, k))
     if not rows:
         return weights
     row = np.repeat(np.arange(rows), np.diff(at))
+    often = np.bincount(bucket, minlength=BUCKETS)[bucket] >= MIN_DOCS
+    row, bucket, share = row[often], bucket[often], share[often]
     used, column = np.unique(bucket, return_inverse=True)
     w, bias = np.zeros((len(used), k)), np.zeros(k)
     seen_w, seen_b = np.full(w.shape, 1e-8), np.full(k, 1e-8)
     truth = np.eye(k)[domain]
-    scale = 1.0 / np.maximum(truth.sum(axis=0), 1)[domain]  # domains weigh alike in the fit
-    prior = np.log(np.maximum(truth.mean(axis=0), 1e-6))
     for _ in range(EPOCHS):
         z = np.stack([np.bincount(row, share * w[column, j], rows) for j in range(k)], axis=1) + bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (e / e.sum(axis=1, keepdims=True) - truth) * scale[:, None]
+        g = (e / e.sum(axis=1, keepdims=True) - truth) / rows
         for j in range(k):
-            d = np.bincount(column, share * g[row, j], len(used)) + 1e-7 * w[:, j]
+            d = np.bincount(column, share * g[row, j], len(used)) + 1e-6 * w[:, j]
             seen_w[:, j] += d * d
-            w[:, j] -= 2.0 * d / np.sqrt(seen_w[:, j])
+            w[:, j] -= 3.0 * d / np.sqrt(seen_w[:, j])
         d = g.sum(axis=0)
         seen_b += d * d
         bias -= 0.5 * d / np.sqrt(seen_b)
     weights[used] = w
-    weights[-1] = bias + prior - prior.mean()
+    # the sample holds rare domains more often than the labels do
+    weights[-1] = bias + np.log(np.maximum(prior, 1e-6)) - np.log(np.maximum(truth.mean(axis=0), 1e-6))
     return weights
 
 
@@ -118,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain
     named = named.groupBy("id").agg(F.max(order).alias("domain"))
     here = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     named = materialize(named.join(here, "id", "left_semi"), "mixing-labels")
+    share = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
+    prior = np.array([share.get(k, 0) for k in range(1, len(DOMAINS) + 1)], float)
     sample = None
     for k in range(1, len(DOMAINS) + 1):
         part = named.where(F.col("domain") == k).orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -140,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain
         np.asarray(pa.compute.list_flatten(got["bucket"])).astype(np.int64),
         np.asarray(pa.compute.list_flatten(got["share"])),
         np.concatenate([[0], np.cumsum(sizes)]),
-        len(DOMAINS),
+        prior / max(prior.sum(), 1),
     )
 
 
@@ -154,7 +166,7 @@ def memberships(weights: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.nd
         hits = np.bincount(row, minlength=hi - lo)
         tokens[lo:hi] = hits - np.bincount(row[bucket == 0], minlength=hi - lo)
         for j in range(k):
-            z[lo:hi, j] = np.bincount(row, weights[bucket, j], hi - lo) / np.maximum(hits, 1)
+            z[lo:hi, j] = np.bincount(row, weights[bucket, j], hi - lo) / np.sqrt(np.maximum(hits, 1))
     z += weights[-1]
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return tokens, e / e.sum(axis=1, keepdims=True)
@@ -164,7 +176,7 @@ def fold_rates(p: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(rate, extrapolated rate) after the recorded steps; each is a row (momentum, c...)."""
     x = y = np.ones(len(p))
     for momentum, *c in history:
-        new = np.maximum(0.0, y - p @ np.array(c))
+        new = np.clip(y - p @ np.array(c), 0.0, MAX_RATE)
         x, y = new, new + momentum * (new - x)
     return x, y
 
