@@ -14,7 +14,7 @@ from fieldloom.functions import scalars
 from fieldloom.operators import (
     adjacency, coding, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
 )
-from fieldloom.plans import blocks
+from fieldloom.plans import blocks, sweeps
 from fieldloom.session import materialize
 from fieldloom.sources import tables
 
@@ -426,10 +426,95 @@ def _report(spark, sf, name: str) -> DataFrame:
     return blocks.bound_report(blocks.paired(laid, decoded, bounds(spark, sf), BATCH))
 
 
-@query(REPORT)
+# The whole mesh, colour by colour: every colour is one relation that sees all earlier ones.
+SWEEP_K = 4
+GROUND = with_(EDGES, POS, DIST, SERIES) + f""", paint AS (
+  SELECT p_partkey AS vid, CAST(((p_partkey % 2147483648) * {sweeps.MULTIPLIER} % {sweeps.MODULUS}) // {sweeps.MODULUS // sweeps.COLOURS} AS INTEGER) AS c
+  FROM part),
+near AS (
+  SELECT src, dst, rn, CASE WHEN dist > 0 THEN 1.0::DOUBLE / dist ELSE 1e300::DOUBLE END AS w
+  FROM (SELECT d.src, d.dst, d.dist, row_number() OVER (PARTITION BY d.src ORDER BY d.dist, d.dst) AS rn
+        FROM dists d JOIN paint a ON a.vid = d.src JOIN paint b ON b.vid = d.dst WHERE b.c < a.c) WHERE rn <= {SWEEP_K}),
+limits AS (
+  SELECT var, t, (max(CAST(val AS DOUBLE)) - min(CAST(val AS DOUBLE))) * {REL_EB}::DOUBLE AS eb
+  FROM series WHERE val <> -99999 GROUP BY var, t),
+base AS (SELECT s.var, s.t, s.vid, s.val, coalesce(l.eb, 0.0::DOUBLE) AS eb, p.c
+         FROM series s JOIN paint p ON p.vid = s.vid LEFT JOIN limits l ON l.var = s.var AND l.t = s.t)"""
+
+
+def _coded_cte(masked: bool) -> str:
+    """CTEs dec0, dec1, ...: the samples of one colour, coded from those of all smaller ones."""
+    out = []
+    for c in range(sweeps.COLOURS):
+        earlier = " UNION ALL ".join(f"SELECT var, t, vid, dec FROM dec{j}" for j in range(c))
+        use = "d.dec <> -99999 AND" if masked else ""
+        slot = lambda j, what: f"coalesce(max(CASE WHEN {use} n.rn = {j} THEN {what} END), 0.0::DOUBLE)"
+        num = " + ".join(slot(j, "n.w * CAST(d.dec AS DOUBLE)") for j in range(1, SWEEP_K + 1))
+        den = " + ".join(slot(j, "n.w") for j in range(1, SWEEP_K + 1))
+        pred = f"""(SELECT n.src AS vid, d.var, d.t, {num} AS num, {den} AS den
+          FROM near n JOIN paint p ON p.vid = n.src AND p.c = {c} JOIN ({earlier}) d ON d.vid = n.dst GROUP BY n.src, d.var, d.t)""" if c else (
+            "(SELECT NULL::BIGINT AS vid, NULL::VARCHAR AS var, NULL::INTEGER AS t, 0.0::DOUBLE AS num, 0.0::DOUBLE AS den)")
+        gone = "val = -99999" if masked else "false"
+        out.append(f"""dec{c} AS MATERIALIZED (
+  SELECT var, t, vid, CAST(CASE WHEN {gone} THEN -1 WHEN fits THEN {scalars.RADIUS} + h ELSE 0 END AS BIGINT) AS q,
+         CASE WHEN NOT {gone} AND fits THEN d ELSE val END AS dec
+  FROM (SELECT *, s < {scalars.CAPACITY} AND abs(CAST(d AS DOUBLE) - CAST(val AS DOUBLE)) < eb AS fits
+        FROM (SELECT *, CASE WHEN s < {scalars.CAPACITY} THEN CAST(pred + 2.0::DOUBLE * h * eb AS FLOAT) ELSE val END AS d
+              FROM (SELECT *, CASE WHEN diff > 0 THEN floor(s / 2) ELSE -floor(s / 2) END AS h
+                    FROM (SELECT *, CASE WHEN eb > 0 THEN abs(diff) / eb + 1 ELSE 1e300::DOUBLE END AS s
+                          FROM (SELECT *, CAST(val AS DOUBLE) - pred AS diff
+                                FROM (SELECT b.*, CASE WHEN p.den > 0 THEN p.num / p.den ELSE 0.0::DOUBLE END AS pred
+                                      FROM base b LEFT JOIN {pred} p ON p.vid = b.vid AND p.var = b.var AND p.t = b.t WHERE b.c = {c})))))))""")
+    every = " UNION ALL ".join(f"SELECT * FROM dec{c}" for c in range(sweeps.COLOURS))
+    return GROUND + ",\n" + ",\n".join(out) + f", coded AS ({every})\n"
+
+
+SWEPT = """SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS q_sum, CAST(sum(q * (vid % 97)) AS BIGINT) AS q_place,
+  round(sum(CAST(dec AS DOUBLE)), 2) AS dec_sum, CAST(count(*) FILTER (q = 0) AS BIGINT) AS escapes, true AS restored
+FROM coded GROUP BY {keys}"""
+
+
+def sweep_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.once(spark, sf, "sweep-edges", lambda: sweeps.causal_edges(mq.distances(spark, sf), SWEEP_K))
+
+
+def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lambda: sweeps.rows_of(step_field(spark, sf), tables.VARIABLES, STEPS, BATCH)
+    return tables.once(spark, sf, "sweep-rows", rows)
+
+
+def swept(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
+    """(var, t, vid, q, dec, restored): coded over the whole mesh, and decoded from the blob alone."""
+
+    def build():
+        edges, rows = sweep_edges(spark, sf), sweep_rows(spark, sf)
+        b = sweeps.bounds_of(rows, REL_EB)
+        blob = sweeps.compress(rows, edges, b, SWEEP_K, masked)
+        back = sweeps.decompress(blob, edges, b, SWEEP_K, masked)
+        both = blob.select("vid", "tb", "q", "decs").join(back.select("vid", "tb", F.col("decs").alias("again")), ["vid", "tb"])
+        zipped = both.select("vid", "tb", F.arrays_zip("q", "decs", "again").alias("s"))
+        return sweeps.samples(zipped, "s", tables.VARIABLES, STEPS, BATCH).select(
+            "var", "t", "vid", "s.q", F.col("s.decs").alias("dec"), (F.col("s.decs") == F.col("s.again")).alias("restored")
+        )
+
+    return tables.once(spark, sf, f"swept-{masked}", build)
+
+
+def _swept_report(coded: DataFrame, *keys: str) -> DataFrame:
+    return coded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("q").alias("q_sum"),
+        F.sum(F.col("q") * (F.col("vid") % 97)).alias("q_place"),
+        F.round(F.sum(F.col("dec").cast("double")), 2).alias("dec_sum"),
+        F.count_if(F.col("q") == 0).alias("escapes"),
+        F.bool_and("restored").alias("restored"),
+    )
+
+
+@query(_coded_cte(False) + SWEPT.format(keys="var, t"))
 def roundtrip_neighbours(spark, sf):
-    """Nearest-neighbour prediction, one stream per variable: samples inside the bound."""
-    return _report(spark, sf, "neighbours")
+    """Nearest-neighbour prediction in a closed loop over the whole mesh."""
+    return _swept_report(swept(spark, sf, False), "var", "t")
 
 
 @query(REPORT)
@@ -444,10 +529,10 @@ def roundtrip_kriging(spark, sf):
     return _report(spark, sf, "kriging")
 
 
-@query(REPORT)
+@query(_coded_cte(True) + SWEPT.format(keys="var, t"))
 def roundtrip_masked(spark, sf):
-    """Mask-aware prediction with a mask refresh every batch."""
-    return _report(spark, sf, "masked")
+    """The same, mask-aware: missing samples neither predict nor are predicted."""
+    return _swept_report(swept(spark, sf, True), "var", "t")
 
 
 @query(REPORT)
@@ -462,10 +547,10 @@ def roundtrip_adaptive_fit(spark, sf):
     return _report(spark, sf, "adaptive-fit")
 
 
-@query(REPORT)
+@query(_coded_cte(False) + SWEPT.format(keys="t"))
 def roundtrip_joint_snapshot(spark, sf):
-    """All variables of a part in one entropy-coded stream."""
-    return _report(spark, sf, "joint")
+    """All variables of a snapshot together, as they stand side by side in one row."""
+    return _swept_report(swept(spark, sf, False), "t")
 
 
 @query(REPORT)
