@@ -240,7 +240,11 @@ class Mix:
         def rate(ps: pa.Array) -> pa.Array:
             return pa.array(fold_rates(np.asarray(ps.flatten()).reshape(-1, len(DOMAINS)), steps.value)[0])
 
-        self.rate = rate
+        @F.arrow_udf(DoubleType())
+        def text_rate(texts: pa.Array) -> pa.Array:
+            return pa.array(fold_rates(memberships(held.value, texts)[1], steps.value)[0])
+
+        self.rate, self.text_rate = rate, lambda col: text_rate(text(col))
 
 
 def copies(rate: Column, key: Column, seed: int = 6) -> Column:
@@ -273,6 +277,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets=TARGETS, id_col: str =
     mix = Mix(docs, labels, targets, id_col, text_col)
     columns = docs.columns
     name = free_name(docs, "copies")
-    often = copies(mix.rate(mix.member(text_col)["p"]), F.col(id_col))
+    often = copies(mix.text_rate(text_col), F.col(id_col))
     got = docs.withColumn(name, often).where(F.col(name) > 0)
     return got.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*columns)

@@ -36,10 +36,10 @@ ALPHA = 1.0
 SEED = 10
 BUCKET_BITS = 17
 PAIR_BITS = 22
-SLICE = 1 << 20
+SLICE = 1 << 18
 """Bytes of text per numpy step."""
-KEPT_EDGES = 3_000_000
-"""Lattice edges a worker keeps between slices (16 bytes each); beyond it, it starts anew."""
+KEPT_EDGES = 2_000_000
+"""Lattice edges a worker keeps between slices (24 bytes each); beyond it, it starts anew."""
 
 BLANK = 0x2581
 LITERAL = 0x110000
@@ -168,9 +168,19 @@ class Kept:
         self._clear()
 
     def _clear(self) -> None:
-        none = np.zeros(0, np.int32)
         self.hashes, self.units = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.lattice = Lattice(none, none, np.zeros(0), np.zeros(1, np.int32), none)
+        n = KEPT_EDGES + KEPT_EDGES // 4
+        whole, real = np.int32, np.float64
+        self.lattice = Lattice(np.empty(n, whole), np.empty(n, whole), np.empty(n, real), np.zeros(n + 1, whole), np.empty(n, whole))
+        self.edges = self.nodes = self.n_units = 0
+
+    def _add(self, name: str, at: int, more: np.ndarray) -> None:
+        """Write ``more`` into an array from ``at`` on, which grows only for a very large slice."""
+        held = getattr(self.lattice, name)
+        if at + len(more) > len(held):
+            held = np.concatenate([held[:at], np.empty(len(more) * 2, held.dtype)])
+            setattr(self.lattice, name, held)
+        held[at : at + len(more)] = more
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -180,26 +190,24 @@ class Kept:
 
     def units_of(self, hashes: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Index of each (distinct, ascending) unit; those not seen before are added."""
-        if len(self.lattice.src) > KEPT_EDGES:
+        if self.edges > KEPT_EDGES:
             self._clear()
         found = self._find(hashes)
         new = np.flatnonzero(found < 0)
         if len(new):
             at = np.concatenate([[0], np.cumsum(size[new])])
             inside = np.arange(at[-1]) - np.repeat(at[:-1], size[new])
-            more, old = forward(self.v, codes[np.repeat(start[new], size[new]) + inside], at), self.lattice
-            nodes, edges = len(old.first) - 1, len(old.src)
-            found[new] = len(old.start) + np.arange(len(new))
-            self.lattice = Lattice(
-                np.concatenate([old.src, (more.src + nodes).astype(np.int32)]),
-                np.concatenate([old.piece, more.piece.astype(np.int32)]),
-                np.concatenate([old.cum, more.cum]),
-                np.concatenate([old.first[:-1], (more.first + edges).astype(np.int32)]),
-                np.concatenate([old.start, (more.start + nodes).astype(np.int32)]),
-            )
-            both = np.concatenate([self.hashes, hashes[new]])
-            order = np.argsort(both)
-            self.hashes, self.units = both[order], np.concatenate([self.units, found[new]])[order]
+            more = forward(self.v, codes[np.repeat(start[new], size[new]) + inside], at)
+            found[new] = self.n_units + np.arange(len(new))
+            self._add("src", self.edges, more.src + self.nodes)
+            self._add("piece", self.edges, more.piece)
+            self._add("cum", self.edges, more.cum)
+            self._add("first", self.nodes, more.first + self.edges)
+            self._add("start", self.n_units, more.start + self.nodes)
+            self.edges, self.nodes, self.n_units = self.edges + len(more.src), self.nodes + len(more.first) - 1, self.n_units + len(new)
+            where = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, where, hashes[new])
+            self.units = np.insert(self.units, where, found[new])
         return found
 
 
