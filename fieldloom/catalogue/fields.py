@@ -20,11 +20,12 @@ from fieldloom.sources import tables
 
 BATCH = 10
 REL_EB = 1e-2
-STEPS = tables.STEPS
 
-SAMPLES = """samples AS (
+SAMPLES = """calendar AS (
+  SELECT min(q) AS lo, max(q) - min(q) + 1 AS n FROM (SELECT year(l_shipdate) * 4 + quarter(l_shipdate) AS q FROM lineitem)),
+samples AS (
   SELECT l_partkey AS vid,
-         CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS t,
+         CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - (SELECT lo FROM calendar) AS INTEGER) AS t,
          CAST(sum(CAST(round(l_quantity * 1.0) AS BIGINT)) / count(*) / 1.0 AS FLOAT) AS quantity,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100.0 AS FLOAT) AS price,
          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100.0 AS FLOAT) AS discount,
@@ -35,7 +36,7 @@ series AS (
   SELECT n.var, CAST(r.t AS INTEGER) AS t, p.p_partkey AS vid,
          coalesce(CASE n.var WHEN 'discount' THEN s.discount WHEN 'price' THEN s.price
                              WHEN 'quantity' THEN s.quantity ELSE s.tax END, CAST(-99999 AS FLOAT)) AS val
-  FROM part p CROSS JOIN names n CROSS JOIN range(28) r(t)
+  FROM part p CROSS JOIN names n CROSS JOIN (SELECT unnest(range(n)) AS t FROM calendar) r
   LEFT JOIN samples s ON s.vid = p.p_partkey AND s.t = r.t)"""
 
 
@@ -57,7 +58,7 @@ def block_mesh(spark: SparkSession, sf: str, order: traverse.Order = traverse.Or
 def laid_field(spark: SparkSession, sf: str, order: traverse.Order = traverse.Order.PRIORITY_DEPTH) -> DataFrame:
     return tables.once(
         spark, sf, f"laid-{order.name.lower()}",
-        lambda: blocks.lay_out_field(step_field(spark, sf), block_mesh(spark, sf, order), STEPS, BATCH),
+        lambda: blocks.lay_out_field(step_field(spark, sf), block_mesh(spark, sf, order), tables.steps(spark, sf), BATCH),
     )
 
 
@@ -278,9 +279,8 @@ def level_sets(spark, sf):
     )
 
 
-REGIONS = "WITH RECURSIVE " + ", ".join((EDGES, POS, DIST, near_cte(3, False))) + """,
-sparse AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near), """ + LEVELS + """,
-inside AS (SELECT e.src, e.dst FROM sparse e JOIN sets a ON a.vid = e.src JOIN sets b ON b.vid = e.dst
+REGIONS = "WITH RECURSIVE " + EDGES + ", " + LEVELS + """,
+inside AS (SELECT e.src, e.dst FROM edges e JOIN sets a ON a.vid = e.src JOIN sets b ON b.vid = e.dst
            WHERE a.set_id = b.set_id),
 reach(vid, root) USING KEY (vid) AS (
   SELECT vid, vid FROM sets
@@ -289,7 +289,7 @@ reach(vid, root) USING KEY (vid) AS (
   JOIN recurring.reach c ON c.vid = i.src WHERE r.root < c.root GROUP BY i.src),
 rooted AS (SELECT s.vid, s.val, s.set_id, r.root FROM sets s JOIN reach r USING (vid)),
 labels AS (SELECT vid, val, dense_rank() OVER (ORDER BY set_id, root) - 1 AS rid FROM rooted),
-boundary AS (SELECT DISTINCT e.src AS vid, a.rid FROM sparse e JOIN labels a ON a.vid = e.src
+boundary AS (SELECT DISTINCT e.src AS vid, a.rid FROM edges e JOIN labels a ON a.vid = e.src
              JOIN labels b ON b.vid = e.dst WHERE a.rid <> b.rid)
 """
 
@@ -300,18 +300,10 @@ def price_field(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sparse_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The three nearest neighbours, made symmetric: prices vary slowly along it."""
-    return tables.once(
-        spark, sf, "sparse-edges",
-        lambda: adjacency.from_pairs(neighbours.nearest(mq.distances(spark, sf), 3).select("src", "dst")),
-    )
-
-
 def static_decomposition(spark: SparkSession, sf: str) -> regions.Decomposition:
     def build(name):
         def make():
-            d = regions.decompose(price_field(spark, sf), sparse_edges(spark, sf), SET_EB)
+            d = regions.decompose(price_field(spark, sf), mq.edges(spark, sf), SET_EB)
             for other in ("regions", "boundary", "seeds", "labels"):
                 if other != name:
                     tables.once(spark, sf, f"sd-{other}", lambda: getattr(d, other))
@@ -324,19 +316,32 @@ def static_decomposition(spark: SparkSession, sf: str) -> regions.Decomposition:
     )
 
 
+PIECES = """, interior AS (SELECT vid, rid FROM labels WHERE vid NOT IN (SELECT vid FROM boundary)),
+links AS (SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM interior) AND dst IN (SELECT vid FROM interior)),
+pieces(vid, root) USING KEY (vid) AS (
+  SELECT vid, vid FROM interior
+  UNION
+  SELECT i.src, min(r.root) FROM pieces r JOIN links i ON i.dst = r.vid
+  JOIN recurring.pieces c ON c.vid = i.src WHERE r.root < c.root GROUP BY i.src)
+"""
+
+
 @query(REGIONS + "SELECT vid, rid FROM labels")
 def region_labels(spark, sf):
     """Connected components of every level set, numbered by (set, smallest id)."""
     return static_decomposition(spark, sf).labels.select("vid", "rid")
 
 
-@query(REGIONS + """, means AS (SELECT rid, avg(CAST(val AS DOUBLE)) AS mean, count(*) AS members FROM labels GROUP BY rid)
+@query(REGIONS + PIECES + """, means AS (SELECT rid, avg(CAST(val AS DOUBLE)) AS mean, count(*) AS members FROM labels GROUP BY rid),
+nbs AS (SELECT rid, count(*) AS nb FROM boundary GROUP BY rid),
+nis AS (SELECT i.rid, count(*) AS ni FROM pieces p JOIN interior i ON i.vid = p.vid WHERE p.root = p.vid GROUP BY i.rid)
 SELECT m.rid, round(CAST(CAST(m.mean AS FLOAT) AS DOUBLE), 3) AS mean, CAST(m.members AS BIGINT) AS members,
-  CAST(count(b.vid) AS BIGINT) AS nb FROM means m LEFT JOIN boundary b ON b.rid = m.rid GROUP BY ALL""")
+  CAST(coalesce(nb, 0) AS BIGINT) AS nb, CAST(coalesce(ni, 0) AS BIGINT) AS ni
+FROM means m LEFT JOIN nbs USING (rid) LEFT JOIN nis USING (rid)""")
 def region_summary(spark, sf):
     """Mean, size and boundary count of every region."""
     r = static_decomposition(spark, sf).regions
-    return r.select("rid", F.round(F.col("mean").cast("double"), 3).alias("mean"), "members", "nb")
+    return r.select("rid", F.round(F.col("mean").cast("double"), 3).alias("mean"), "members", "nb", "ni")
 
 
 @query(REGIONS + """SELECT rid, row_number() OVER (ORDER BY rid, vid) - 1 AS turn,
@@ -352,14 +357,7 @@ def boundary_from_deltas(spark, sf):
     return regions.delta_decode(static_decomposition(spark, sf).boundary).select("vid", "rid")
 
 
-@query(REGIONS + """, interior AS (SELECT vid, rid FROM labels WHERE vid NOT IN (SELECT vid FROM boundary)),
-links AS (SELECT src, dst FROM sparse WHERE src IN (SELECT vid FROM interior) AND dst IN (SELECT vid FROM interior)),
-pieces(vid, root) USING KEY (vid) AS (
-  SELECT vid, vid FROM interior
-  UNION
-  SELECT i.src, min(r.root) FROM pieces r JOIN links i ON i.dst = r.vid
-  JOIN recurring.pieces c ON c.vid = i.src WHERE r.root < c.root GROUP BY i.src)
-SELECT i.rid, p.vid FROM pieces p JOIN interior i ON i.vid = p.vid WHERE p.root = p.vid""")
+@query(REGIONS + PIECES + "SELECT i.rid, p.vid FROM pieces p JOIN interior i ON i.vid = p.vid WHERE p.root = p.vid")
 def region_seeds(spark, sf):
     """One seed per connected interior piece of every region."""
     return regions.delta_decode(static_decomposition(spark, sf).seeds).select("rid", "vid")
@@ -370,7 +368,7 @@ def roundtrip_regions(spark, sf):
     """Recover the field from means, boundary ids and seeds; error stays in the set width."""
     stored = static_decomposition(spark, sf)
     f = price_field(spark, sf)
-    dec = regions.recompose(stored, f.select("vid"), sparse_edges(spark, sf))
+    dec = regions.recompose(stored, f.select("vid"), mq.edges(spark, sf))
     err = F.abs(F.col("dec").cast("double") - F.col("val").cast("double"))
     return f.join(dec, "vid", "left").select(
         "vid", F.round(F.col("val").cast("double"), 3).alias("val"), F.coalesce(err <= SET_EB, F.lit(False)).alias("ok")
@@ -400,7 +398,7 @@ def encoded(spark: SparkSession, sf: str, name: str) -> DataFrame:
     laid, mesh = laid_field(spark, sf, order), block_mesh(spark, sf, order)
 
     def build():
-        args = dict(steps=STEPS, batch=BATCH)
+        args = dict(steps=tables.steps(spark, sf), batch=BATCH)
         b = bounds(spark, sf)
         if name == "regression":
             side = regression.as_side_rows(step_fits(spark, sf), F.lit(1.0))
@@ -422,7 +420,7 @@ def encoded(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _report(spark, sf, name: str) -> DataFrame:
     order = ID_ORDER if name == "interpolated-original" else traverse.Order.PRIORITY_DEPTH
     laid, mesh = laid_field(spark, sf, order), block_mesh(spark, sf, order)
-    decoded = blocks.decompress(encoded(spark, sf, name), mesh, STEPS, BATCH)
+    decoded = blocks.decompress(encoded(spark, sf, name), mesh, tables.steps(spark, sf), BATCH)
     return blocks.bound_report(blocks.paired(laid, decoded, bounds(spark, sf), BATCH))
 
 
@@ -479,7 +477,7 @@ def sweep_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lambda: sweeps.rows_of(step_field(spark, sf), tables.VARIABLES, STEPS, BATCH)
+    rows = lambda: sweeps.rows_of(step_field(spark, sf), tables.VARIABLES, tables.steps(spark, sf), BATCH)
     return tables.once(spark, sf, "sweep-rows", rows)
 
 
@@ -493,7 +491,7 @@ def swept(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
         back = sweeps.decompress(blob, edges, b, SWEEP_K, masked)
         both = blob.select("vid", "tb", "q", "decs").join(back.select("vid", "tb", F.col("decs").alias("again")), ["vid", "tb"])
         zipped = both.select("vid", "tb", F.arrays_zip("q", "decs", "again").alias("s"))
-        return sweeps.samples(zipped, "s", tables.VARIABLES, STEPS, BATCH).select(
+        return sweeps.samples(zipped, "s", tables.VARIABLES, tables.steps(spark, sf), BATCH).select(
             "var", "t", "vid", "s.q", F.col("s.decs").alias("dec"), (F.col("s.decs") == F.col("s.again")).alias("restored")
         )
 
@@ -592,7 +590,7 @@ def container_offsets(spark, sf):
 def masked_error_stats(spark, sf):
     """Decoded-field statistics with the marker left out of the range."""
     laid, mesh = laid_field(spark, sf), block_mesh(spark, sf)
-    decoded = blocks.decompress(encoded(spark, sf, "masked"), mesh, STEPS, BATCH)
+    decoded = blocks.decompress(encoded(spark, sf, "masked"), mesh, tables.steps(spark, sf), BATCH)
     pairs = blocks.paired(laid, decoded, bounds(spark, sf), BATCH)
     s = stats.error_stats(pairs, ["var", "t"], SENTINEL)
     return s.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.catalogue import fields as fq
 from fieldloom.catalogue import mesh as mq
 from fieldloom.catalogue import vectors as vq
-from fieldloom.catalogue.registry import DIST, EDGES, POS, STATIC, parts_cte, query, with_
+from fieldloom.catalogue.registry import CELL_EDGES, DIST, EDGES, POS, STATIC, parts_cte, query, with_
 from fieldloom.operators import adjacency, components, critical, neighbours, traverse
 from fieldloom.plans import blocks, reorder, transform
 from fieldloom.session import scratch_dir
@@ -95,7 +95,7 @@ def streamed_mask_changes(spark, sf):
     """Mask changes found by a stateful stream over step snapshots."""
     base = folder(spark, "stream")
     long = fq.long_field(spark, sf)
-    for t in range(0, tables.STEPS, fq.BATCH):
+    for t in range(0, tables.steps(spark, sf), fq.BATCH):
         long.where(F.col("t") == t).write.mode("append").parquet(f"{base}/in")
     stream = (
         spark.readStream.schema("var string, vid bigint, t int, val float")
@@ -111,7 +111,7 @@ def streamed_mask_changes(spark, sf):
     return spark.read.schema("var string, vid bigint, t int").parquet(f"{base}/out")
 
 
-@query("SELECT unnest(['discount', 'price', 'quantity', 'tax']) AS var, (SELECT count(*) FROM part) * 28 AS samples")
+@query(with_(fq.SERIES) + "SELECT unnest(['discount', 'price', 'quantity', 'tax']) AS var, (SELECT count(*) FROM part) * (SELECT count(DISTINCT t) FROM series) AS samples")
 def variable_list(spark, sf):
     """Variable names kept as a text list, joined with what the field holds."""
     path = folder(spark, "names")
@@ -137,7 +137,7 @@ def part_tables(spark, sf):
     )
 
 
-@query(with_(EDGES, POS, DIST) + """SELECT CAST(count(*) AS BIGINT) AS edges, round(sum(dist), 2) AS length,
+@query(with_(CELL_EDGES, POS, DIST) + """SELECT CAST(count(*) AS BIGINT) AS edges, round(sum(dist), 2) AS length,
   (SELECT CAST(count(*) AS BIGINT) FROM part) AS vertices, true AS dense_ids FROM dists""")
 def reordered_mesh(spark, sf):
     """Positions, cells and field renumbered by part and visiting order: same mesh, new ids."""
@@ -167,7 +167,20 @@ def critical_point_table(spark, sf):
     return artefacts.reuse_or_build(spark, path, build).select("cid")
 
 
-@query()
+@query("WITH RECURSIVE " + EDGES + """,
+reach(vid, root) USING KEY (vid) AS (
+  SELECT p_partkey, p_partkey FROM part
+  UNION
+  SELECT e.src, min(r.root) FROM reach r JOIN edges e ON e.dst = r.vid
+  JOIN recurring.reach c ON c.vid = e.src WHERE r.root < c.root GROUP BY e.src),
+bfs(vid, root, level, pos) USING KEY (vid) AS (
+  SELECT vid, root, 0, row_number() OVER (ORDER BY root) - 1 FROM reach WHERE vid = root
+  UNION
+  SELECT vid, root, level, row_number() OVER (ORDER BY parent, vid) - 1
+  FROM (SELECT e.dst AS vid, min(b.root) AS root, min(b.level) + 1 AS level, min(b.pos) AS parent
+        FROM bfs b JOIN edges e ON e.src = b.vid
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.vid = e.dst) GROUP BY e.dst))
+SELECT vid, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY root, level, pos) - 1 AS BIGINT) AS rank FROM bfs""")
 def breadth_first_order(spark, sf):
     """Exact breadth-first queue order over the whole mesh."""
     return components.breadth_first_order(tables.positions(spark, sf).select("vid"), mq.edges(spark, sf))

@@ -14,8 +14,14 @@ from fieldloom.operators import adjacency, components, neighbours, partition, pe
 from fieldloom.sources import tables
 
 
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the tetrahedra, and of the orders that are too short for one."""
+    cells, pairs = adjacency.from_cells(tables.tets(spark, sf), 4), adjacency.from_pairs(tables.short_pairs(spark, sf))
+    return cells.unionByName(pairs).distinct()
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.once(spark, sf, "edges", lambda: adjacency.from_cells(tables.tets(spark, sf), 4))
+    return tables.once(spark, sf, "edges", lambda: all_edges(spark, sf))
 
 
 def distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,15 +48,15 @@ def weights(spark: SparkSession, sf: str, k: int = 4) -> DataFrame:
 
 @query(with_(EDGES) + "SELECT src AS vid, CAST(count(*) AS BIGINT) AS degree FROM edges GROUP BY src")
 def adjacency_degree(spark, sf):
-    """Full adjacency of the tetrahedra."""
-    return adjacency.degrees(adjacency.from_cells(tables.tets(spark, sf), 4))
+    """Full adjacency."""
+    return adjacency.degrees(all_edges(spark, sf))
 
 
 @query(with_(EDGES) + """SELECT src AS vid, CAST(count(*) AS BIGINT) AS degree
 FROM edges WHERE dst < src GROUP BY src""")
 def causal_adjacency_degree(spark, sf):
     """Causal adjacency: only smaller ids are neighbours."""
-    return adjacency.degrees(adjacency.causal(adjacency.from_cells(tables.tets(spark, sf), 4)))
+    return adjacency.degrees(adjacency.causal(all_edges(spark, sf)))
 
 
 @query(with_(EDGES, cells_cte("wedges", 6)) + """, template(i, j) AS (
@@ -61,20 +67,27 @@ SELECT src AS vid, CAST(count(*) AS BIGINT) AS degree,
        CAST(count(CASE WHEN dst < src THEN 1 END) AS BIGINT) AS causal_degree
 FROM every GROUP BY src""")
 def wedge_adjacency_degree(spark, sf):
-    """Tetrahedra and wedges together."""
+    """Tetrahedra and wedges together, and short orders."""
     e = adjacency.from_cells_and_wedges(tables.tets(spark, sf), 4, tables.wedges(spark, sf))
+    e = e.unionByName(adjacency.from_pairs(tables.short_pairs(spark, sf))).distinct()
     return e.groupBy(F.col("src").alias("vid")).agg(
         F.count(F.lit(1)).alias("degree"), F.count_if(F.col("dst") < F.col("src")).alias("causal_degree")
     )
 
 
-@query(with_(TETS) + """, pairs AS (SELECT verts[1] AS a, verts[4] AS b FROM tets),
+@query("""WITH pairs AS (
+  SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b
+  FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_partkey <> b.l_partkey),
 both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)
 SELECT a AS vid, CAST(count(*) AS BIGINT) AS degree, CAST(sum(b) AS BIGINT) AS id_sum
 FROM both_ways GROUP BY a""")
 def edge_list_adjacency(spark, sf):
-    """Adjacency from an edge list (first and last corner of every cell)."""
-    pairs = tables.tets(spark, sf).select(F.col("verts")[0].alias("src"), F.col("verts")[3].alias("dst"))
+    """Adjacency from an edge list: parts on consecutive lines of an order."""
+    lines = tables.read(spark, sf, "lineitem")
+    here = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    then = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    pairs = here.join(then, ["l_orderkey", "l_linenumber"]).select("src", "dst")
     return adjacency.from_pairs(pairs).groupBy(F.col("src").alias("vid")).agg(
         F.count(F.lit(1)).alias("degree"), F.sum("dst").alias("id_sum")
     )
@@ -315,10 +328,26 @@ def _order_check(spark, sf, how: traverse.Order) -> DataFrame:
 ORDER_CHECK = with_(POS, parts_cte()) + "SELECT part, CAST(count(*) AS BIGINT) AS n, true AS bijective FROM parts GROUP BY part"
 
 
-@query(ORDER_CHECK)
+@query("WITH RECURSIVE " + EDGES + ", " + POS + ", " + parts_cte() + """,
+inner_edges AS (SELECT e.src, e.dst FROM edges e JOIN parts a ON a.vid = e.src JOIN parts b ON b.vid = e.dst WHERE a.part = b.part),
+reach(vid, root) USING KEY (vid) AS (
+  SELECT vid, vid FROM parts
+  UNION
+  SELECT e.src, min(r.root) FROM reach r JOIN inner_edges e ON e.dst = r.vid
+  JOIN recurring.reach c ON c.vid = e.src WHERE r.root < c.root GROUP BY e.src),
+bfs(vid, root, level, pos) USING KEY (vid) AS (
+  SELECT vid, root, 0, 0::BIGINT FROM reach WHERE vid = root
+  UNION
+  SELECT vid, root, level, row_number() OVER (PARTITION BY root ORDER BY parent, vid) - 1
+  FROM (SELECT e.dst AS vid, min(b.root) AS root, min(b.level) + 1 AS level, min(b.pos) AS parent
+        FROM bfs b JOIN inner_edges e ON e.src = b.vid
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.vid = e.dst) GROUP BY e.dst))
+SELECT p.part, b.vid, CAST(row_number() OVER (PARTITION BY p.part ORDER BY b.root, b.level, b.pos) - 1 AS BIGINT) AS slot
+FROM bfs b JOIN parts p ON p.vid = b.vid""")
 def visit_breadth_first(spark, sf):
-    """Breadth-first order inside every part (a permutation of its slots)."""
-    return _order_check(spark, sf, traverse.Order.BREADTH)
+    """Breadth-first queue order inside every part, vertex by vertex."""
+    slots = traverse.order_parts(parts(spark, sf), local_distances(spark, sf), traverse.Order.BREADTH)
+    return slots.where("dst is null").select("part", F.col("src").alias("vid"), F.col("src_slot").cast("long").alias("slot"))
 
 
 @query(ORDER_CHECK)

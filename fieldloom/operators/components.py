@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,27 +58,29 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return state.select("vid", F.col("g").alias("root"))
 
 
+def _fresh(found: DataFrame, frontiers: list[DataFrame]) -> DataFrame:
+    """Without what the last two frontiers hold. Edges go both ways, so a neighbour of level
+    L is of level L - 1, L or L + 1: nothing older can turn up."""
+    for seen in frontiers[-2:]:
+        found = found.join(seen.select("vid"), "vid", "left_anti")
+    return found
+
+
+def _together(frontiers: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frontiers)
+
+
 def breadth_first_levels(vertices: DataFrame, edges: DataFrame, start: int) -> DataFrame:
     """(vid, level) from one start, frontier by frontier; unreached vertices are absent.
 
-    A frontier is joined with the edges once; only new vertices stay.
+    A frontier is joined with the edges once, and compared with two frontiers only.
     """
-    reached = materialize(
-        vertices.where(F.col("vid") == start).select("vid", F.lit(0).alias("level")), "bfs"
-    )
-    frontier, level = reached, 0
-    while not frontier.isEmpty():
-        level += 1
-        fresh = (
-            edges.join(frontier.select(F.col("vid").alias("src")), "src")
-            .select(F.col("dst").alias("vid"))
-            .distinct()
-            .join(reached.select("vid"), "vid", "left_anti")
-            .withColumn("level", F.lit(level))
-        )
-        frontier = materialize(fresh, "bfs")
-        reached = reached.unionByName(frontier)
-    return reached
+    first = vertices.where(F.col("vid") == start).select("vid", F.lit(0).alias("level"))
+    frontiers = [materialize(first, "bfs")]
+    while not frontiers[-1].isEmpty():
+        found = edges.join(frontiers[-1].select(F.col("vid").alias("src")), "src").select(F.col("dst").alias("vid")).distinct()
+        frontiers.append(materialize(_fresh(found, frontiers).withColumn("level", F.lit(len(frontiers))), "bfs"))
+    return _together(frontiers)
 
 
 def breadth_first_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,23 +92,19 @@ def breadth_first_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     components follow one another by that id.
     """
     roots = materialize(components(vertices, edges), "bfs-roots")
-    frontier = with_rank(roots.where("vid = root").select("vid", "root"), ["root"], "pos")
-    frontier = materialize(frontier.withColumn("level", F.lit(0)), "bfs")
-    reached = frontier
+    first = with_rank(roots.where("vid = root").select("vid", "root"), ["root"], "pos")
+    frontiers = [materialize(first.select("vid", "root", "pos", F.lit(0).alias("level")), "bfs")]
     while True:
         level = F.lit(1) + F.col("level")
-        parents = frontier.select(F.col("vid").alias("src"), "root", "level", F.col("pos").alias("parent"))
-        fresh = (
+        parents = frontiers[-1].select(F.col("vid").alias("src"), "root", "level", F.col("pos").alias("parent"))
+        found = (
             edges.join(parents, "src")
             .groupBy(F.col("dst").alias("vid"))
             .agg(F.min("parent").alias("parent"), F.first("root").alias("root"), F.first(level).alias("level"))
-            .join(reached.select("vid"), "vid", "left_anti")
         )
-        fresh = materialize(fresh, "bfs-fresh")
+        fresh = materialize(_fresh(found, frontiers), "bfs-fresh")
         if fresh.isEmpty():
             break
-        frontier = materialize(
-            with_rank(fresh, ["parent", "vid"], "pos").select("vid", "root", "pos", "level"), "bfs"
-        )
-        reached = reached.unionByName(frontier)
-    return with_rank(reached, ["root", "level", "pos"], "rank").select("vid", "level", "rank")
+        ranked = with_rank(fresh, ["parent", "vid"], "pos").select("vid", "root", "pos", "level")
+        frontiers.append(materialize(ranked, "bfs"))
+    return with_rank(_together(frontiers), ["root", "level", "pos"], "rank").select("vid", "level", "rank")

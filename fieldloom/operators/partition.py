@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,18 @@ from fieldloom.functions.scalars import morton
 from fieldloom.operators.ranking import exclusive_prefix, with_rank
 
 
-def locality_key(positions: DataFrame, bits: int = 10) -> DataFrame:
-    """Positions plus ``cell``, their Morton code over the bounding box.
+def curve_bits(n: int, d: int) -> int:
+    """Bits per axis: far more cells than vertices, within a 62-bit code."""
+    return min(max(10, math.ceil(math.log2(max(n, 1)) / d) + 4), 62 // d)
+
+
+def locality_key(positions: DataFrame, n: int, bits: int | None = None) -> DataFrame:
+    """Positions plus ``cell``, the Morton code of ``n`` vertices over their bounding box.
 
     Only the 2d bounding-box numbers come back to the driver.
     """
     d = len(positions.select("pos").head()[0])
+    bits = curve_bits(n, d) if bits is None else bits
     axes = [F.col("pos")[i] for i in range(d)]
     box = positions.agg(
         *[F.min(a).alias(f"lo{i}") for i, a in enumerate(axes)],
@@ -26,8 +34,8 @@ def locality_key(positions: DataFrame, bits: int = 10) -> DataFrame:
 
 def assign_parts(positions: DataFrame, part_size: int) -> DataFrame:
     """Split vertices into ceil(n / part_size) parts of equal size (vid, part)."""
-    keyed = locality_key(positions).select("vid", "cell")
     n = positions.count()
+    keyed = locality_key(positions, n).select("vid", "cell")
     nparts = max(1, -(-n // part_size))
     ranked = with_rank(keyed, ["cell", "vid"])
     part = F.floor(F.col("rank") * nparts / F.lit(n)).cast("bigint")

@@ -1,7 +1,7 @@
 """Meshes and fields derived from the order-management tables.
 
-A part is a vertex, an order with at least four distinct parts is a tetrahedron
-of its four smallest part keys, six give a wedge; line items carry the samples.
+A part is a vertex. Every four consecutive distinct parts of an order are a tetrahedron,
+every six a wedge; an order of two or three parts gives edges. Line items carry the samples.
 """
 
 from __future__ import annotations
@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from fieldloom import SENTINEL
 from fieldloom.session import materialize
 
-STEPS = 28
-"""Quarters 1995Q1..2001Q4, the time steps of the line-item fields."""
-
 VARIABLES = ("discount", "price", "quantity", "tax")
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
@@ -32,6 +29,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_spans: dict[tuple[str, str], tuple[int, int]] = {}
+
+
+def _quarter():
+    return F.year("l_shipdate") * 4 + F.quarter("l_shipdate")
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(first quarter, number of quarters) of the line-item fields, as the data has them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _spans:
+        r = read(spark, sf_dir, "lineitem").agg(F.min(_quarter()).alias("lo"), F.max(_quarter()).alias("hi")).first()
+        _spans[key] = (0, 0) if r["lo"] is None else (r["lo"], r["hi"] - r["lo"] + 1)
+    return _spans[key]
+
+
+def steps(spark: SparkSession, sf_dir: str) -> int:
+    return calendar(spark, sf_dir)[1]
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planar positions (size, retail price)."""
     return read(spark, sf_dir, "part").select(
@@ -55,23 +72,41 @@ def positions3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_cells(spark: SparkSession, sf_dir: str, corners: int) -> DataFrame:
-    """Cells (cid, verts) of the ``corners`` smallest distinct parts of an order.
+CELL_STRIDE = 65536
+"""Cells per order that ids leave room for; a longer order is an error."""
+
 
-    The distinct is map-side combined and the rank filter keeps at most
-    ``corners`` rows per order and map task before the exchange by order.
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order, parts): the distinct parts of every order, ascending.
+
+    The distinct is map-side combined; an order has a handful of lines.
     """
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    return (
-        lines.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= corners)
-        .groupBy(F.col("l_orderkey").alias("cid"))
-        .agg(F.sort_array(F.collect_list("l_partkey")).alias("verts"))
-        .where(F.size("verts") == corners)
+    return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
+
+
+def order_cells(spark: SparkSession, sf_dir: str, corners: int) -> DataFrame:
+    """Cells (cid, verts): every ``corners`` consecutive distinct parts of an order.
+
+    So all parts of an order with enough of them are corners of some cell; shorter
+    orders are in ``short_pairs``.
+    """
+    orders = order_parts(spark, sf_dir).where(F.size("parts") >= corners)
+    start = F.explode(F.sequence(F.lit(0), F.size("parts") - corners)).alias("i")
+    fits = F.assert_true(F.size("parts") < CELL_STRIDE).isNull()
+    cells = orders.where(fits).select("l_orderkey", "parts", start)
+    return cells.select(
+        (F.col("l_orderkey") * CELL_STRIDE + F.col("i")).alias("cid"), F.slice("parts", F.col("i") + 1, corners).alias("verts")
     )
 
 
+def short_pairs(spark: SparkSession, sf_dir: str, corners: int = 4) -> DataFrame:
+    """(src, dst): all pairs of parts of orders with too few parts for a cell."""
+    orders = order_parts(spark, sf_dir).where((F.size("parts") > 1) & (F.size("parts") < corners))
+    a = orders.select("parts", F.explode("parts").alias("src"))
+    return a.select("src", F.explode("parts").alias("dst")).where("src < dst")
+
+
 def tets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "tets", lambda: order_cells(spark, sf_dir, 4))
 
@@ -106,13 +141,14 @@ def quarter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     double. Partial aggregation comes before the shuffle, so a part with a third
     of all lines sends one row per quarter and map task.
     """
-    t = (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
+    t = _quarter() - calendar(spark, sf_dir)[0]
 
     def cents(c: str, scale: float):
         return F.sum(F.round(F.col(c) * scale).cast("bigint")) / F.count(F.lit(1)) / F.lit(scale)
 
     return (
         read(spark, sf_dir, "lineitem")
+        .where("l_shipdate is not null")
         .groupBy(F.col("l_partkey").alias("vid"), t.cast("int").alias("t"))
         .agg(
             cents("l_quantity", 1.0).cast("float").alias("quantity"),
@@ -124,7 +160,7 @@ def quarter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_field(spark: SparkSession, sf_dir: str, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
-    """Dense field (var, vid, vals): one array of STEPS samples per vertex and variable.
+    """Dense field (var, vid, vals): one array of samples per vertex and variable.
 
     Steps without samples hold the sentinel. One row per vertex is what the
     blockwise jobs want: a time window is a slice, and ids are not repeated per step.
@@ -136,9 +172,11 @@ def step_field(spark: SparkSession, sf_dir: str, variables: tuple[str, ...] = VA
     )
     gap = F.lit(SENTINEL).cast("float")
 
+    n = steps(spark, sf_dir)
+
     def series(var: str):
-        steps = F.sequence(F.lit(0), F.lit(STEPS - 1))
-        return F.transform(steps, lambda t: F.coalesce(F.try_element_at("m", t)[var], gap))
+        times = F.sequence(F.lit(0), F.lit(n - 1))
+        return F.transform(times, lambda t: F.coalesce(F.try_element_at("m", t)[var], gap))
 
     rows = F.array(*[F.struct(F.lit(v).alias("var"), series(v).alias("vals")) for v in variables])
     return (

@@ -143,7 +143,7 @@ def test_kriging_weights_sum_to_one_and_honour_a_coincident_point():
     assert np.allclose(lam[1], [1, 0, 0], atol=1e-6)
 
 
-def test_sweeps_use_every_causal_edge_and_decode_from_the_blob(spark):
+def test_sweeps_use_every_causal_edge_and_decode_from_the_blob(spark, monkeypatch):
     """A ring with chords over several windows: no edge between colours is lost, the bound
     holds, and the decoder needs nothing but indices, escapes, mesh and bounds."""
     import math
@@ -169,17 +169,17 @@ def test_sweeps_use_every_causal_edge_and_decode_from_the_blob(spark):
         [(v, i, [value(v, i, t) for t in range(steps)]) for v in "ab" for i in range(n)], "var string, vid bigint, vals array<float>"
     )
     rows = sweeps.rows_of(field, ("a", "b"), steps, batch)
+    monkeypatch.setattr(sweeps, "COLOURS", 3)
     near = sweeps.causal_edges(dist, 4)
-    for masked in (False, True):
-        for relative, eb in ((True, 1e-2), (False, 0.5)):
-            bounds = sweeps.bounds_of(rows, eb, relative)
-            blob = sweeps.compress(rows, near, bounds, 4, masked)
-            back = sweeps.decompress(blob, near, bounds, 4, masked)
-            truth = {(r.var, r.t, r.vid): r.vals for r in sweeps.samples(rows, "vals", ("a", "b"), steps, batch).collect()}
-            coded = {(r.var, r.t, r.vid): r.decs for r in sweeps.samples(blob, "decs", ("a", "b"), steps, batch).collect()}
-            again = {(r.var, r.t, r.vid): r.decs for r in sweeps.samples(back, "decs", ("a", "b"), steps, batch).collect()}
-            assert len(truth) == 2 * n * steps and coded == again
-            limit = 0.5 if not relative else 0.8
-            assert all(abs(coded[k] - truth[k]) <= limit for k in truth)
-            if masked:
-                assert all((coded[k] == -99999.0) == (truth[k] == -99999.0) for k in truth)
+    for masked, relative, eb in ((False, True, 1e-2), (True, False, 0.5)):
+        bounds = sweeps.bounds_of(rows, eb, relative)
+        blob = sweeps.compress(rows, near, bounds, 4, masked)
+        back = sweeps.decompress(blob, near, bounds, 4, masked)
+        truth = {(r.var, r.t, r.vid): r.vals for r in sweeps.samples(rows, "vals", ("a", "b"), steps, batch).collect()}
+        coded = {(r.var, r.t, r.vid): r.decs for r in sweeps.samples(blob, "decs", ("a", "b"), steps, batch).collect()}
+        again = {(r.var, r.t, r.vid): r.decs for r in sweeps.samples(back, "decs", ("a", "b"), steps, batch).collect()}
+        assert len(truth) == 2 * n * steps and coded == again
+        limit = 0.5 if not relative else 0.8
+        assert all(abs(coded[k] - truth[k]) <= limit for k in truth)
+        if masked:
+            assert all((coded[k] == -99999.0) == (truth[k] == -99999.0) for k in truth)
