@@ -46,7 +46,7 @@ SHARPNESS = 8.0
 UND = "und"
 OTHER = 0xFFFF
 BLANK = 32
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 """Grams a counting task holds before it hands them on."""
 
 RESULT = StructType(

@@ -39,7 +39,7 @@ PAIR_BITS = 22
 SLICE = 1 << 18
 """Bytes of text per numpy step."""
 KEPT_EDGES = 2_000_000
-"""Lattice edges a worker keeps between slices (24 bytes each); beyond it, it starts anew."""
+"""Lattice edges a task keeps between slices (24 bytes each); beyond it, it starts anew."""
 
 BLANK = 0x2581
 LITERAL = 0x110000
@@ -121,22 +121,20 @@ def load(model: bytes, alpha: float = ALPHA, ranked: bool = True) -> Vocabulary:
     log_p[plain] = -np.log1p(-score[plain]) if ranked else score[plain]
     log_p[byte_ids] = log_p[plain].min() - np.log(2.0)  # a byte is rarer than the rarest piece
     log_p = alpha * (log_p - np.logaddexp.reduce(log_p[np.isfinite(log_p)]))
-    by_length: dict[int, dict[str, list]] = {}
     for i in plain:
         raw[i] = names[i].replace(chr(BLANK), " ").encode()
-        for k in range(1, len(names[i]) + 1):
-            entry = by_length.setdefault(k, {}).setdefault(names[i][:k], [-1, False])
-            if k == len(names[i]):
-                entry[0] = i
-            else:
-                entry[1] = True
-    hashes, ids, longer = [], [], []
-    for k, items in by_length.items():
-        starts = np.arange(len(items)) * k
-        hashes.append(span_hashes(_values(np.concatenate([_code(p) for p in items])), starts, starts + k))
-        ids += [e[0] for e in items.values()]
-        longer += [e[1] for e in items.values()]
-    h = np.concatenate(hashes)
+    # all prefixes of all pieces, by their hashes
+    piece, size = np.array(plain), np.array([len(names[i]) for i in plain])
+    values, begin = _values(_code("".join(names[i] for i in plain))), np.cumsum(size) - size
+    parts = []
+    for k in range(1, int(size.max()) + 1):
+        mine = size >= k
+        h, where = np.unique(span_hashes(values, begin[mine], begin[mine] + k), return_inverse=True)
+        own, longer = np.full(len(h), -1), np.zeros(len(h), bool)
+        own[where[size[mine] == k]] = piece[size == k]
+        longer[where[size[mine] > k]] = True
+        parts.append((h, own, longer))
+    h, ids, longer = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(h)
     bucket = np.searchsorted(h[order] >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
     pairs = np.zeros(1 << PAIR_BITS, bool)
@@ -144,7 +142,7 @@ def load(model: bytes, alpha: float = ALPHA, ranked: bool = True) -> Vocabulary:
         codes = _code(names[i])
         pairs[_pair(codes[:-1], codes[1:])] = True
     return Vocabulary(
-        h[order], bucket, np.array(ids)[order], np.array(longer)[order], max(by_length), pairs, log_p, byte_ids,
+        h[order], bucket, ids[order], longer[order], int(size.max()), pairs, log_p, byte_ids,
         pa.array(raw, pa.binary()), n,
     )
 
@@ -337,21 +335,9 @@ def _all_short(count: np.ndarray, spelt: np.ndarray) -> bool:
     return bool((count[spelt] == 1).all())
 
 
-_KEPT: dict[int, Kept] = {}
-
-
-def _kept(v: Vocabulary) -> Kept:
-    """This worker's lattices for a vocabulary; only the last vocabulary's stay."""
-    if id(v) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[id(v)] = Kept(v)
-    return _KEPT[id(v)]
-
-
-def encode_slices(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> Iterator[tuple[int, int, pa.Array]]:
+def encode_slices(kept: Kept, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> Iterator[tuple[int, int, pa.Array]]:
     """(first row, end row, piece ids) for runs of rows of about SLICE bytes."""
     raw, at, _ = utf8(texts)
-    kept = _kept(v)
     seeds = np.fromiter(
         (xxhash.xxh64_intdigest(b"" if k is None else b"=" + k.encode(), seed) for k in keys.to_pylist()), np.uint64, len(keys)
     )
@@ -368,7 +354,7 @@ def encode_slices(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SE
 
 
 def encode_rows(v: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> pa.Array:
-    parts = [ids for _, _, ids in encode_slices(v, texts, keys, seed)]
+    parts = [ids for _, _, ids in encode_slices(Kept(v), texts, keys, seed)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
@@ -414,9 +400,10 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(held.value, alpha)
+        kept = Kept(v)  # for this task's rows
         for batch in batches:
             ids, texts, keys = batch.columns
-            for lo, hi, got in encode_slices(v, texts, keys, seed):
+            for lo, hi, got in encode_slices(kept, texts, keys, seed):
                 said = texts[lo:hi]
                 columns = [
                     ids[lo:hi], got, pc.list_value_length(got).cast(pa.int64()), pc.utf8_length(said).cast(pa.int64()),

@@ -70,7 +70,6 @@ def test_same_row_same_pieces_in_any_batch(vocabulary, monkeypatch):
     texts = [f"some words {i} and the others {i * i} thntstndonre" for i in range(400)]
     keys = [str(i % 300) for i in range(400)]
     whole = encode(vocabulary, texts, keys).to_pylist()
-    pieces._KEPT.clear()
     monkeypatch.setattr(pieces, "SLICE", 64)
     monkeypatch.setattr(pieces, "KEPT_EDGES", 500)
     order = list(range(399, -1, -1))
