@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.session import ship_package
+
 SLICE_BYTES = 1 << 20
 """Text that one numpy step holds at a time; a single longer text is one slice of its own."""
 
@@ -132,5 +134,18 @@ def asset(spark: SparkSession, path: str, most: int = 64 << 20):
         return spark.sparkContext.broadcast(f.read())
 
 
+BATCH_ROWS = 1000
+"""Rows per Arrow batch where the session leaves Spark's default (10,000): with texts of some
+kilobytes, larger batches only make every Python worker and its JVM buffers larger."""
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and choose batches that suit texts."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import chat, hamming, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
-from fieldloom.session import scratch_dir, ship_package
+from fieldloom.llm.common import prepare
+from fieldloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +22,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[fn.__name__] = run
