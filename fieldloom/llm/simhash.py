@@ -139,6 +139,19 @@ def links(prints: DataFrame) -> DataFrame:
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and per fingerprint (fp, first, root): its smallest id, null only if it has
+    no other, and the fingerprint that names its component."""
+    rows = materialize(
+        docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("fp")), "simhash"
+    )
+    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-prints")
+    edges = materialize(links(prints.select("fp")), "simhash-links")
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    roots = components(touched, edges).withColumnRenamed("vid", "fp")
+    return rows, prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id): one row per row of ``docs``.
 
@@ -147,14 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated under one id give repeated rows; a null id stays null and is the
     smallest only where a component has no other. Other columns are ignored.
     """
-    rows = materialize(
-        docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("fp")), "simhash"
-    )
-    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-prints")
-    edges = materialize(links(prints.select("fp")), "simhash-links")
-    touched = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-    roots = components(touched, edges).withColumnRenamed("vid", "fp")
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows, rooted = _rooted(docs, id_col, text_col)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -164,19 +170,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less near duplicates: one row per component.
 
     It is the row with the component's smallest id (null only if there is no other); of
-    rows that share that id and the fingerprint, the smallest in the order of their columns.
+    rows that share that id, one with the smallest fingerprint, and of those the smallest in
+    the order of their columns. Components that share their smallest id keep a row each.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    stays = found.where(mine).select(F.col(id_col).alias("_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_fp"))
-    # one row of several with the smallest id: copies of it, or other texts under the same id
-    stays = materialize(stays.groupBy("_id").agg(F.min("_fp").alias("_fp")), "simhash-kept")
+    _, rooted = _rooted(docs, id_col, text_col)
+    # chosen by component, not by id: ids may be null or stand on unlike texts
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("_id"), F.col("fp").alias("_fp")))
+    stays = materialize(rooted.groupBy("root").agg(least.alias("s")).select("s._id", "s._fp"), "simhash-kept")
     name = free_name(docs, "fp")
     marked = docs.withColumn(name, fingerprint_column(text_col))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_fp"))

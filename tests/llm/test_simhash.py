@@ -105,3 +105,14 @@ def test_one_row_of_a_group_stays_with_all_columns(spark):
     kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
     assert (1, "zzz") in kept and (9, text) not in kept and (8, text) not in kept
     assert sum(r[0] is None for r in kept) == 1 and len(kept) == len(set(kept))
+
+
+def test_components_that_share_an_id_or_have_none_keep_a_row_each(spark):
+    """Unlike texts without ids, or under one id, are components of their own."""
+    texts = [" ".join(f"{stem}{i}" for i in range(60)) for stem in "abcdef"]
+    prints = [plain(t) for t in texts]
+    assert min(bin(a ^ b).count("1") for i, a in enumerate(prints) for b in prints[:i]) > 2
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4]), (None, texts[5]), (8, texts[5])]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(documents(spark, rows)).collect()), key=repr)
+    want = [(None, t) for t in texts[:3]] + [(7, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert kept == sorted(want, key=repr)
