@@ -9,9 +9,10 @@ follow from the distinct 4-grams, since Kneser-Ney uses continuation counts ther
 The model of a language is, per order, a sorted array of mixed 64-bit keys with the
 interpolated log probability of each gram, and one of contexts with their back-off
 weight. A text gets the language of the lowest cross-entropy per character. It is
-accepted if that is no worse than what texts of the other languages reach on
-average under the same model, plus a margin for short texts; both figures come from
-the training counts.
+accepted if that lies near what the training documents of the language reach under its
+model, each scored without the grams that it alone brings: within DEVIATIONS standard
+deviations of them, or half-way to the nearest other language but at most ROOM. How
+far away further languages are does not matter. Short texts have a margin on top.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ MAX_LANGUAGES = 256
 """Languages a model may hold; more are an error, not cut."""
 MARGIN = 3.0
 """Standard errors that a short text may lie above the rejection threshold."""
+DEVIATIONS = 4.0
+"""Standard deviations between training documents that a text may lie above their mean."""
+ROOM = 1.0
+"""Nats per character above the mean that count as the language, whatever its documents' deviation,
+unless another language is nearer than twice that."""
 SHARPNESS = 8.0
 """Nats of cross-entropy per character to the exponent of the score."""
 
@@ -145,6 +151,7 @@ class Model:
     langs: list[str]
     tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
     floor: np.ndarray  # log probability of a character never seen, per language
+    near: np.ndarray  # smallest cross-entropy of another language's texts; infinite if there is none
     limit: np.ndarray  # cross-entropy that still counts as the language
     spread: np.ndarray  # standard deviation of a character's log probability
 
@@ -192,14 +199,17 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def log_probabilities(tables, floor: float, keys: np.ndarray) -> np.ndarray:
-    """Log probability of each 4-gram's last character after the three before it."""
+def log_probabilities(tables, floor: float, keys: np.ndarray, unseen: bool = False) -> np.ndarray:
+    """Log probability of each 4-gram's last character after the three before it; with
+    ``unseen`` as if none of the 4-grams themselves stood in the tables."""
     out = np.zeros(len(keys))
     open_ = np.arange(len(keys))
     for order in range(ORDER, 0, -1):
         hg, lp, hc, back = tables[order - 1]
         g = keys[open_] & np.uint64((1 << 16 * order) - 1)
         at, hit = _find(hg, _hash(g, order))
+        if unseen and order == ORDER:
+            hit = np.zeros(len(g), bool)
         out[open_[hit]] += lp[at[hit]]
         open_, g = open_[~hit], g[~hit]
         if not len(open_):
@@ -226,12 +236,60 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             cross[i, j] = -(share * lp).sum()
             if i == j:
                 spread[j] = math.sqrt(max((share * lp * lp).sum() - cross[i, i] ** 2, 0.0))
-    limit = np.empty(len(langs))
-    for j in range(len(langs)):
-        others = np.delete(cross[:, j], j)
-        # one language only: half-way to a character never seen
-        limit[j] = others.mean() if len(others) else (cross[j, j] - fitted[j][1]) / 2
-    return Model(langs, [t for t, _ in fitted], np.array([f for _, f in fitted]), limit, spread)
+    near = np.array([np.delete(cross[:, j], j).min(initial=np.inf) for j in range(len(langs))])
+    limit = cross.diagonal() + np.minimum(ROOM, (near - cross.diagonal()) / 2)  # until calibrated
+    return Model(langs, [t for t, _ in fitted], np.array([f for _, f in fitted]), near, limit, spread)
+
+
+def own_scores(model: Model, counts: dict[str, tuple[np.ndarray, np.ndarray]], batches):
+    """Arrow batches (lang, text) to (lang, m, s, q): characters, and the sums over them of the
+    document's cross-entropy under its own language and of its square. A 4-gram that only
+    this document brought to the counts is scored as one that the model has not seen."""
+    for batch in batches:
+        langs = np.asarray(batch.column(0).to_pylist(), object)
+        raw, at, _ = utf8(batch.column(1))
+        for lo, hi in slices(at):
+            codes, offsets, letters = normalise(*codepoints(raw, at, lo, hi))
+            keys, ends = grams(codes, offsets)
+            n = np.diff(ends)
+            row = np.repeat(np.arange(hi - lo), n)
+            for lang in set(langs[lo:hi]):
+                j = model.langs.index(lang)
+                mine = (langs[lo:hi] == lang) & (letters > 0)
+                inside = mine[row]
+                if not inside.any():
+                    continue
+                distinct, where = np.unique(keys[inside], return_inverse=True)
+                held, total = counts[lang]
+                at_, hit = _find(held, distinct)
+                total = np.where(hit, total[at_], 0)
+                pair, times = np.unique(row[inside] * len(distinct) + where, return_counts=True)
+                doc, gram = pair // len(distinct), pair % len(distinct)
+                tables, floor = model.tables[j], model.floor[j]
+                lp = np.where(
+                    total[gram] > times,
+                    log_probabilities(tables, floor, distinct)[gram],
+                    log_probabilities(tables, floor, distinct, unseen=True)[gram],
+                )
+                sums = -np.bincount(doc, weights=times * lp, minlength=hi - lo)[mine]
+                m = n[mine].astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.array([m.sum()]), pa.array([sums.sum()]), pa.array([(sums * sums / m).sum()])],
+                    names=["lang", "m", "s", "q"],
+                )
+
+
+def calibrate(rows: DataFrame, model: Model, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model with limits from what its training rows (lang, text) score."""
+    held = rows.sparkSession.sparkContext.broadcast((model, counts))
+    scored = rows.mapInArrow(lambda batches: own_scores(*held.value, batches), "lang string, m double, s double, q double")
+    for r in scored.groupBy("lang").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+        j = model.langs.index(r["lang"])
+        own = r["s"] / r["m"]
+        deviation = math.sqrt(max(r["q"] / r["m"] - own * own, 0.0))
+        model.limit[j] = own + max(DEVIATIONS * deviation, min(ROOM, (model.near[j] - own) / 2))
+    held.unpersist()
+    return model
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS) -> Model | None:
@@ -243,7 +301,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_g
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text(text_col).alias("text"))
-    counted = rows.where("lang is not null and text is not null").mapInArrow(_count, "lang string, gram long, n long")
+    rows = rows.where("lang is not null and text is not null")
+    counted = rows.mapInArrow(_count, "lang string, gram long, n long")
     sums = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
     sizes = {r["lang"]: r["grams"] for r in sums.groupBy("lang").agg(F.count(F.lit(1)).alias("grams")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -264,7 +323,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_g
         order = np.argsort(grams_[mine])
         if mine.any():
             counts[lang] = (grams_[mine][order], n[mine][order])
-    return build(counts)
+    return calibrate(rows.where(F.col("lang").isin(*counts)), build(counts), counts)
 
 
 def _least_count(sums: DataFrame, most: int) -> int:

@@ -120,3 +120,26 @@ def test_rarest_grams_go_first_when_the_model_is_full(spark, corpus):
     small = langid.train(documents(spark, corpus), max_grams=40)
     assert small.langs == full.langs
     assert all(0 < len(t[3][0]) <= 40 < len(f[3][0]) for t, f in zip(small.tables, full.tables))
+
+
+def elsewhere(text):
+    """The text in letters of another script."""
+    return "".join(chr(ord(c) + 0x4E00) if c.isalpha() else c for c in text)
+
+
+@pytest.mark.parametrize("learned", [("en", "de"), ("en",)])
+def test_a_language_in_another_script_does_not_open_the_limits(spark, corpus, learned):
+    """Random letters and a language not learned stay out, and what was learned stays in."""
+    rng = random.Random(8)
+    rows = [r for r in corpus if r[2] in learned]
+    rows += [(i + 10_000, elsewhere(t), "far") for i, t, lang in corpus if lang == "de"]
+    junk = [(20_000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)), None) for i in range(10)]
+    left_out = [(30_000 + i, t, None) for i, t, lang in corpus if lang == "es" and len(t) > 60]
+    got = langid.identify(documents(spark, rows + junk + left_out)).collect()
+    assert all(r.accepted for r in got if r.doc_id < 20_000)
+    assert not any(r.accepted for r in got if r.doc_id >= 20_000)
+
+
+def test_two_names_of_one_language_do_not_shut_it_out(spark, corpus):
+    rows = [(i, t, "en" if i % 2 else "eng") for i, t, lang in corpus if lang == "en"]
+    assert sum(r.accepted for r in langid.identify(documents(spark, rows)).collect()) >= 0.9 * len(rows)
