@@ -33,10 +33,6 @@ from fieldloom.session import materialize
 ORDER = 4
 ALPHABET = 1 << 16
 """Characters that the order below single ones spreads its mass over, seen or not."""
-MAX_GRAMS = 1_000_000
-"""Largest number of 4-grams in one language's model. Beyond it the rarest are left out of
-the model (not of the counting), so that the model's size has a bound and it can be sent to
-all executors."""
 MAX_LANGUAGES = 256
 """Languages a model may hold; more are an error, not cut."""
 MARGIN = 3.0
@@ -292,12 +288,13 @@ def calibrate(rows: DataFrame, model: Model, counts: dict[str, tuple[np.ndarray,
     return model
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS) -> Model | None:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int | None = None) -> Model | None:
     """Model of the languages named in ``docs``; None if no row has both text and language.
 
-    All rows and whole texts are counted. The least frequent grams are left out where a
-    language has more than ``max_grams``; the count that they need is taken from a
-    histogram, so ties at the border go together.
+    All rows and whole texts are counted, and the model keeps every gram. It is gathered
+    in the driver and sent to all executors, so it must fit them. Only where ``max_grams``
+    is given are a larger language's least frequent grams left out; the count that they
+    need is taken from a histogram, so ties at the border go together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text(text_col).alias("text"))
@@ -311,7 +308,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_g
         return None
     kept = F.lit(False)
     for lang, n in sizes.items():
-        least = 1 if n <= max_grams else _least_count(sums.where(F.col("lang") == lang), max_grams)
+        least = 1 if max_grams is None or n <= max_grams else _least_count(sums.where(F.col("lang") == lang), max_grams)
         kept = kept | ((F.col("lang") == lang) & (F.col("n") >= least))
     model = sums.where(kept).toArrow().combine_chunks()
     names = np.asarray(model["lang"].to_pylist(), object)

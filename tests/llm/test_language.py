@@ -143,3 +143,15 @@ def test_a_language_in_another_script_does_not_open_the_limits(spark, corpus, le
 def test_two_names_of_one_language_do_not_shut_it_out(spark, corpus):
     rows = [(i, t, "en" if i % 2 else "eng") for i, t, lang in corpus if lang == "en"]
     assert sum(r.accepted for r in langid.identify(documents(spark, rows)).collect()) >= 0.9 * len(rows)
+
+
+def test_no_gram_is_left_out_of_a_large_model(spark):
+    rng = random.Random(9)
+    texts = ["".join(map(chr, rng.choices(range(0x4E00, 0x9F00), k=210_000))) for _ in range(5)]
+    want = set()
+    for t in texts:
+        padded = f"   {t} "
+        want.update(padded[i : i + 4] for i in range(len(padded) - 3))
+    assert len(want) > 1_000_000
+    model = langid.train(documents(spark, [(i, t, "zh") for i, t in enumerate(texts)]))
+    assert len(model.tables[0][3][0]) == len(want)
