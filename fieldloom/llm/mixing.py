@@ -3,8 +3,9 @@
 A softmax classifier over hashed words, fitted on a bounded sample of the labelled
 documents, gives every document posteriors p over the domains. With n tokens and rate
 x, a document is expected to add x * n * p[k] tokens to domain k. The rates minimise the
-squared distance of these totals to the targets, subject to 0 <= x <= MAX_RATE, by accelerated
-projected gradient from x = 1. Residuals count in units of the domain's present share,
+squared distance of these totals to the targets, subject to x >= 0, by accelerated
+projected gradient from x = 1, until the totals
+are within TOLERANCE or a step changes less than STILL. Residuals count in units of the domain's present share,
 so a rare domain is fitted as well as a common one and a step of 1 is safe. The gradient
 of one document is p . c, where c is the residual vector of the whole corpus; so a step is one aggregation of a few numbers in
 Spark, and the rate of a document is a fold of its posteriors over the short list of
@@ -13,6 +14,8 @@ residuals. No rate is stored or shuffled between steps.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,12 +34,11 @@ BUCKETS = 1 << 16
 MIN_DOCS = 10
 """Training documents that a bucket must occur in to have weights."""
 EPOCHS = 150
-MAX_RATE = 4.0
-"""Largest rate: more repetitions of the same text teach a model next to nothing. A target that
-would need more is met as nearly as this allows."""
-STEPS = 40
-"""Projected-gradient steps at most; fewer if the totals are within TOLERANCE of the targets."""
 TOLERANCE = 1e-4
+"""Shares of the present tokens that totals may be off."""
+STILL = 1e-6
+"""Mean change of the rates under a projected-gradient step that counts as none: the totals are then
+as near to the targets as they get, which is reported."""
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -172,52 +174,78 @@ def memberships(weights: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.nd
     return tokens, e / e.sum(axis=1, keepdims=True)
 
 
-def fold_rates(p: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, extrapolated rate) after the recorded steps; each is a row (momentum, c...)."""
+def _fold(p: np.ndarray, history: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rate, extrapolated rate, change by the last step) after the recorded steps; each is a row (momentum, c...)."""
     x = y = np.ones(len(p))
+    change = np.full(len(p), np.inf)
     for momentum, *c in history:
-        new = np.clip(y - p @ np.array(c), 0.0, MAX_RATE)
+        new = np.clip(y - p @ np.array(c), 0.0, most)
+        change = np.abs(new - y)
         x, y = new, new + momentum * (new - x)
-    return x, y
+    return x, y, change
+
+
+def fold_rates(p: np.ndarray, history: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(rate, extrapolated rate) after the recorded steps."""
+    return _fold(p, history, most)[:2]
+
 
+def solve(members: DataFrame, targets: dict[str, float], steps: int | None = None, most: float = np.inf) -> np.ndarray:
+    """History of projected-gradient steps for (n_tokens, p) rows; as many as it takes unless ``steps`` is given."""
+    return solved(members, targets, steps, most)[0]
 
-def solve(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> np.ndarray:
-    """History of projected-gradient steps for (n_tokens, p) rows."""
+
+def solved(members: DataFrame, targets: dict[str, float], steps: int | None = None, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(history, residual per domain): shares of the present tokens by which the totals still miss."""
     spark = members.sparkSession
     k = len(DOMAINS)
     goal = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
     n, p = F.col("n_tokens").cast("double"), F.col("p")
     now = members.agg(F.sum(n).alias("m"), *[F.sum(n * p[j]).alias(f"s{j}") for j in range(k)]).first()
     if not now["m"]:
-        return np.zeros((0, k + 1))
+        return np.zeros((0, k + 1)), np.zeros(k)
     share = np.array([now[f"s{j}"] for j in range(k)]) / now["m"]
     # in these units the Hessian is a row-stochastic matrix, whose largest eigenvalue is 1
     step = 1.0 / np.maximum(share, 1e-12)
     history, t = np.zeros((0, k + 1)), 1.0
-    for _ in range(steps):
+    ahead_type = StructType([StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("change", DoubleType())])
+    while True:
         held = spark.sparkContext.broadcast(history)
 
-        @F.arrow_udf(DoubleType())
+        @F.arrow_udf(ahead_type)
         def ahead(ps: pa.Array) -> pa.Array:
-            flat = np.asarray(ps.flatten()).reshape(-1, k)
-            return pa.array(fold_rates(flat, held.value)[1])
-
-        y = members.select("n_tokens", "p", ahead("p").alias("y"))
-        sums = y.agg(*[F.sum(n * p[j] * F.col("y")).alias(f"s{j}") for j in range(k)]).first()
-        residual = np.array([sums[f"s{j}"] for j in range(k)]) / now["m"] - goal
+            folded = _fold(np.asarray(ps.flatten()).reshape(-1, k), held.value, most)
+            return pa.StructArray.from_arrays([pa.array(v) for v in folded], names=ahead_type.names)
+
+        a = members.select("n_tokens", "p", ahead("p").alias("a"))
+        sums = a.agg(
+            *[F.sum(n * p[j] * F.col("a.x")).alias(f"x{j}") for j in range(k)],
+            *[F.sum(n * p[j] * F.col("a.y")).alias(f"y{j}") for j in range(k)],
+            F.sum(n * F.col("a.change")).alias("change"),
+        ).first()
+        residual = np.array([sums[f"x{j}"] for j in range(k)]) / now["m"] - goal
         held.unpersist()
-        if np.abs(residual).max() < TOLERANCE:
+        met = np.abs(residual).max() < TOLERANCE
+        if met or sums["change"] / now["m"] < STILL or len(history) == steps:
             break
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        history = np.vstack([history, [(t - 1) / after, *(step * residual)]])
+        ahead_by = np.array([sums[f"y{j}"] for j in range(k)]) / now["m"] - goal
+        history = np.vstack([history, [(t - 1) / after, *(step * ahead_by)]])
         t = after
-    return history
+    if not met:
+        off = ", ".join(f"{d} {r:+.4f}" for d, r in zip(DOMAINS, residual))
+        warnings.warn(f"totals miss the targets after {len(history)} steps, in shares of the tokens: {off}", stacklevel=2)
+    return history, residual
 
 
 class Mix:
-    """A fitted mix: columns for tokens, posteriors and rate of any text."""
+    """A fitted mix: columns for tokens, posteriors and rate of any text, and the residual of
+    the totals. No rate is above ``most``; none is bounded unless it is given."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, targets=TARGETS, id_col="doc_id", text_col="text", domain: Column | None = None):
+    def __init__(
+        self, docs: DataFrame, labels: DataFrame, targets=TARGETS, id_col="doc_id", text_col="text",
+        domain: Column | None = None, most: float = np.inf,
+    ):
         spark = docs.sparkSession
         weights = train(docs, labels, id_col, text_col, default_domain(labels) if domain is None else domain)
         held = spark.sparkContext.broadcast(weights)
@@ -233,16 +261,16 @@ class Mix:
         self.member = lambda col: member(text(col))
         rows = docs.select(F.col(id_col).alias("id"), self.member(text_col).alias("m")).select("id", "m.*")
         self.members = materialize(rows, "mixing-members")
-        self.history = solve(self.members, targets)
+        self.history, self.residual = solved(self.members, targets, most=most)
         steps = spark.sparkContext.broadcast(self.history)
 
         @F.arrow_udf(DoubleType())
         def rate(ps: pa.Array) -> pa.Array:
-            return pa.array(fold_rates(np.asarray(ps.flatten()).reshape(-1, len(DOMAINS)), steps.value)[0])
+            return pa.array(fold_rates(np.asarray(ps.flatten()).reshape(-1, len(DOMAINS)), steps.value, most)[0])
 
         @F.arrow_udf(DoubleType())
         def text_rate(texts: pa.Array) -> pa.Array:
-            return pa.array(fold_rates(memberships(held.value, texts)[1], steps.value)[0])
+            return pa.array(fold_rates(memberships(held.value, texts)[1], steps.value, most)[0])
 
         self.rate, self.text_rate = rate, lambda col: text_rate(text(col))
 

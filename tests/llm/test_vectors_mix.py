@@ -142,3 +142,21 @@ def test_resampling_repeats_rows_and_keeps_columns(spark):
     assert mixing.resample(documents(spark, []), lab).collect() == []
     flat = mixing.rates(docs, lab.where("false")).collect()
     assert {round(r.p_toxic, 9) for r in flat} == {round(1 / 3, 9)}
+
+
+def test_a_rare_domain_meets_its_target_and_a_miss_is_reported(spark):
+    rng = np.random.default_rng(6)
+    kind = rng.choice(3, 200, p=[0.05, 0.75, 0.2])  # a twentieth is clean, which is to be most of it
+    p = np.eye(3)[kind] * 0.97 + 0.01
+    n = rng.integers(20, 90, 200)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    table = table.coalesce(1)
+    goal = np.array([0.8, 0.17, 0.03])
+    history, residual = mixing.solved(table, dict(zip(mixing.DOMAINS, goal)))
+    x, _ = mixing.fold_rates(p, history)
+    total = (p * (n * x)[:, None]).sum(axis=0) / n.sum()
+    assert x.max() > 4 and np.abs(total - goal).max() < mixing.TOLERANCE
+    assert residual == pytest.approx(total - goal, abs=1e-9)
+    with pytest.warns(UserWarning, match="clean -"):
+        history, residual = mixing.solved(table, dict(zip(mixing.DOMAINS, goal)), steps=8, most=4.0)
+    assert residual[0] < -0.1 and mixing.fold_rates(p, history, 4.0)[0].max() == 4.0
