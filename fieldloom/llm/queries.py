@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, hamming, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
+from fieldloom.llm import chat, crosstokens, hamming, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
 from fieldloom.llm.common import prepare
 from fieldloom.session import scratch_dir
 
@@ -171,3 +171,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query()
+def op11_crosstokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.align(table(spark, sf_dir, "documents"), digest=True)
