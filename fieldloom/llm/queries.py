@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, crosstokens, hamming, langid, licenses, mixing, pieces, rendering, repetition, simhash, warc
+from fieldloom.llm import chat, crosstokens, hamming, langid, licenses, lines, mixing, pieces, rendering, repetition, simhash, warc
 from fieldloom.llm.common import prepare
 from fieldloom.session import scratch_dir
 
@@ -176,3 +176,22 @@ def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_crosstokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstokens.align(table(spark, sf_dir, "documents"), digest=True)
+
+
+_OP12 = rf"""WITH l AS (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{lines.UPPER}', '{lines.LOWER}') AS key FROM l),
+common AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {lines.MIN_POINTS}
+           GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS})
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN common c ON c.key = k.key) GROUP BY doc_id"""
+
+
+@query(_OP12)
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.apply(docs, lines.bitmaps(docs))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
