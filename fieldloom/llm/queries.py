@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, crosstokens, hamming, langid, licenses, lines, mixing, pieces, rendering, repetition, simhash, warc
+from fieldloom.llm import chat, crosstokens, hamming, langid, licenses, lines, mixing, pieces, rendering, repetition, resampling, simhash, warc
 from fieldloom.llm.common import prepare
 from fieldloom.session import scratch_dir
 
@@ -195,3 +195,45 @@ def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.apply(docs, lines.bitmaps(docs))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+def _ngrams(name: str, table_name: str) -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    key = "doc_id" if name == "d" else "0"
+    return f"""{name} AS MATERIALIZED (
+  SELECT id, len(w) AS n_words, unnest(list_concat(w, {pairs})) AS g FROM (SELECT {key} AS id, {words} AS w FROM {table_name}))"""
+
+
+# CRC-32 in SQL: the table from its polynomial, then one byte of every distinct feature a step.
+_OP13 = f"""WITH RECURSIVE {_ngrams("d", "documents")}, {_ngrams("b", "benchmark")},
+crct AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+g AS MATERIALIZED (SELECT DISTINCT g, hex(encode(g)) AS h FROM (SELECT g FROM d UNION ALL SELECT g FROM b)),
+step AS (
+  SELECT g, h, 0 AS p, 4294967295::BIGINT AS c FROM g
+  UNION ALL
+  SELECT g, h, p + 1, xor(c >> 8, v)
+  FROM step JOIN crct ON i = xor(c, CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT)) & 255 WHERE p < length(h) // 2),
+bucket AS MATERIALIZED (SELECT g, xor(c, 4294967295) % {resampling.BUCKETS} AS k FROM step WHERE p = length(h) // 2),
+s AS (SELECT k, count(*) AS n FROM d JOIN bucket USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN bucket USING (g) GROUP BY k),
+gain AS (
+  SELECT k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + {resampling.BUCKETS})::DOUBLE
+         / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {resampling.BUCKETS})::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (k)),
+w AS (SELECT id, min(n_words) AS n_words, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM d JOIN bucket USING (g) JOIN gain USING (k) GROUP BY id),
+x AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n, 0) AS n_features, coalesce((total - (total % n + n) % n) // n, 0) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS luck
+  FROM documents LEFT JOIN w ON id = doc_id),
+r AS (SELECT *, weight + luck AS score, n_words >= {resampling.MIN_WORDS} AS long_enough FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS rank FROM r)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN long_enough AND rank <= {resampling.PERCENT} * (SELECT count(*) FROM r WHERE long_enough) // 100 THEN rank END AS rank FROM o"""
+
+
+@query(_OP13)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
