@@ -3,8 +3,10 @@
 A notice of m characters may differ by up to ``edits`` insertions, deletions or
 substitutions. Split into edits + 1 pieces, at least one piece must stand in the text
 unchanged, so an Aho-Corasick automaton over all pieces of all notices finds every
-candidate in one pass. Pieces are cut at words, so that each has a rare one. Around a candidate the regex library matches the whole notice
-under the edit bound and gives the span of the best match.
+candidate in one pass. Around a candidate, one bit-parallel pass gives the least edit
+distance of the notice to any stretch of the window; where that is within the bound, the
+regex library matches the whole notice with as many edits and gives the span. What stands
+in front of a match and behind it is searched in the same way.
 """
 
 from __future__ import annotations
@@ -55,13 +57,6 @@ NOTICES = (
 
 EDIT_SHARE = 0.1
 """Edits allowed per character of a notice, rounded down."""
-MOST_EDITS = 3
-"""Largest edit bound of a notice; matching costs about three times as much per further edit."""
-SELECTIVE = 5
-"""Characters outside FILLER words that every seed must have; a notice that cannot be cut into
-such seeds gets a lower edit bound, so that common words never make candidates."""
-FILLER = frozenset("a and any as by for free in is of or the this to under use with".split())
-
 _NOT_WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 MATCH = StructType(
@@ -86,49 +81,62 @@ class Searcher:
     """The automaton over all pieces and one bounded-error pattern per notice."""
 
     automaton: ahocorasick.Automaton
-    patterns: list[regex.Pattern]
     edits: list[int]
 
 
+@lru_cache(1024)
+def _pattern(notice: str, edits: int) -> regex.Pattern:
+    return regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")
+
+
+@lru_cache(256)
+def _positions(notice: str) -> dict[str, int]:
+    """Bit i of a character: whether it is the notice's i-th."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def least_edits(notice: str, words: str, lo: int, hi: int) -> int:
+    """Least edit distance between the notice and any stretch of words[lo:hi]: columns of the
+    distance table as bit vectors of its steps down (+1 in ``up``, -1 in ``down``)."""
+    where, m = _positions(notice), len(notice)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, now = full, 0, m
+    best = m
+    for c in words[lo:hi]:
+        same = where.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | full & ~(flat | up), up & flat
+        now += bool(rise & top) - bool(fall & top)
+        rise, fall = rise << 1 & full, fall << 1 & full
+        up, down = fall | full & ~((same | down) | rise), rise & (same | down)
+        best = min(best, now)
+    return best
+
+
 def seeds(notice: str, share: float) -> list[tuple[int, int]]:
-    """Spans of edits + 1 word-aligned pieces, cut so that the weakest piece is strongest."""
-    words = notice.split(" ")
-    starts = [0]
-    for w in words[:-1]:
-        starts.append(starts[-1] + len(w) + 1)
-    weights = [0 if w in FILLER else len(w) for w in words]
-    for k in range(min(MOST_EDITS, int(len(notice) * share)), -1, -1):
-        # best[j]: (weight of the weakest piece, cuts) of the first j words
-        best: list[tuple[int, list[int]] | None] = [(1 << 30, [0])] + [None] * len(words)
-        for _ in range(k + 1):
-            best = [
-                max(
-                    ((min(best[i][0], sum(weights[i:j])), [*best[i][1], j]) for i in range(j) if best[i]),
-                    default=None,
-                )
-                for j in range(len(words) + 1)
-            ]
-        if best[-1] and (best[-1][0] >= SELECTIVE or k == 0):
-            cuts = best[-1][1]
-            return [(starts[i], starts[j - 1] + len(words[j - 1])) for i, j in zip(cuts, cuts[1:])]
-    return [(0, len(notice))]
+    """Spans of edits + 1 pieces of nearly equal length, wherever they fall in words: a text
+    within the edits holds one of them unchanged."""
+    k = int(len(notice) * share) + 1
+    return [(i * len(notice) // k, (i + 1) * len(notice) // k) for i in range(k)]
 
 
 @lru_cache(4)
 def searcher(notices: tuple[tuple[str, str], ...], share: float) -> Searcher:
     pieces: dict[str, list[tuple[int, int]]] = {}
-    patterns, edits = [], []
+    edits = []
     for i, (words, _) in enumerate(notices):
         spans = seeds(words, share)
         for a, b in spans:
             pieces.setdefault(words[a:b], []).append((i, a))
         edits.append(len(spans) - 1)
-        patterns.append(regex.compile(f"(?b)(?:{regex.escape(words)}){{e<={len(spans) - 1}}}"))
     automaton = ahocorasick.Automaton()
     for piece, where in pieces.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    return Searcher(automaton, patterns, edits)
+    return Searcher(automaton, edits)
 
 
 def normalise(data: bytes) -> str:
@@ -170,11 +178,14 @@ def fuzzy(words: str, notices=NOTICES, share: float = EDIT_SHARE) -> list[tuple[
             own.append([lo, hi])
     found = []
     for i, own in windows.items():
-        for lo, hi in own:
-            at = lo
-            while m := s.patterns[i].search(words, at, hi):
-                found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), m.start() + 1)
+        notice = notices[i][0]
+        while own:
+            lo, hi = own.pop()
+            if hi - lo < len(notice) - s.edits[i] or (least := least_edits(notice, words, lo, hi)) > s.edits[i]:
+                continue
+            m = _pattern(notice, least).search(words, lo, hi)
+            found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+            own += ([lo, m.start()], [max(m.end(), m.start() + 1), hi])
     return best_readings(found)
 
 

@@ -1,3 +1,4 @@
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -140,6 +141,7 @@ def test_every_edit_within_the_bound_is_found(notice):
     """Edits anywhere leave one seed whole, so the notice is found and its edits are right."""
     words_, label = licenses.NOTICES[notice]
     bound = len(licenses.seeds(words_, licenses.EDIT_SHARE)) - 1
+    assert bound == len(words_) // 10
     step = max(1, len(words_) // 9)
     for shift in range(0, step, 2):
         s = list(words_)
@@ -164,3 +166,19 @@ def test_better_reading_wins_and_clean_text_has_none(spark):
     fuzzy = licenses._row(b"Relaesed under the MIT-License".replace(b"ae", b"e"))
     assert fuzzy["labels"] == ["mit"]
     assert licenses.scan(documents(spark, [])).collect() == []
+
+
+def test_least_edits_is_the_distance_to_the_nearest_stretch():
+    rng = random.Random(2)
+    for _ in range(150):
+        notice = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 12)))
+        text = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 14)))
+        want = min([len(notice)] + [distance(notice, text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)])
+        assert licenses.least_edits(notice, text, 0, len(text)) == want
+
+
+def test_matches_in_front_of_and_behind_the_best_one_are_found():
+    notice = licenses.NOTICES[6][0]
+    text = f"{notice[:8]}x{notice[8:]} {notice} {notice[:20]}yy{notice[20:]}"
+    found = sorted((a, e) for i, a, b, e in licenses.fuzzy(text) if i == 6)
+    assert [e for _, e in found] == [1, 0, 2]
