@@ -215,9 +215,10 @@ def digest(row: dict) -> dict:
     """Figures of a conversation read back from its rendered string and token mask."""
     spans = list(zip(row["span_start"], row["span_end"]))
     learned = "".join(masked_text(row["formatted"], row["token_start"], row["token_end"], row["loss_mask"], spans))
-    whole = "".join(f"{role}\n{said}\n" for role, said in parse(row["formatted"]))
+    turns = parse(row["formatted"])
+    whole = "".join(f"{role}\n{said}\n" for role, said in turns)
     return {
-        "n_turns": row["n_turns"],
+        "n_turns": len(turns),
         "turns_sha256": sha256(whole.encode()).hexdigest(),
         "loss_chars": len(learned),
         "loss_sha256": sha256(learned.encode()).hexdigest(),

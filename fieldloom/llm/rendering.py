@@ -9,6 +9,8 @@ in columns. No visible text is judged or dropped.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Generator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,8 +49,8 @@ SCOPE = {
     "optgroup": {"select"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "thead": {"table"},
     "tbody": {"table"}, "tfoot": {"table"}, "caption": {"table"},
 }
-DEPTH = 150
-"""Elements nested deeper are laid flat into their ancestor at this depth; their text stays."""
+MOST_INDENT = 80
+"""Lines that are indented this far are not moved further in by what contains them."""
 ALIGN = 40
 """Widest column that is padded; longer cells run over and the row goes on behind them."""
 GAP = "  "
@@ -71,12 +73,19 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.held = Counter()  # open elements by tag
+
+    def _cut(self, i: int) -> None:
+        self.held.subtract(n.tag for n in self.open[i:])
+        del self.open[i:]
 
     def _close(self, tags: frozenset[str] | set[str], scope: set[str]) -> None:
         """End the nearest open element of ``tags``, unless a ``scope`` element is nearer."""
+        if not any(self.held[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in scope:
                 return
@@ -90,7 +99,7 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th"):
             self._within("tr", {"table"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._cut(-1)
 
     def _within(self, tag: str, scope: set[str]) -> None:
         for node in reversed(self.open):
@@ -102,9 +111,10 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> None:
         node = Node(tag, attrs)
-        self.open[min(len(self.open), DEPTH) - 1].children.append(node)
-        if tag not in VOID and len(self.open) < 4 * DEPTH:  # deeper ones do not even open
+        self.open[-1].children.append(node)
+        if tag not in VOID:
             self.open.append(node)
+            self.held[tag] += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body") or tag == "head" and len(self.open) > 1:
@@ -114,7 +124,7 @@ class TreeBuilder(HTMLParser):
                 self.root.attrs.setdefault(k, v)
             return
         if len(self.open) > 1 and self.open[-1].tag == "head" and tag not in UNSEEN:
-            self.open.pop()  # the body begins without a tag
+            self._cut(-1)  # the body begins without a tag
         self._imply(tag)
         self._push(tag, dict(attrs))
 
@@ -128,7 +138,7 @@ class TreeBuilder(HTMLParser):
             return self.handle_starttag("br", [])
         if tag in VOID:
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if tag == "p" and not self.held["p"]:
             self._push("p", {})
         if tag in HEADINGS:  # the end of any heading ends the open one
             return self._close(HEADINGS, {"table", "td", "th"})
@@ -139,9 +149,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "head" and data.strip():
-            self.open.pop()
-            top = self.open[-1]
-        self.open[min(len(self.open), DEPTH) - 1].children.append(data)
+            self._cut(-1)
+        self.open[-1].children.append(data)
 
 
 def visible(node: Node) -> bool:
@@ -203,12 +212,28 @@ class Page:
         """Add the lines of a finished block behind a marker or indent."""
         self.end()
         for i, s in enumerate(lines):
-            self._emit(((first if i == 0 else rest) + s).rstrip() if s else "")
-
-
-def block(node: Node, pre: bool = False) -> list[str]:
+            before = first if i == 0 else rest if len(s) - len(s.lstrip(" ")) < MOST_INDENT else ""
+            self._emit((before + s).rstrip() if s else "")
+
+
+def walked(task: Generator) -> list[str]:
+    """Run ``block`` and what it yields: each generator is given the result of the one that it
+    asks for. The stack is a list, so pages may nest as deep as they like."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def block(node: Node, pre: bool = False) -> Generator:
+    """Lines of what ``node`` contains."""
     page = Page(pre)
-    fill(page, node)
+    yield fill(page, node)
     page.end()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -217,7 +242,7 @@ def block(node: Node, pre: bool = False) -> list[str]:
     return page.lines
 
 
-def fill(page: Page, node: Node) -> None:
+def fill(page: Page, node: Node) -> Generator:
     """Write what ``node`` contains, in order."""
     ordered = node.tag == "ol"
     start = node.attrs.get("start") or ""
@@ -241,42 +266,42 @@ def fill(page: Page, node: Node) -> None:
         elif tag == "li":
             marker = f"{number}. " if ordered else "- "
             number += 1
-            page.take(block(child, page.pre), marker, " " * len(marker))
+            page.take((yield block(child, page.pre)), marker, " " * len(marker))
         elif tag == "dd" or tag == "blockquote":
             page.space() if tag == "blockquote" else None
-            page.take(block(child, page.pre), GAP, GAP)
+            page.take((yield block(child, page.pre)), GAP, GAP)
             page.space() if tag == "blockquote" else None
         elif tag == "table":
             page.space()
-            page.take(table(child))
+            page.take((yield table(child)))
             page.space()
         elif tag in KEEPS_SPACE:
             page.space() if tag == "pre" else page.end()
-            page.take(block(child, True))
+            page.take((yield block(child, True)))
             page.space() if tag == "pre" else page.end()
         elif tag in BLOCK:
             nested = tag in ("ul", "ol") and node.tag == "li"
             edge = page.space if tag in SPACED and not nested else page.end
             edge()
-            fill(page, child)
+            yield fill(page, child)
             edge()
         else:
-            fill(page, child)
+            yield fill(page, child)
 
 
-def rows_of(node: Node):
-    """(captions and loose content, rows) of a table."""
+def rows_of(node: Node) -> tuple[Node, list[Node]]:
+    """(captions and loose content, rows) of a table, row groups opened up."""
     loose, rows = Node("div", {}), []
-    for child in node.children:
+    ahead = list(reversed(node.children))
+    while ahead:
+        child = ahead.pop()
         if isinstance(child, str):
             if child.strip():
                 loose.children.append(child)
         elif not visible(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            more, inner = rows_of(child)
-            loose.children += more.children
-            rows += inner
+            ahead += reversed(child.children)
         elif child.tag == "tr":
             rows.append(child)
         elif child.tag not in ("colgroup", "col"):
@@ -289,7 +314,7 @@ def span(cell: Node, name: str, most: int) -> int:
     return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,9}", value) else 1
 
 
-def table(node: Node) -> list[str]:
+def table(node: Node) -> Generator:
     """Lines of a table: cells of a column begin at the same place where they fit ALIGN."""
     loose, rows = rows_of(node)
     grid: list[list[tuple[int, list[str]]]] = []
@@ -307,7 +332,7 @@ def table(node: Node) -> list[str]:
                 continue
             while busy.get(column, 0) > 0:
                 column += 1
-            lines = block(cell) if cell.tag in ("td", "th") else block(_wrap(cell))
+            lines = yield block(cell if cell.tag in ("td", "th") else _wrap(cell))
             wide = span(cell, "colspan", 1000)
             cells.append((column, lines))
             if wide == 1:
@@ -324,7 +349,7 @@ def table(node: Node) -> list[str]:
     for c in columns:
         place[c] = at
         at += width[c] + len(GAP)
-    out = block(loose)
+    out = yield block(loose)
     for cells in grid:
         for i in range(max((len(lines) for _, lines in cells), default=0)):
             s = ""
@@ -358,7 +383,7 @@ def render(html: str) -> tuple[str, str]:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    lines = block(builder.root)
+    lines = walked(block(builder.root))
     return title_of(builder.root), "\n".join(lines).replace("\xa0", " ")
 
 

@@ -115,3 +115,19 @@ def test_pages_of_the_table_and_odd_rows(spark):
     got = rendering.extract(df).collect()
     assert sorted(((r.page_id, r.title, r.text, r.n_chars, r.n_lines) for r in got), key=repr) == [(1, "", "", 0, 0)] * 2 + [(None, "T", "", 0, 0)]
     assert rendering.extract(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("depth", [1, 149, 151, 160, 700, 5000])
+def test_hidden_text_stays_hidden_at_any_depth(depth):
+    inner = '<script>var hid=1</script><p style="display:none">secret</p><div hidden><b>more</b></div><p>seen</p>'
+    assert rendering.render("<div>" * depth + inner + "</div>" * depth + "<p>after</p>")[1] == "seen\n\nafter"
+    assert rendering.render("<b>" * depth + inner)[1] == "seen"
+    depth = min(depth, 1500)
+    nested = rendering.render("<ul><li>x" * depth + inner)[1].split("\n")
+    assert sum(s.lstrip("- ") == "x" for s in nested) == depth and nested[-1].strip() == "seen"
+    assert max(map(len, nested)) <= rendering.MOST_INDENT + 20
+
+
+def test_digest_counts_turns_that_are_read_back():
+    row = chat.encode(chat.load(open(chat.TOKENIZER, "rb").read()), [{"role": "user", "text": "a"}, {"role": "assistant", "text": "<|im_end|>"}], ("assistant",))
+    assert chat.digest(row | {"n_turns": 99})["n_turns"] == 2
