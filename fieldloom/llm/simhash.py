@@ -19,17 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from fieldloom.llm import shingles
 from fieldloom.llm.common import free_name, text, utf8
+from fieldloom.llm.shingles import SEED, SHINGLE, fingerprint  # noqa: F401
 from fieldloom.operators.components import components
 from fieldloom.session import materialize
 
-SEED = 42
-SHINGLE = 3
 DISTANCE = 2
 HALF = 32
 """Bits of a segment; two segments make a fingerprint."""
@@ -37,29 +36,6 @@ PAIRWISE = 128
 """Fingerprints under one key that are compared pairwise; larger keys are expanded."""
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of UTF-8 text: the majority bit of the shingles' XXH64 values.
-
-    A-Z is lower-cased and words are split at ASCII white space; bytes.lower and
-    bytes.split do exactly that and leave other code points whole. Fewer words than
-    a shingle are one shingle; no word gives 0.
-    """
-    words = data.lower().split()
-    if not words:
-        return 0
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    last = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, last, 1 << 14):
-        h = np.fromiter(
-            (digest(join(words[i : i + shingle]), SEED) for i in range(lo, min(last, lo + (1 << 14)))),
-            np.dtype("<u8"),
-        )
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
-
-
 @F.arrow_udf(LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     raw, at, _ = utf8(texts)
@@ -173,17 +149,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less near duplicates: one row per component.
 
-    It is the row with the component's smallest id (null only if there is no other); of
-    rows that share that id, one with the smallest fingerprint, and of those the smallest in
-    the order of their columns. Components that share their smallest id keep a row each.
+    Linked are fingerprints within DISTANCE bits and, beyond them, texts that share 0.8 or
+    more of their five-word shingles (module ``shingles``). The row that stays has the
+    component's smallest id (null only if there is no other); of rows that share that id, the
+    one with the smallest fingerprint, and of those the first read. Texts without words link
+    to each other. Columns may be of any type that Parquet stores, with any names; empty
+    tables stay empty.
     """
-    _, rooted = _rooted(docs, id_col, text_col)
-    # chosen by component, not by id: ids may be null or stand on unlike texts
-    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("_id"), F.col("fp").alias("_fp")))
-    stays = materialize(rooted.groupBy("root").agg(least.alias("s")).select("s._id", "s._fp"), "simhash-kept")
-    name = free_name(docs, "fp")
-    marked = docs.withColumn(name, fingerprint_column(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_fp"))
-    kept = marked.join(stays, same, "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    return kept.groupBy(id_col, name).agg(F.min(row).alias("row")).select("row.*")
+    uid, found = free_name(docs, "row"), free_name(docs, "signature")
+    marked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(found, shingles.signature(text(text_col)))
+    marked = materialize(marked, "simhash-marked")  # every text is read and hashed once
+    rows = marked.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), f"{found}.*")
+    prints = rows.select("fp").distinct()
+    close = links(prints)
+    alike = shingles.links(rows.select("fp", "set", "n", "prefix"), marked.select(F.col(f"{found}.set").alias("set"), text(text_col).alias("text")))
+    # a set of shingles and the fingerprints of its texts are vertices of one graph
+    same = rows.where("set <> fp").select(F.col("fp").alias("src"), F.col("set").alias("dst")).distinct()
+    one_way = close.unionByName(alike).unionByName(same)
+    edges = materialize(one_way.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "simhash-links")
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    roots = components(touched, edges).withColumnRenamed("vid", "fp")
+    rooted = rows.select("uid", "id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "uid"))
+    stays = rooted.groupBy("root").agg(first.alias("s")).select(F.col("s.uid").alias("uid"))
+    gone = materialize(rows.select("uid").join(stays, "uid", "left_anti"), "simhash-gone")
+    return marked.join(gone, F.col(uid) == F.col("uid"), "left_anti").select(*docs.columns)

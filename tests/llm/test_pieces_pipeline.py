@@ -111,12 +111,13 @@ def test_stages_match_plain_versions(spark, tmp_path):
     before, after = seen["quality"]
     assert ids(after) == sorted(r.doc_id for r in before.collect() if plain(r.text)["kept"])
 
-    from test_simhash import components
+    from test_simhash import components, similar_pairs
     from test_simhash import plain as fingerprint
 
     before, after = seen["near_duplicates"]
-    rows = sorted((r.doc_id, fingerprint(r.text)) for r in before.collect())
-    assert ids(after) == [rows[i][0] for i in sorted(set(components([p for _, p in rows])))]
+    rows = sorted((r.doc_id, r.text) for r in before.collect())
+    roots = components([fingerprint(t) for _, t in rows], similar_pairs([t for _, t in rows]))
+    assert ids(after) == [rows[i][0] for i in sorted(set(roots))]
 
     before, after = seen["mixture"]
     want = mixing.rates(before, spark.read.parquet(f"{sf}/labels.parquet")).collect()

@@ -8,7 +8,7 @@ import xxhash
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import ODD, documents, lower, words
 
-from fieldloom.llm import simhash
+from fieldloom.llm import shingles, simhash
 
 
 def plain(text):
@@ -19,8 +19,27 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(prints):
-    """Smallest index reachable over links of at most two bits, all pairs compared."""
+def shingle_set(text):
+    w = words(lower(text))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_pairs(texts):
+    """Index pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = list(map(shingle_set, texts))
+    where, out = {}, set()
+    for i, s in enumerate(sets):
+        shared = {}
+        for g in s:
+            for j in where.setdefault(g, []):
+                shared[j] = shared.get(j, 0) + 1
+            where[g].append(i)
+        out |= {(j, i) for j, n in shared.items() if 5 * n >= 4 * (len(s) + len(sets[j]) - n)}
+    return out
+
+
+def components(prints, more=()):
+    """Smallest index reachable over links of at most two bits, all pairs compared, or ``more``."""
     parent = list(range(len(prints)))
 
     def root(i):
@@ -33,6 +52,9 @@ def components(prints):
             if bin(prints[i] ^ prints[j]).count("1") <= 2:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
+    for i, j in more:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
     return [root(i) for i in range(len(prints))]
 
 
@@ -116,3 +138,61 @@ def test_components_that_share_an_id_or_have_none_keep_a_row_each(spark):
     kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(documents(spark, rows)).collect()), key=repr)
     want = [(None, t) for t in texts[:3]] + [(7, texts[3]), (7, texts[4]), (8, texts[5])]
     assert kept == sorted(want, key=repr)
+
+
+def copies(rng, words_, n, most):
+    """Near copies: a few words of ``words_`` changed in each."""
+    for i in range(n):
+        w = list(words_)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(len(w))] = f"new{i}x{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("pairwise", [32, 3])
+def test_links_are_the_pairs_of_similar_shingles(spark, monkeypatch, pairwise):
+    """With a hot passage in most texts, and with every larger key treated as a hot one."""
+    monkeypatch.setattr(shingles, "PAIRWISE", pairwise)
+    rng = random.Random(11)
+    texts = ["", "one two", "One TWO", "one two three four five", "one two three four five six"]
+    passage = " ".join(f"passage{i}" for i in range(30))
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(rng.choice([8, 60, 200]))]
+        texts += [f"{t} {passage}" if g % 2 and len(base) > 8 else t for t in copies(rng, base, 4, 2 + len(base) // 60)]
+    docs = documents(spark, list(enumerate(texts)))
+    marked = docs.select("doc_id", "text", shingles.signature(docs["text"]).alias("s")).select("doc_id", "text", "s.*")
+    found = {(r.src, r.dst) for r in shingles.links(marked, marked).collect()}
+    name = {r.doc_id: r["set"] for r in marked.collect()}
+    want = {tuple(sorted((name[i], name[j]))) for i, j in similar_pairs(texts) if name[i] != name[j]}
+    assert found <= want and len(want) > 30
+    if pairwise == 32:
+        assert found == want
+    else:
+        assert len(found) >= 0.8 * len(want)
+
+
+def test_large_group_of_near_copies_is_one_component(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [*copies(rng, base, 300, 5), *(" ".join(f"o{i}x{j}" for j in range(50)) for i in range(20))]
+    kept = simhash.keep_one(documents(spark, list(enumerate(texts)))).collect()
+    assert len(kept) <= 22 and {r.doc_id for r in kept} >= {0, *range(300, 320)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies_of_the_tables_are_caught(spark, sf):
+    """All pairs of similarity 0.8 and more, and none of the others beyond two bits."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where("text is not null")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    pairs = similar_pairs([t for _, t in rows])
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    roots = components(prints, pairs)
+    assert len(pairs) > 10
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [rows[i][0] for i in sorted(set(roots))]
+
+
+def test_maps_and_structs_are_carried(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other")]).selectExpr("*", "map('k', doc_id) AS m", "named_struct('a', 1) AS `__row`")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
