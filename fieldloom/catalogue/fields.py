@@ -103,43 +103,42 @@ def mask_changes(spark, sf):
     return masks.changes(step_field(spark, sf), BATCH)
 
 
-@query(with_(SERIES) + """SELECT var, vid // 8 AS byte,
+@query(with_(SERIES) + """SELECT var, t, vid // 8 AS byte,
   CAST(sum(CASE WHEN val = -99999 THEN 1 << (7 - vid % 8)::INTEGER ELSE 0 END) AS INTEGER) AS bits
-FROM series WHERE t = 0 GROUP BY var, vid // 8""")
+FROM series GROUP BY var, t, vid // 8""")
 def packed_mask(spark, sf):
-    """Validity mask of the first step packed eight vertices to a byte, first vertex highest."""
-    first = step_field(spark, sf).select(
-        "var", "vid", (F.col("vals")[0] == F.lit(SENTINEL).cast("float")).alias("flag")
-    )
-    return masks.pack_bits(first, ["var"])
+    """Validity mask of every step packed eight vertices to a byte, first vertex highest."""
+    flags = long_field(spark, sf).select("var", "t", "vid", (F.col("val") == F.lit(SENTINEL).cast("float")).alias("flag"))
+    return masks.pack_bits(flags, ["var", "t"])
 
 
-@query(with_(SERIES) + "SELECT var, vid, val = -99999 AS flag FROM series WHERE t = 0")
+@query(with_(SERIES) + "SELECT var, t, vid, val = -99999 AS flag FROM series")
 def unpacked_mask(spark, sf):
-    """Bytes back to one flag per vertex."""
+    """Bytes back to one flag per vertex and step."""
     n = tables.positions(spark, sf).count()
-    return masks.unpack_bits(packed_mask(spark, sf), ["var"], n)
+    return masks.unpack_bits(packed_mask(spark, sf), ["var", "t"], n)
 
 
-MASKED = with_(EDGES, POS, DIST, SERIES) + """, state AS (SELECT vid, val FROM series WHERE var = 'quantity' AND t = 0),
-alive AS (SELECT d.src, d.dst, d.dist,
-                 row_number() OVER (PARTITION BY d.src ORDER BY d.dist, d.dst) AS rn
-          FROM dists d JOIN state s ON s.vid = d.src AND s.val <> -99999
-                       JOIN state n ON n.vid = d.dst AND n.val <> -99999 WHERE d.dst < d.src),
-near AS (SELECT src, dst, dist, rn FROM alive WHERE rn <= 4), """ + WEIGHTS + """,
-pred AS (SELECT src AS vid, sum(w * CAST(val AS DOUBLE)) AS pred
-         FROM weights JOIN state ON state.vid = dst GROUP BY src)
-SELECT s.vid, s.val = -99999 AS gone,
-       round(CASE WHEN s.val = -99999 THEN -99999.0::DOUBLE ELSE coalesce(p.pred, 0.0) END, 4) AS pred
-FROM state s LEFT JOIN pred p ON p.vid = s.vid"""
+MASKED = with_(EDGES, POS, DIST, SERIES) + """, alive AS (
+  SELECT var, t, d.src, d.dst, d.dist, row_number() OVER (PARTITION BY d.src, var, t ORDER BY d.dist, d.dst) AS rn
+  FROM dists d JOIN series s ON s.vid = d.src AND s.val <> -99999
+       JOIN (SELECT var AS nvar, t AS nt, vid AS nvid FROM series WHERE val <> -99999) n ON nvid = d.dst AND nvar = var AND nt = t
+  WHERE d.dst < d.src),
+near AS (SELECT src || '/' || var || '/' || t AS src, src AS vid, var, t, dst, dist, rn FROM alive WHERE rn <= 4), """ + WEIGHTS + """,
+pred AS (SELECT near.vid, near.var, near.t, sum(w.w * CAST(f.val AS DOUBLE)) AS pred
+         FROM weights w JOIN near ON near.src = w.src AND near.rn = w.rn
+         JOIN series f ON f.vid = near.dst AND f.var = near.var AND f.t = near.t GROUP BY ALL)
+SELECT s.var, s.t, s.vid, s.val = -99999 AS gone,
+       floor(CASE WHEN s.val = -99999 THEN -99999.0::DOUBLE ELSE coalesce(p.pred, 0.0) END * 1000 + 0.5) AS pred
+FROM series s LEFT JOIN pred p ON p.vid = s.vid AND p.var = s.var AND p.t = s.t"""
 
 
 @query(MASKED)
 def masked_prediction(spark, sf):
-    """Nearest surviving neighbours only; missing vertices predict the marker."""
-    state = step_field(spark, sf).where("var = 'quantity'").select("vid", F.col("vals")[0].alias("val"))
-    out = masks.masked_open_loop(mq.distances(spark, sf), state, 4)
-    return out.select("vid", "gone", F.round("pred", 4).alias("pred"))
+    """Nearest surviving neighbours only, in every step; missing vertices predict the marker. In thousandths."""
+    state = long_field(spark, sf)
+    out = masks.masked_open_loop(mq.distances(spark, sf), state, 4, ["var", "t"])
+    return out.select("var", "t", "vid", "gone", F.floor(F.col("pred") * 1000 + 0.5).cast("double").alias("pred"))
 
 
 # --- regression ---------------------------------------------------------------
@@ -581,9 +580,10 @@ def compression_ratio(spark, sf):
 
 @query()
 def container_offsets(spark, sf):
-    """Byte range of every part's payload in one logical container."""
-    sizes = encoded(spark, sf, "joint").where("tb = 0").select("part", F.length("payload").alias("bytes"))
-    return ranking.exclusive_prefix(sizes, "part", "bytes")
+    """Byte range of the payload of every part and time window in one logical container."""
+    parts = encoded(spark, sf, "joint").select("tb", "part", F.length("payload").alias("bytes"))
+    placed = ranking.with_rank(parts, ["tb", "part"], "place")
+    return ranking.exclusive_prefix(placed, "place", "bytes").drop("place")
 
 
 @query(with_(SERIES) + "SELECT var, t, CAST(count(*) AS BIGINT) AS n, true AS bound_kept, true AS worst_found FROM series GROUP BY var, t")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.catalogue import mesh as mq
-from fieldloom.catalogue.registry import CORNERS, PART_SIZE, TETS, query, with_
+from fieldloom.catalogue.registry import CORNERS, EDGES, TETS, query, with_
 from fieldloom.functions import scalars
-from fieldloom.operators import adjacency, critical, traverse
-from fieldloom.plans import blocks
+from fieldloom.operators import adjacency, critical, neighbours
 from fieldloom.plans import critical as cp
-from fieldloom.session import materialize
+from fieldloom.plans.sweeps import MODULUS, MULTIPLIER
 from fieldloom.sources import tables
 
 VECTORS = """vectors AS (
@@ -218,56 +219,34 @@ def same_direction(spark, sf):
     )
 
 
-def embedding_mesh(spark: SparkSession, sf: str) -> DataFrame:
-    """Block mesh of the embedding tetrahedra; parts are id ranges, so no cell crosses."""
-
-    def build():
-        pos = tables.embedding_positions(spark, sf)
-        cells = tables.embedding_tets(spark, sf)
-        parts = pos.select("vid", F.floor(F.col("vid") / PART_SIZE).cast("bigint").alias("part"))
-        return blocks.lay_out_mesh(
-            pos, adjacency.from_cells(cells, 4), PART_SIZE, traverse.Order.PRIORITY_DEPTH, parts
-        )
-
-    return tables.once(spark, sf, "embedding-mesh", build)
-
-
-def order_mesh3(spark: SparkSession, sf: str) -> DataFrame:
-    """Block mesh of the order tetrahedra in space; most cells cross parts."""
-    return tables.once(
-        spark, sf, "mesh3",
-        lambda: blocks.lay_out_mesh(
-            tables.positions3(spark, sf), mq.edges(spark, sf), PART_SIZE, traverse.Order.PRIORITY_DEPTH
-        ),
-    )
-
-
 REL = 0.05
+CODE_K = 4
+ROUNDS = 6
+"""Colours that the equivalent unrolls; the tables it is run on need fewer."""
 
 
-def _preserved(cells, field, mesh) -> DataFrame:
-    blob = materialize(cp.compress(cells, field, mesh, REL), "cp-blob")
-    return materialize(cp.decompress(blob, mesh), "cp-decoded")
+def embedding_distances(spark: SparkSession, sf: str) -> DataFrame:
+    cells, pos = tables.embedding_tets(spark, sf), tables.embedding_positions(spark, sf)
+    return tables.once(spark, sf, "embedding-distances", lambda: neighbours.with_distance(adjacency.from_cells(cells, 4), pos))
 
 
-def embedding_decoded(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.once(
-        spark, sf, "embedding-decoded",
-        lambda: _preserved(
-            tables.embedding_tets(spark, sf), tables.embedding_vectors(spark, sf), embedding_mesh(spark, sf)
-        ),
-    )
+def order_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths of the order mesh's edges in space."""
+    pos = tables.positions3(spark, sf)
+    return tables.once(spark, sf, "distances3", lambda: neighbours.with_distance(mq.edges(spark, sf), pos))
 
 
-@query("SELECT vec_id AS vid, true AS ok FROM embeddings")
-def roundtrip_critical(spark, sf):
-    """Critical-point preserving round trip: relative error of every component."""
-    dec = embedding_decoded(spark, sf).select("vid", *[F.col(c).alias(f"d{c}") for c in "uvw"])
-    ok = F.lit(True)
-    for c in "uvw":
-        x, d = F.col(c).cast("double"), F.col(f"d{c}").cast("double")
-        ok = ok & (F.abs(d - x) <= REL * F.abs(x))
-    return tables.embedding_vectors(spark, sf).join(dec, "vid").select("vid", ok.alias("ok"))
+def _coded(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, positions, field, blob, decoded) of the embedding or the order mesh."""
+    if name == "embedding":
+        cells, pos, field = (f(spark, sf) for f in (tables.embedding_tets, tables.embedding_positions, tables.embedding_vectors))
+        dist = embedding_distances(spark, sf)
+    else:
+        cells, pos, field = tables.tets(spark, sf), tables.positions3(spark, sf), vectors(spark, sf)
+        dist = order_distances(spark, sf)
+    blob = tables.once(spark, sf, f"{name}-cp-blob", lambda: cp.compress(cells, field, dist, REL, CODE_K))
+    decoded = tables.once(spark, sf, f"{name}-cp-decoded", lambda: cp.decompress(blob, dist, CODE_K))
+    return cells, pos, field, blob, decoded
 
 
 ETETS = """tets AS (SELECT vec_id // 4 AS cid, list(vec_id ORDER BY vec_id) AS verts FROM embeddings
@@ -276,23 +255,127 @@ EVECTORS = """vectors AS (SELECT vec_id AS vid, CAST(embedding[1] AS DOUBLE) AS
   CAST(embedding[3] AS DOUBLE) AS w FROM embeddings)"""
 EPLACES = """places AS (SELECT vec_id AS vid, CAST(embedding[4] AS DOUBLE) AS x, CAST(embedding[5] AS DOUBLE) AS y,
   CAST(embedding[6] AS DOUBLE) AS z FROM embeddings)"""
-TRUTH = """ SELECT CAST(count(*) AS BIGINT) AS truth, CAST(count(*) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
-  CAST(0 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS ft FROM found"""
+EEDGES = """edges AS (
+  SELECT DISTINCT a.vid AS src, b.vid AS dst FROM corners a JOIN corners b ON a.cid = b.cid AND a.vid <> b.vid)"""
+DIST3 = """dists AS (
+  SELECT e.src, e.dst, sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y) + (s.z - d.z) * (s.z - d.z)) AS dist
+  FROM edges e JOIN places s ON s.vid = e.src JOIN places d ON d.vid = e.dst)"""
+
+
+def _renamed(sql: str, suffix: str) -> str:
+    return re.sub(r"\b(g|turned|terms|ms|tot|margins)\b(?=\)| AS \(|,| GROUP|$| UNION)", rf"\1{suffix}", sql)
+
+
+def _coding_sql() -> str:
+    """Colours and then, colour by colour, allowances, predictions and coded vectors."""
+    log = lambda c: f"CAST(CASE WHEN {c} <> 0 THEN log2(abs({c})) ELSE -100 END AS FLOAT)"
+    out = [
+        _renamed(gather_sql(), "_0"), _renamed(_margin_sql(), "_0"),
+        f"""free AS MATERIALIZED (
+  SELECT v.vid, ((v.vid % 2147483648) * {MULTIPLIER} % {MODULUS}) AS turn
+  FROM vectors v LEFT JOIN (SELECT vid, min(margin) AS margin FROM margins_0 GROUP BY vid) m ON m.vid = v.vid
+  WHERE coalesce(margin, {REL}) >= {cp.SMALLEST}),
+left0 AS (SELECT vid, turn FROM free)""",
+    ]
+    for c in range(ROUNDS):
+        out.append(f"""left{c + 1} AS MATERIALIZED (SELECT DISTINCT vid, turn FROM (
+  SELECT l.vid, l.turn, row_number() OVER (PARTITION BY cid ORDER BY turn, l.vid) AS n FROM corners JOIN left{c} l ON l.vid = corners.vid) WHERE n > 1)""")
+    painted = " UNION ALL ".join(f"(SELECT vid, {c} AS c FROM left{c} EXCEPT SELECT vid, {c} FROM left{c + 1})" for c in range(ROUNDS))
+    out.append(f"""painted AS MATERIALIZED ({painted}),
+paint AS MATERIALIZED (SELECT v.vid, coalesce(p.c, -1) AS c FROM vectors v LEFT JOIN painted p ON p.vid = v.vid),
+near AS MATERIALIZED (
+  SELECT src, c, dst, rn, CASE WHEN dist > 0 THEN 1.0::DOUBLE / dist ELSE 1e300::DOUBLE END AS w
+  FROM (SELECT d.src, a.c, d.dst, d.dist, row_number() OVER (PARTITION BY d.src ORDER BY d.dist, d.dst) AS rn
+        FROM dists d JOIN paint a ON a.vid = d.src AND a.c >= 0 JOIN paint b ON b.vid = d.dst WHERE b.c < a.c) WHERE rn <= {CODE_K}),
+cur0 AS (SELECT vid, u, v, w FROM vectors)""")
+    for c in range(ROUNDS):
+        held = f"(SELECT * FROM corners WHERE cid IN (SELECT cid FROM corners JOIN painted USING (vid) WHERE c = {c})) c"
+        at = f"_{c + 1}"
+        pick = lambda what: " + ".join(f"coalesce(max(CASE WHEN rn = {j} THEN {what} END), 0.0::DOUBLE)" for j in range(1, CODE_K + 1))
+        sums = ", ".join(f"{pick(f'n.w * CAST({log(f'k.{p}')} AS DOUBLE)')} AS n{p}" for p in "uvw")
+        means = ", ".join(f"CASE WHEN d.den > 0 THEN d.n{p} / d.den ELSE 0.0::DOUBLE END AS p{p}" for p in "uvw")
+        half = lambda p: f"CASE WHEN l{p} > p{p} THEN floor((abs(l{p} - p{p}) / eb + 1) / 2) ELSE -floor((abs(l{p} - p{p}) / eb + 1) / 2) END"
+        fits = " AND ".join(
+            f"abs(l{p} - p{p}) / eb + 1 < {scalars.CAPACITY} AND abs(CAST(d{p} AS DOUBLE) - l{p}) < eb"
+            f" AND abs(CAST(CAST(sign({p}) * pow(2, CAST(d{p} AS DOUBLE)) AS FLOAT) AS DOUBLE) - {p}) <= rel * abs({p})" for p in "uvw"
+        )
+        out.append(_renamed(gather_sql(), at).replace("corners c JOIN vectors f", f"{held} JOIN cur{c} f"))
+        out.append(_renamed(_margin_sql(), at))
+        out.append(f"""pred{c} AS (SELECT n.src AS vid, {pick("n.w")} AS den, {sums} FROM near n JOIN cur{c} k ON k.vid = n.dst WHERE n.c = {c} GROUP BY n.src),
+rel{c} AS (
+  SELECT v.*, {means}, least(coalesce(m.margin, {REL}), {REL}::DOUBLE) AS rel
+  FROM painted q JOIN vectors v ON v.vid = q.vid AND q.c = {c} LEFT JOIN pred{c} d ON d.vid = q.vid
+       LEFT JOIN (SELECT vid, min(margin) AS margin FROM margins{at} GROUP BY vid) m ON m.vid = q.vid),
+lev{c} AS (
+  SELECT *, CASE WHEN rel < {cp.SMALLEST} OR log2(1 + rel) <= pow(2, -23) THEN 0 ELSE CAST(floor(log2(log2(1 + rel) / pow(2, -23))) AS INTEGER) END AS level,
+         {", ".join(f"CAST({log(p)} AS DOUBLE) AS l{p}" for p in "uvw")} FROM rel{c}),
+eb{c} AS (SELECT *, pow(2, level) * pow(2, -23) AS eb FROM lev{c}),
+half{c} AS (SELECT *, {", ".join(f"{half(p)} AS h{p}" for p in "uvw")} FROM eb{c}),
+dec{c} AS (SELECT *, {", ".join(f"CAST(p{p} + 2.0::DOUBLE * h{p} * eb AS FLOAT) AS d{p}" for p in "uvw")} FROM half{c}),
+code{c} AS MATERIALIZED (
+  SELECT vid, level > 0 AND {fits} AS good, level, {scalars.RADIUS} * 3 + hu + hv + hw AS q,
+         {", ".join(f"CAST(CAST(sign({p}) * pow(2, CAST(d{p} AS DOUBLE)) AS FLOAT) AS DOUBLE) AS {p}" for p in "uvw")} FROM dec{c}),
+cur{c + 1} AS MATERIALIZED (
+  SELECT k.vid, {", ".join(f"CASE WHEN d.good THEN d.{p} ELSE k.{p} END AS {p}" for p in "uvw")} FROM cur{c} k LEFT JOIN code{c} d ON d.vid = k.vid)""")
+    every = " UNION ALL ".join(f"SELECT * FROM code{c}" for c in range(ROUNDS))
+    out.append(f"code AS ({every})")
+    return ",\n".join(out)
+
+
+PER_VERTEX = f""" SELECT v.vid, p.c AS colour, CAST(CASE WHEN d.good THEN d.level ELSE 0 END AS INTEGER) AS level,
+  CAST(CASE WHEN d.good THEN d.q END AS BIGINT) AS q, CAST(floor(k.u * 1000 + 0.5) AS BIGINT) AS u, CAST(floor(k.v * 1000 + 0.5) AS BIGINT) AS v, CAST(floor(k.w * 1000 + 0.5) AS BIGINT) AS w, true AS ok
+FROM vectors v JOIN paint p ON p.vid = v.vid LEFT JOIN code d ON d.vid = v.vid JOIN cur{ROUNDS} k ON k.vid = v.vid"""
+TRUTH = f""", held AS (SELECT CAST(count(*) AS BIGINT) AS truth FROM found)
+SELECT truth, truth AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(0 AS BIGINT) AS ft,
+  (SELECT count(*) FROM free) AS free, (SELECT count(*) FROM code WHERE good) AS coded,
+  (SELECT count(*) FROM cur0 a JOIN cur{ROUNDS} b ON a.vid = b.vid WHERE a.u <> b.u OR a.v <> b.v OR a.w <> b.w) AS changed,
+  (SELECT CAST(coalesce(sum(level), 0) AS BIGINT) FROM code WHERE good) AS level_sum, (SELECT CAST(coalesce(sum(q), 0) AS BIGINT) FROM code WHERE good) AS q_sum
+FROM held"""
+EMBEDDED = with_(ETETS, CORNERS, EVECTORS, EPLACES, EEDGES, DIST3, gather_sql(), FOUND, _coding_sql())
+ORDERED = with_(EDGES, VECTORS, PLACES, DIST3, gather_sql(), FOUND, _coding_sql())
+
+
+def _per_vertex(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    _, _, field, blob, decoded = _coded(spark, sf, name)
+    dec = decoded.select("vid", *[F.col(c).alias(f"d{c}") for c in "uvw"])
+    ok = F.lit(True)
+    for c in "uvw":
+        x, d = F.col(c).cast("double"), F.col(f"d{c}").cast("double")
+        ok = ok & (F.abs(d - x) <= REL * F.abs(x))
+    q = F.aggregate(F.transform("q", lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return field.join(dec, "vid").join(blob, "vid").select(
+        "vid", "colour", "level", q.alias("q"), *[F.floor(F.col(f"d{c}").cast("double") * 1000 + 0.5).alias(c) for c in "uvw"], ok.alias("ok")
+    )
+
 
+def _preserved(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    cells, pos, field, blob, decoded = _coded(spark, sf, name)
+    counts = critical.counts(critical.compare(critical.extract(cells, field, pos), critical.extract(cells, decoded, pos)))
+    dec = decoded.select("vid", *[F.col(c).alias(f"d{c}") for c in "uvw"])
+    moved = field.join(dec, "vid").agg(F.count_if(~(F.col("u").eqNullSafe(F.col("du")) & F.col("v").eqNullSafe(F.col("dv")) & F.col("w").eqNullSafe(F.col("dw")))).alias("changed"))
+    q = F.aggregate(F.transform("q", lambda x: x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    coded = blob.agg(
+        F.count_if(F.col("colour") >= 0).alias("free"), F.count_if(F.col("level") > 0).alias("coded"),
+        F.sum(F.col("level").cast("bigint")).alias("level_sum"), F.coalesce(F.sum(q), F.lit(0)).alias("q_sum"),
+    )
+    # three tables of one row each
+    keyed = [t.withColumn("_one", F.lit(1)) for t in (counts, moved, coded)]
+    return keyed[0].join(keyed[1], "_one").join(keyed[2], "_one").select("truth", "tp", "fp", "fn", "ft", "free", "coded", "changed", "level_sum", "q_sum")
 
-@query(with_(ETETS, CORNERS, EVECTORS, EPLACES, gather_sql(), FOUND) + TRUTH)
+
+@query(EMBEDDED + PER_VERTEX)
+def roundtrip_critical(spark, sf):
+    """Critical-point preserving round trip: colour, bound level, index sum and decoded vector (in thousandths) of every vertex."""
+    return _per_vertex(spark, sf, "embedding")
+
+
+@query(EMBEDDED + TRUTH)
 def preserved_critical_points(spark, sf):
     """Critical points before and after the preserving round trip: none lost, new or changed."""
-    cells, pos = tables.embedding_tets(spark, sf), tables.embedding_positions(spark, sf)
-    before = critical.extract(cells, tables.embedding_vectors(spark, sf), pos)
-    after = critical.extract(cells, embedding_decoded(spark, sf), pos)
-    return critical.counts(critical.compare(before, after))
+    return _preserved(spark, sf, "embedding")
 
 
-@query(with_(TETS, CORNERS, VECTORS, PLACES, gather_sql(), FOUND) + TRUTH)
+@query(ORDERED + TRUTH)
 def preserved_critical_points_across_parts(spark, sf):
-    """The same on a mesh whose cells cross parts: border vertices are kept verbatim."""
-    cells, pos, field = tables.tets(spark, sf), tables.positions3(spark, sf), vectors(spark, sf)
-    decoded = _preserved(cells, field, order_mesh3(spark, sf))
-    before, after = critical.extract(cells, field, pos), critical.extract(cells, decoded, pos)
-    return critical.counts(critical.compare(before, after))
+    """The same on the connected order mesh, coded over the whole mesh."""
+    return _preserved(spark, sf, "order")

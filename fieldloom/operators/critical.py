@@ -23,7 +23,7 @@ def gather_corners(cells: DataFrame, vectors: DataFrame, positions: DataFrame |
     )
 
 
-def _settle(rows: DataFrame) -> DataFrame:
+def settle(rows: DataFrame) -> DataFrame:
     """Evaluate the columns so far exactly once.
 
     Long formulas reuse intermediate columns many times. A one-element explode is
@@ -37,14 +37,14 @@ def _with_weights(rows: DataFrame) -> tuple[DataFrame, list, list, object, list,
     """Add corner weights to rows with columns u0..w3; returns the handles too."""
     p = [tuple(F.col(f"{n}{i}") for n in "uvw") for i in range(4)]
     terms, last = tetra.face_terms(p)
-    rows = _settle(rows).withColumns(
+    rows = settle(rows).withColumns(
         {f"e{i}{c}": terms[i][c] for i in range(3) for c in range(3)} | {"m3": last}
     )
     terms = [tuple(F.col(f"e{i}{c}") for c in range(3)) for i in range(3)]
     m, _ = tetra.totals(terms, F.col("m3"))
     rows = rows.withColumns({f"m{i}": m[i] for i in range(3)})
     m = [F.col(f"m{i}") for i in range(4)]
-    rows = _settle(rows.withColumn("m", m[0] + m[1] + m[2] + m[3]))
+    rows = settle(rows.withColumn("m", m[0] + m[1] + m[2] + m[3]))
     return rows, p, terms, F.col("m3"), m, F.col("m")
 
 
@@ -61,18 +61,18 @@ def with_kind(rows: DataFrame) -> DataFrame:
     a change of basis. Its characteristic polynomial is solved in closed form.
     """
     edges = {f"d{n}{i}": F.col(f"{n}{i}") - F.col(f"{n}3") for n in "uvwxyz" for i in range(3)}
-    rows = _settle(rows.withColumns(edges))
+    rows = settle(rows.withColumns(edges))
     ex = [tuple(F.col(f"d{n}{i}") for n in "xyz") for i in range(3)]
     ep = [tuple(F.col(f"d{n}{i}") for n in "uvw") for i in range(3)]
     pairs = ((1, 2), (2, 0), (0, 1))
     normals = [tetra.cross(ex[a], ex[b]) for a, b in pairs]
     rows = rows.withColumns({f"cx{i}{axis}": normals[i][axis] for i in range(3) for axis in range(3)})
     cx = [tuple(F.col(f"cx{i}{axis}") for axis in range(3)) for i in range(3)]
-    rows = _settle(rows.withColumn("det_x", tetra.dot(ex[0], cx[0])))
+    rows = settle(rows.withColumn("det_x", tetra.dot(ex[0], cx[0])))
     jacobian = {
         f"j{i}{k}": F.try_divide(tetra.dot(cx[i], ep[k]), F.col("det_x")) for i in range(3) for k in range(3)
     }
-    rows = _settle(rows.withColumns(jacobian))
+    rows = settle(rows.withColumns(jacobian))
     j = [[F.col(f"j{i}{k}") for k in range(3)] for i in range(3)]
     det = (
         j[0][0] * (j[1][1] * j[2][2] - j[1][2] * j[2][1])
@@ -87,7 +87,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
             "pd": -det,
         }
     )
-    rows = _settle(rows)
+    rows = settle(rows)
     b, c, d = F.col("pb"), F.col("pc"), F.col("pd")
     rows = rows.withColumns(
         {"cq": (3.0 * c - b * b) / 9.0, "cr": (-27.0 * d + b * (9.0 * c - 2.0 * b * b)) / 54.0}
@@ -104,7 +104,7 @@ def with_kind(rows: DataFrame) -> DataFrame:
             "angle": F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))),
         }
     )
-    rows = _settle(rows)
+    rows = settle(rows)
     s, angle = F.col("s"), F.col("angle")
     two_complex = (shift + s < 0).cast("int") + 2 * (shift - s / 2.0 < 0).cast("int")
     three_real = sum(

@@ -48,19 +48,26 @@ def unpack_bits(packed: DataFrame, keys: list[str], n: int) -> DataFrame:
     ).where(F.col("vid") < n)
 
 
-def surviving(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """Edges whose both ends are valid in (vid, val)."""
-    alive = state.where(~_gone(F.col("val"))).select("vid")
-    return edges.join(alive.withColumnRenamed("vid", "src"), "src", "left_semi").join(
-        alive.withColumnRenamed("vid", "dst"), "dst", "left_semi"
+def surviving(edges: DataFrame, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Edges whose both ends are valid in (vid, val), once for every value of ``keys``."""
+    keys = keys or []
+    alive = state.where(~_gone(F.col("val"))).select("vid", *keys)
+    return edges.join(alive.withColumnRenamed("vid", "src"), "src").join(
+        alive.withColumnRenamed("vid", "dst"), ["dst", *keys], "left_semi"
     )
 
 
-def masked_open_loop(distances: DataFrame, state: DataFrame, k: int) -> DataFrame:
-    """(vid, gone, pred): nearest k surviving causal neighbours, renormalized."""
-    near = neighbours.nearest(surviving(distances.where("dst < src"), state), k)
-    pred = neighbours.open_loop(neighbours.inverse_distance_weights(near), state, state)
+def masked_open_loop(distances: DataFrame, state: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, vid, gone, pred): nearest k surviving causal neighbours, renormalized.
+
+    ``state`` is (keys, vid, val) with a vertex once per value of ``keys``; each has its own neighbours.
+    """
+    keys = keys or []
+    near = neighbours.nearest(surviving(distances.where("dst < src"), state, keys), k, ["src", *keys])
+    weighted = neighbours.inverse_distance_weights(near, ["src", *keys])
+    values = state.select(*keys, F.col("vid").alias("dst"), F.col("val").cast("double").alias("nv"))
+    pred = weighted.join(values, ["dst", *keys]).groupBy(*keys, F.col("src").alias("vid")).agg(F.sum(F.col("w") * F.col("nv")).alias("pred"))
     gone = _gone(F.col("val"))
-    return state.join(pred, "vid").select(
-        "vid", gone.alias("gone"), F.when(gone, F.lit(SENTINEL)).otherwise(F.col("pred")).alias("pred")
+    return state.join(pred, [*keys, "vid"], "left").select(
+        *keys, "vid", gone.alias("gone"), F.when(gone, F.lit(SENTINEL)).otherwise(F.coalesce("pred", F.lit(0.0))).alias("pred")
     )

@@ -24,13 +24,13 @@ def with_distance(edges: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def nearest(edges: DataFrame, k: int, key: str = "src") -> DataFrame:
+def nearest(edges: DataFrame, k: int, key: str | list[str] = "src") -> DataFrame:
     """The k nearest neighbours of every vertex; ties go to the smaller id."""
     w = Window.partitionBy(key).orderBy("dist", "dst")
     return edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def inverse_distance_weights(near: DataFrame, key: str = "src") -> DataFrame:
+def inverse_distance_weights(near: DataFrame, key: str | list[str] = "src") -> DataFrame:
     """Normalized weights of a (bounded, k per vertex) neighbour list.
 
     Coincident neighbours share the whole weight equally, the others get none.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom import SENTINEL
-from fieldloom.operators import adjacency, critical, masks, regions, regression, stats, traverse
+from fieldloom.operators import adjacency, critical, masks, neighbours, regions, regression, stats, traverse
 from fieldloom.plans import blocks
 from fieldloom.plans import critical as cp
 from fieldloom.plans.workflow import MeshWorkflow
@@ -95,32 +95,55 @@ def random_tets(n, m, seed):
     return [(i, sorted(rng.sample(range(n), 4))) for i in range(m)]
 
 
-@pytest.mark.parametrize("part_size", [1000, 16])
-def test_critical_points_survive(spark, part_size):
+@pytest.mark.parametrize("dense", [70, 25])
+def test_critical_points_survive(spark, dense):
     n = 60
     rng = np.random.default_rng(7)
     uvw = rng.normal(size=(n, 3)).astype(np.float32)
     uvw[3, 1] = 0.0  # an exact zero in a component
     vectors = spark.createDataFrame([(i, *map(float, uvw[i])) for i in range(n)], "vid bigint, u float, v float, w float")
     pos = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(n)], "vid bigint, pos array<double>")
-    cells = spark.createDataFrame(random_tets(n, 70, 1), "cid bigint, verts array<bigint>")
-    mesh = blocks.lay_out_mesh(pos, adjacency.from_cells(cells, 4), part_size, traverse.Order.DEPTH)
-    blob = materialize(cp.compress(cells, vectors, mesh, 0.1), "cp")
-    dec = materialize(cp.decompress(blob, mesh), "dec")
+    tets = random_tets(n, dense, 1)
+    cells = spark.createDataFrame(tets, "cid bigint, verts array<bigint>")
+    dist = neighbours.with_distance(adjacency.from_cells(cells, 4), pos)
+    blob = materialize(cp.compress(cells, vectors, dist, 0.1), "cp")
+    rows = {r.vid: r for r in blob.collect()}
+    assert len(rows) == n
+    for _, vs in tets:  # cell-exclusive, and every colour follows an earlier one
+        free = [rows[v].colour for v in vs if rows[v].colour >= 0]
+        assert len(free) == len(set(free))
+    assert {r.colour for r in rows.values()} == set(range(-1, max(r.colour for r in rows.values()) + 1))
+    alone = set(range(n)) - {v for _, vs in tets for v in vs}
+    assert all(rows[v].colour == 0 for v in alone)
+    dec = materialize(cp.decompress(blob, dist), "dec")
     got = {r.vid: (r.u, r.v, r.w) for r in dec.collect()}
     assert len(got) == n
     changed = 0
     for i in range(n):
         for a, b in zip(uvw[i], got[i]):
             assert abs(float(a) - b) <= 0.1 * abs(float(a))
+            assert a != 0 or b == 0
             changed += float(a) != b
-    assert part_size < n or changed > 0
+        assert rows[i].level > 0 or got[i] == tuple(map(float, uvw[i]))
+    assert changed > 0
     c = critical.counts(
         critical.compare(critical.extract(cells, vectors, pos), critical.extract(cells, dec, pos))
     ).head()
     assert c.tp == c.truth > 0 and c.fp == c.fn == c.ft == 0
 
 
+def test_a_field_without_free_vertices_and_one_without_cells(spark):
+    vectors = spark.createDataFrame([(i, *x) for i, x in enumerate([(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (-1.0, -1.0, -1.0)])], "vid bigint, u float, v float, w float")
+    pos = spark.createDataFrame([(i, [float(i), i * i * 1.0, i % 2 * 1.0]) for i in range(4)], "vid bigint, pos array<double>")
+    for tets, frozen in (([(0, [0, 1, 2, 3])], 4), ([], 0)):
+        cells = spark.createDataFrame(tets, "cid bigint, verts array<bigint>")
+        dist = neighbours.with_distance(adjacency.from_cells(cells, 4), pos)
+        blob = materialize(cp.compress(cells, vectors, dist, 0.1), "cp")
+        assert blob.where("colour = -1").count() == frozen
+        got = {tuple(r) for r in cp.decompress(blob, dist).collect()}
+        assert len(got) == 4 and (frozen == 0 or got == {tuple(r) for r in vectors.collect()})
+
+
 def test_zero_place_and_kind_against_numpy(spark):
     rng = np.random.default_rng(11)
     n = 400
