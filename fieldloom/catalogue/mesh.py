@@ -281,6 +281,57 @@ def part_slots(spark, sf):
     return partition.part_slots(parts(spark, sf))
 
 
+REFINE_ROUNDS = 6
+
+
+def refined_cte(rounds: int = REFINE_ROUNDS, slack: float = 0.05) -> str:
+    """Label propagation within capacities, round by round: part0 is the curve's, the last one ``refined``."""
+    out = [f"""bounds AS (SELECT CAST(ceil(avg(n) * {1 + slack}) AS BIGINT) AS most, CAST(floor(avg(n) * {1 - slack}) AS BIGINT) AS least
+  FROM (SELECT count(*) AS n FROM parts GROUP BY part)),
+part0 AS MATERIALIZED (SELECT vid, part FROM parts)"""]
+    for r in range(rounds):
+        turn = f"((vid % 2147483648) * {partition.MULTIPLIER} % {partition.MODULUS}) // {partition.MODULUS // 2}"
+        out.append(f"""size{r} AS (SELECT part, count(*) AS n FROM part{r} GROUP BY part),
+votes{r} AS (
+  SELECT e.src AS vid, a.part AS own, b.part, count(*) AS n
+  FROM edges e JOIN (SELECT * FROM part{r} WHERE {turn} = {r % 2}) a ON a.vid = e.src JOIN part{r} b ON b.vid = e.dst GROUP BY ALL),
+asks{r} AS (
+  SELECT vid, own, part, n - coalesce((SELECT max(m.n) FROM votes{r} m WHERE m.vid = v.vid AND m.part = m.own), 0) AS gain
+  FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY n DESC, part) AS k FROM votes{r} WHERE part <> own) v WHERE k = 1),
+ranked{r} AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY gain DESC, vid) AS arrives,
+         row_number() OVER (PARTITION BY own ORDER BY gain DESC, vid) AS leaves FROM asks{r} WHERE gain > 0),
+moves{r} AS (
+  SELECT k.vid, k.part FROM ranked{r} k JOIN size{r} t ON t.part = k.part JOIN size{r} f ON f.part = k.own, bounds
+  WHERE arrives <= most - t.n AND leaves <= f.n - least),
+part{r + 1} AS MATERIALIZED (SELECT p.vid, coalesce(m.part, p.part) AS part FROM part{r} p LEFT JOIN moves{r} m ON m.vid = p.vid)""")
+    return ",\n".join([*out, f"refined AS (SELECT vid, part FROM part{rounds})"])
+
+
+def refined_parts_table(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.once(spark, sf, "refined-parts", lambda: partition.refine(parts(spark, sf), edges(spark, sf), REFINE_ROUNDS))
+
+
+@query(with_(EDGES, POS, parts_cte(), refined_cte()) + "SELECT vid, part FROM refined")
+def refined_parts(spark, sf):
+    """Parts of the curve, moved along the edges within 5 % of the mean size."""
+    return refined_parts_table(spark, sf)
+
+
+@query(with_(EDGES, POS, parts_cte(), refined_cte()) + """, cuts AS (
+  SELECT least(a.part, b.part) AS part_a, greatest(a.part, b.part) AS part_b, 'curve' AS how FROM edges e JOIN parts a ON a.vid = e.src JOIN parts b ON b.vid = e.dst WHERE e.src < e.dst
+  UNION ALL
+  SELECT least(a.part, b.part), greatest(a.part, b.part), 'refined' FROM edges e JOIN refined a ON a.vid = e.src JOIN refined b ON b.vid = e.dst WHERE e.src < e.dst)
+SELECT part_a, part_b, CAST(count(*) FILTER (how = 'curve') AS BIGINT) AS curve, CAST(count(*) FILTER (how = 'refined') AS BIGINT) AS refined
+FROM cuts GROUP BY part_a, part_b""")
+def part_cut(spark, sf):
+    """Edges inside and between parts, for the curve's parts and the refined ones."""
+    curve = partition.cut_edges(parts(spark, sf), edges(spark, sf)).withColumnRenamed("edges", "curve")
+    better = partition.cut_edges(refined_parts_table(spark, sf), edges(spark, sf)).withColumnRenamed("edges", "refined")
+    both = curve.join(better, ["part_a", "part_b"], "full")
+    return both.select("part_a", "part_b", F.coalesce("curve", F.lit(0)).alias("curve"), F.coalesce("refined", F.lit(0)).alias("refined"))
+
+
 @query(with_(POS, parts_cte()) + "SELECT part, CAST(count(*) AS BIGINT) AS n FROM parts GROUP BY part")
 def part_counts(spark, sf):
     return partition.part_counts(parts(spark, sf))

@@ -225,3 +225,23 @@ def test_whole_mesh_breadth_first_order(spark, seed):
     got = components.breadth_first_order(spark.range(n).withColumnRenamed("id", "vid"), edge_frame(spark, edges))
     order = [r.vid for r in got.orderBy("rank").collect()]
     assert order == slow_order(n, adj, traverse.Order.BREADTH)
+
+
+def test_refined_parts_find_clusters_and_keep_their_sizes(spark):
+    """Four rings with few links between them, dealt to four parts at random."""
+    rng = random.Random(4)
+    n, each = 160, 40
+    pairs = {(i, i // each * each + (i + d) % each) for i in range(n) for d in (1, 2, 3, 4)}
+    pairs |= {tuple(rng.sample(range(n), 2)) for _ in range(20)}
+    edges = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "src bigint, dst bigint").distinct()
+    deal = [i % 4 if rng.random() < 0.5 else i // each for i in range(n)]
+    parts = spark.createDataFrame(list(enumerate(deal)), "vid bigint, part bigint")
+    better = partition.refine(parts, edges, 8, 0.1)
+    inside = lambda p: sum(r.edges for r in partition.cut_edges(p, edges).collect() if r.part_a == r.part_b)
+    counts = {r.part: r.n for r in partition.part_counts(better).collect()}
+    start = {p: deal.count(p) for p in range(4)}
+    assert sum(counts.values()) == n and better.select("vid").distinct().count() == n
+    assert all(min(36, start[p]) <= counts[p] <= max(44, start[p]) for p in range(4))
+    assert inside(better) > 1.25 * inside(parts)
+    none = parts.limit(0)
+    assert partition.refine(none, edges, 2).count() == 0
