@@ -39,7 +39,8 @@ SEED = 7
 
 DIGIT_BITS = 12
 BLOCK = 1 << 20
-"""Positions in a block of a sort pass."""
+"""Most positions in a block of a sort pass; smaller tables have as many blocks as tasks."""
+LEAST_BLOCK = 1 << 12
 LONG_WORD = 64
 """Bytes of a word that are hashed column by column; longer words are hashed one by one."""
 
@@ -174,12 +175,14 @@ def _span(lo: int, hi: int, value: Column, up: bool) -> tuple[Column, int]:
     return (flipped if up else F.bitwise_not(flipped)), 64
 
 
-def radix_ranks(rows: DataFrame, order: list[tuple[str, bool]], digit_bits: int = DIGIT_BITS, block: int = BLOCK) -> tuple[DataFrame, int]:
+def radix_ranks(rows: DataFrame, order: list[tuple[str, bool]], digit_bits: int = DIGIT_BITS, block: int | None = None) -> tuple[DataFrame, int]:
     """(uid, rank) from 1 in the order of integer columns, (name, ascending) with the most
     significant first and nulls last, and the number of rows; equal rows keep the order of ``uid``."""
     spans = [a for c, _ in order for a in (F.min(c), F.max(c), F.count_if(F.col(c).isNull()))]
     lo_hi = rows.agg(F.count(F.lit(1)), *spans).first()
     total = lo_hi[0]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = block or min(BLOCK, max(LEAST_BLOCK, total // tasks))
     keys, passes = [], []  # passes: (column, shift), least significant first
     for i, (c, up) in enumerate(order):
         lo, hi, nulls = lo_hi[1 + 3 * i : 4 + 3 * i]

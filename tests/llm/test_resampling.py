@@ -50,7 +50,7 @@ def test_draw_matches_plain_version(spark, monkeypatch):
     rows = [(rng.randrange(-(10**9), 10**9), " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for _ in range(200)]
     rows += [(i, "the same text again and again " * 5) for i in range(30)]
     target = ["a b a b naïve", "x" * 70 + " 日本語", None, ""]
-    monkeypatch.setattr(rs, "BLOCK", 16)
+    monkeypatch.setattr(rs, "LEAST_BLOCK", 16)
     assert run(spark, rows, target) == plain(rows, target)
     assert run(spark, rows, [], percent=100, min_words=0) == plain(rows, [], 100, 0)
 
