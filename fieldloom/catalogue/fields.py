@@ -12,10 +12,10 @@ from fieldloom.catalogue.registry import (
 )
 from fieldloom.functions import scalars
 from fieldloom.operators import (
-    adjacency, coding, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
+    adjacency, coding, components, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
 )
-from fieldloom.plans import blocks, sweeps
-from fieldloom.session import materialize
+from fieldloom.plans import blocks, levels, sweeps
+from fieldloom.session import broadcast_if_small, materialize
 from fieldloom.sources import tables
 
 BATCH = 10
@@ -439,11 +439,22 @@ base AS (SELECT s.var, s.t, s.vid, s.val, coalesce(l.eb, 0.0::DOUBLE) AS eb, p.c
          FROM series s JOIN paint p ON p.vid = s.vid LEFT JOIN limits l ON l.var = s.var AND l.t = s.t)"""
 
 
-def _coded_cte(masked: bool) -> str:
-    """CTEs dec0, dec1, ...: the samples of one colour, coded from those of all smaller ones."""
+def _quantized(predicted: str, gone: str) -> str:
+    """SELECT (var, t, vid, q, dec) of a relation (var, t, vid, val, eb, pred)."""
+    return f"""SELECT var, t, vid, CAST(CASE WHEN {gone} THEN -1 WHEN fits THEN {scalars.RADIUS} + h ELSE 0 END AS BIGINT) AS q,
+         CASE WHEN NOT {gone} AND fits THEN d ELSE val END AS dec
+  FROM (SELECT *, s < {scalars.CAPACITY} AND abs(CAST(d AS DOUBLE) - CAST(val AS DOUBLE)) < eb AS fits
+        FROM (SELECT *, CASE WHEN s < {scalars.CAPACITY} THEN CAST(pred + 2.0::DOUBLE * h * eb AS FLOAT) ELSE val END AS d
+              FROM (SELECT *, CASE WHEN diff > 0 THEN floor(s / 2) ELSE -floor(s / 2) END AS h
+                    FROM (SELECT *, CASE WHEN eb > 0 THEN abs(diff) / eb + 1 ELSE 1e300::DOUBLE END AS s
+                          FROM (SELECT *, CAST(val AS DOUBLE) - pred AS diff FROM ({predicted}))))))"""
+
+
+def _coded_cte(masked: bool, name: str = "coded", share: float = 1.0) -> str:
+    """CTEs name0, name1, ...: the samples of one colour, coded from those of all smaller ones; ``name`` has all."""
     out = []
     for c in range(sweeps.COLOURS):
-        earlier = " UNION ALL ".join(f"SELECT var, t, vid, dec FROM dec{j}" for j in range(c))
+        earlier = " UNION ALL ".join(f"SELECT var, t, vid, dec FROM {name}{j}" for j in range(c))
         use = "d.dec <> -99999 AND" if masked else ""
         slot = lambda j, what: f"coalesce(max(CASE WHEN {use} n.rn = {j} THEN {what} END), 0.0::DOUBLE)"
         num = " + ".join(slot(j, "n.w * CAST(d.dec AS DOUBLE)") for j in range(1, SWEEP_K + 1))
@@ -451,21 +462,75 @@ def _coded_cte(masked: bool) -> str:
         pred = f"""(SELECT n.src AS vid, d.var, d.t, {num} AS num, {den} AS den
           FROM near n JOIN paint p ON p.vid = n.src AND p.c = {c} JOIN ({earlier}) d ON d.vid = n.dst GROUP BY n.src, d.var, d.t)""" if c else (
             "(SELECT NULL::BIGINT AS vid, NULL::VARCHAR AS var, NULL::INTEGER AS t, 0.0::DOUBLE AS num, 0.0::DOUBLE AS den)")
-        gone = "val = -99999" if masked else "false"
-        out.append(f"""dec{c} AS MATERIALIZED (
-  SELECT var, t, vid, CAST(CASE WHEN {gone} THEN -1 WHEN fits THEN {scalars.RADIUS} + h ELSE 0 END AS BIGINT) AS q,
-         CASE WHEN NOT {gone} AND fits THEN d ELSE val END AS dec
-  FROM (SELECT *, s < {scalars.CAPACITY} AND abs(CAST(d AS DOUBLE) - CAST(val AS DOUBLE)) < eb AS fits
-        FROM (SELECT *, CASE WHEN s < {scalars.CAPACITY} THEN CAST(pred + 2.0::DOUBLE * h * eb AS FLOAT) ELSE val END AS d
-              FROM (SELECT *, CASE WHEN diff > 0 THEN floor(s / 2) ELSE -floor(s / 2) END AS h
-                    FROM (SELECT *, CASE WHEN eb > 0 THEN abs(diff) / eb + 1 ELSE 1e300::DOUBLE END AS s
-                          FROM (SELECT *, CAST(val AS DOUBLE) - pred AS diff
-                                FROM (SELECT b.*, CASE WHEN p.den > 0 THEN p.num / p.den ELSE 0.0::DOUBLE END AS pred
-                                      FROM base b LEFT JOIN {pred} p ON p.vid = b.vid AND p.var = b.var AND p.t = b.t WHERE b.c = {c})))))))""")
-    every = " UNION ALL ".join(f"SELECT * FROM dec{c}" for c in range(sweeps.COLOURS))
-    return GROUND + ",\n" + ",\n".join(out) + f", coded AS ({every})\n"
+        predicted = f"""SELECT b.var, b.t, b.vid, b.val, b.eb * {share}::DOUBLE AS eb, CASE WHEN p.den > 0 THEN p.num / p.den ELSE 0.0::DOUBLE END AS pred
+          FROM base b LEFT JOIN {pred} p ON p.vid = b.vid AND p.var = b.var AND p.t = b.t WHERE b.c = {c}"""
+        out.append(f"{name}{c} AS MATERIALIZED (\n  {_quantized(predicted, 'val = -99999' if masked else 'false')})")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{c}" for c in range(sweeps.COLOURS))
+    return ",\n" + ",\n".join(out) + f", {name} AS ({every})\n"
 
 
+# Orders of the whole mesh as seats (vid, place), and the levels of the interpolation along them.
+BY_ID = ", {name} AS (SELECT p_partkey AS vid, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part)"
+BY_BREADTH = """, reach(vid, root) USING KEY (vid) AS (
+  SELECT p_partkey, p_partkey FROM part
+  UNION
+  SELECT e.src, min(r.root) FROM reach r JOIN edges e ON e.dst = r.vid
+  JOIN recurring.reach c ON c.vid = e.src WHERE r.root < c.root GROUP BY e.src),
+bfs(vid, root, level, pos) USING KEY (vid) AS (
+  SELECT vid, root, 0, 0::BIGINT FROM reach WHERE vid = root
+  UNION
+  SELECT vid, root, level, row_number() OVER (PARTITION BY root ORDER BY parent, vid) - 1
+  FROM (SELECT e.dst AS vid, min(b.root) AS root, min(b.level) + 1 AS level, min(b.pos) AS parent
+        FROM bfs b JOIN edges e ON e.src = b.vid
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.vid = e.dst) GROUP BY e.dst)),
+{name} AS (SELECT vid, row_number() OVER (ORDER BY root, level, pos) - 1 AS place FROM bfs)"""
+SQL_LEVELS = 20
+"""Levels that the SQL spells out: up to 2^20 vertices; levels beyond the mesh are empty."""
+
+
+def _level_cte(seats: str, name: str) -> str:
+    """CTEs name20 .. name0: the samples of one level, coded from those of all coarser ones; ``name`` has all."""
+    seat = f"{name}_seat"
+    out = [f"""{name}_base AS MATERIALIZED (SELECT b.var, b.t, b.vid, b.val, b.eb, s.place FROM base b JOIN {seat} s ON s.vid = b.vid),
+{name}_size AS (SELECT count(*) AS n FROM {seat})"""]
+    done = []
+    for at in (0, *range(SQL_LEVELS, 0, -1)):
+        scale = f"b.eb * {levels.share(at)}::DOUBLE AS eb"
+        if not at:
+            predicted = f"SELECT var, t, vid, val, {scale}, 0.0::DOUBLE AS pred FROM {name}_base b WHERE place = 0"
+        else:
+            stride = 1 << (at - 1)
+            earlier = " UNION ALL ".join(f"SELECT var, t, place, dec FROM {name}{j}" for j in done)
+            take = ", ".join(f"max(CASE WHEN o = {o} THEN CAST(dec AS DOUBLE) END) AS d{r}" for r, o in enumerate(levels.OFFSETS))
+            mail = f"""(SELECT var, t, place - o * {stride} AS place, {take} FROM ({earlier}), (SELECT unnest([-3, -1, 1, 3]) AS o)
+              GROUP BY var, t, place - o * {stride})"""
+            inner = " + ".join(f"({c}::DOUBLE) * d{r}" for r, c in enumerate(levels.CUBIC))
+            predicted = f"""SELECT b.var, b.t, b.vid, b.val, {scale},
+              CASE WHEN b.place // {stride} >= 3 AND b.place // {stride} + 3 < (n - 1) // {stride} + 1 THEN {inner}
+                   WHEN b.place // {stride} = (n - 1) // {stride} THEN d1 ELSE 0.5::DOUBLE * d1 + 0.5::DOUBLE * d2 END AS pred
+              FROM {name}_base b JOIN {mail} m ON m.var = b.var AND m.t = b.t AND m.place = b.place, {name}_size
+              WHERE b.place % {2 * stride} = {stride}"""
+        out.append(f"""{name}{at} AS MATERIALIZED (SELECT c.*, s.place FROM (
+  {_quantized(predicted, 'false')}) c JOIN {seat} s ON s.vid = c.vid)""")
+        done.append(at)
+    every = " UNION ALL ".join(f"SELECT var, t, vid, q, dec FROM {name}{j}" for j in done)
+    return seats.format(name=seat) + ",\n" + ",\n".join(out) + f", {name} AS ({every})\n"
+
+
+RECURSIVE_GROUND = GROUND.replace("WITH ", "WITH RECURSIVE ", 1)
+# Bits of a step: the entropy of its indices, and a word for every sample kept as it is.
+BITS = """SELECT {keys}, CAST(sum(f) AS BIGINT) AS n, CAST(coalesce(sum(f) FILTER (q = 0), 0) AS BIGINT) AS escapes,
+  round(sum(f) * log2(sum(f)) - sum(f * log2(f)), 3) + 32.0::DOUBLE * coalesce(sum(f) FILTER (q = 0), 0) AS bits
+FROM (SELECT {keys}, q, count(*) AS f FROM {name} GROUP BY {keys}, q) GROUP BY {keys}"""
+ADAPTIVE = (
+    RECURSIVE_GROUND + _coded_cte(False, "half", 0.5) + _level_cte(BY_BREADTH, "inter")
+    + f", half_bits AS ({BITS.format(keys='var, t', name='half')}), inter_bits AS ({BITS.format(keys='var, t', name='inter')})"
+    + """, choice AS (SELECT h.var, h.t, h.bits <= i.bits AS by_neighbours, h.bits AS half_bits, i.bits AS inter_bits
+  FROM half_bits h JOIN inter_bits i ON i.var = h.var AND i.t = h.t),
+coded AS (SELECT s.* FROM half s JOIN choice c ON c.var = s.var AND c.t = s.t WHERE by_neighbours
+  UNION ALL SELECT s.* FROM inter s JOIN choice c ON c.var = s.var AND c.t = s.t WHERE NOT by_neighbours)
+"""
+)
 SWEPT = """SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS q_sum, CAST(sum(q * (vid % 97)) AS BIGINT) AS q_place,
   round(sum(CAST(dec AS DOUBLE)), 2) AS dec_sum, CAST(count(*) FILTER (q = 0) AS BIGINT) AS escapes, true AS restored
 FROM coded GROUP BY {keys}"""
@@ -480,12 +545,12 @@ def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tables.once(spark, sf, "sweep-rows", rows)
 
 
-def swept(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
+def swept(spark: SparkSession, sf: str, masked: bool, share: float = 1.0) -> DataFrame:
     """(var, t, vid, q, dec, restored): coded over the whole mesh, and decoded from the blob alone."""
 
     def build():
         edges, rows = sweep_edges(spark, sf), sweep_rows(spark, sf)
-        b = sweeps.bounds_of(rows, REL_EB)
+        b = sweeps.bounds_of(rows, REL_EB * share)
         blob = sweeps.compress(rows, edges, b, SWEEP_K, masked)
         back = sweeps.decompress(blob, edges, b, SWEEP_K, masked)
         both = blob.select("vid", "tb", "q", "decs").join(back.select("vid", "tb", F.col("decs").alias("again")), ["vid", "tb"])
@@ -494,7 +559,63 @@ def swept(spark: SparkSession, sf: str, masked: bool) -> DataFrame:
             "var", "t", "vid", "s.q", F.col("s.decs").alias("dec"), (F.col("s.decs") == F.col("s.again")).alias("restored")
         )
 
-    return tables.once(spark, sf, f"swept-{masked}", build)
+    return tables.once(spark, sf, f"swept-{masked}-{share}", build)
+
+
+def seats(spark: SparkSession, sf: str, breadth: bool) -> DataFrame:
+    """(vid, place): the whole mesh by id, or in breadth-first queue order."""
+
+    def build():
+        vertices = tables.positions(spark, sf).select("vid")
+        if not breadth:
+            return ranking.with_rank(vertices, ["vid"], "place")
+        return components.breadth_first_order(vertices, mq.edges(spark, sf)).select("vid", F.col("rank").alias("place"))
+
+    return tables.once(spark, sf, f"seats-{breadth}", build)
+
+
+def interpolated(spark: SparkSession, sf: str, breadth: bool) -> DataFrame:
+    """(var, t, vid, q, dec, restored): coded level by level along an order, and decoded from the blob alone."""
+
+    def build():
+        rows = sweep_rows(spark, sf).join(seats(spark, sf, breadth), "vid")
+        n, b = seats(spark, sf, breadth).count(), sweeps.bounds_of(sweep_rows(spark, sf), REL_EB)
+        blob = levels.compress(rows, n, b)
+        back = levels.decompress(blob, n, b)
+        both = blob.select("vid", "tb", "q", "decs").join(back.select("vid", "tb", F.col("decs").alias("again")), ["vid", "tb"])
+        zipped = both.select("vid", "tb", F.arrays_zip("q", "decs", "again").alias("s"))
+        return sweeps.samples(zipped, "s", tables.VARIABLES, tables.steps(spark, sf), BATCH).select(
+            "var", "t", "vid", "s.q", F.col("s.decs").alias("dec"), (F.col("s.decs") == F.col("s.again")).alias("restored")
+        )
+
+    return tables.once(spark, sf, f"interpolated-{breadth}", build)
+
+
+def _coded_bits(coded: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, escapes, bits): entropy of the indices, and a word for every sample kept as it is."""
+    freq = stats.symbol_histogram(coded, list(keys))
+    f = F.col("freq").cast("double")
+    escapes = F.coalesce(F.sum(F.when(F.col("q") == 0, F.col("freq"))), F.lit(0))
+    entropy = F.sum(f) * F.log2(F.sum(f)) - F.sum(f * F.log2(f))
+    return freq.groupBy(*keys).agg(F.sum("freq").alias("n"), escapes.alias("escapes"), (F.round(entropy, 3) + 32.0 * escapes).alias("bits"))
+
+
+def step_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """(var, t, by_neighbours, half_bits, inter_bits): neighbours at half the bound where they are not larger."""
+
+    def build():
+        half = _coded_bits(swept(spark, sf, False, 0.5), "var", "t").select("var", "t", F.col("bits").alias("half_bits"))
+        inter = _coded_bits(interpolated(spark, sf, True), "var", "t").select("var", "t", F.col("bits").alias("inter_bits"))
+        return half.join(inter, ["var", "t"]).withColumn("by_neighbours", F.col("half_bits") <= F.col("inter_bits"))
+
+    return tables.once(spark, sf, "step-choice", build)
+
+
+def adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    """(var, t, vid, q, dec, restored): every step by the predictor chosen for it."""
+    choice = broadcast_if_small(step_choice(spark, sf).select("var", "t", "by_neighbours"))
+    half = swept(spark, sf, False, 0.5).join(choice.where("by_neighbours"), ["var", "t"], "left_semi")
+    return half.unionByName(interpolated(spark, sf, True).join(choice.where("not by_neighbours"), ["var", "t"], "left_semi"))
 
 
 def _swept_report(coded: DataFrame, *keys: str) -> DataFrame:
@@ -508,7 +629,7 @@ def _swept_report(coded: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-@query(_coded_cte(False) + SWEPT.format(keys="var, t"))
+@query(GROUND + _coded_cte(False) + SWEPT.format(keys="var, t"))
 def roundtrip_neighbours(spark, sf):
     """Nearest-neighbour prediction in a closed loop over the whole mesh."""
     return _swept_report(swept(spark, sf, False), "var", "t")
@@ -526,16 +647,22 @@ def roundtrip_kriging(spark, sf):
     return _report(spark, sf, "kriging")
 
 
-@query(_coded_cte(True) + SWEPT.format(keys="var, t"))
+@query(GROUND + _coded_cte(True) + SWEPT.format(keys="var, t"))
 def roundtrip_masked(spark, sf):
     """The same, mask-aware: missing samples neither predict nor are predicted."""
     return _swept_report(swept(spark, sf, True), "var", "t")
 
 
-@query(REPORT)
+@query(ADAPTIVE + SWEPT.format(keys="var, t"))
 def roundtrip_adaptive_interpolation(spark, sf):
-    """Interpolation or neighbours per part and step, by trial size."""
-    return _report(spark, sf, "adaptive-interp")
+    """Interpolation, or neighbours at half the bound, per step: whichever takes fewer bits."""
+    return _swept_report(adaptive(spark, sf), "var", "t")
+
+
+@query(ADAPTIVE + "SELECT var, t, by_neighbours, half_bits, inter_bits FROM choice")
+def step_predictors(spark, sf):
+    """Predictor of every step, and the bits that each would take."""
+    return step_choice(spark, sf).select("var", "t", "by_neighbours", "half_bits", "inter_bits")
 
 
 @query(REPORT)
@@ -544,22 +671,42 @@ def roundtrip_adaptive_fit(spark, sf):
     return _report(spark, sf, "adaptive-fit")
 
 
-@query(_coded_cte(False) + SWEPT.format(keys="t"))
+@query(GROUND + _coded_cte(False) + SWEPT.format(keys="t"))
 def roundtrip_joint_snapshot(spark, sf):
     """All variables of a snapshot together, as they stand side by side in one row."""
     return _swept_report(swept(spark, sf, False), "t")
 
 
-@query(REPORT)
+@query(RECURSIVE_GROUND + _level_cte(BY_ID, "coded") + SWEPT.format(keys="var, t"))
 def roundtrip_interpolation_original_order(spark, sf):
-    """1-D interpolation along the original vertex order of a part."""
-    return _report(spark, sf, "interpolated-original")
+    """1-D interpolation along the original vertex order of the whole mesh."""
+    return _swept_report(interpolated(spark, sf, False), "var", "t")
 
 
-@query(REPORT)
+@query(RECURSIVE_GROUND + _level_cte(BY_BREADTH, "coded") + SWEPT.format(keys="var, t"))
 def roundtrip_interpolation_reordered(spark, sf):
-    """1-D interpolation along the depth-first order of a part."""
-    return _report(spark, sf, "interpolated-reordered")
+    """1-D interpolation along the breadth-first queue order of the whole mesh."""
+    return _swept_report(interpolated(spark, sf, True), "var", "t")
+
+
+SIZES = {"neighbours": "near_all", "masked": "kept", "interpolated-original": "original", "interpolated-reordered": "inter", "adaptive-interp": "coded"}
+
+
+@query(ADAPTIVE + _coded_cte(False, "near_all") + _coded_cte(True, "kept") + _level_cte(BY_ID, "original") + ", every AS ("
+       + " UNION ALL ".join(f"SELECT '{job}' AS job, var, q FROM {name}" for job, name in SIZES.items())
+       + f"), sized AS ({BITS.format(keys='job, var', name='every')})"
+       + " SELECT job, var, n, escapes, bits, round(32.0::DOUBLE * n / bits, 4) AS ratio FROM sized")
+def coded_sizes(spark, sf):
+    """Samples, escapes, bits and compression ratio of the whole-mesh methods, per variable."""
+    made = {
+        "neighbours": swept(spark, sf, False), "masked": swept(spark, sf, True), "interpolated-original": interpolated(spark, sf, False),
+        "interpolated-reordered": interpolated(spark, sf, True), "adaptive-interp": adaptive(spark, sf),
+    }
+    every = None
+    for job, coded in made.items():
+        one = _coded_bits(coded, "var").withColumn("job", F.lit(job))
+        every = one if every is None else every.unionByName(one)
+    return every.select("job", "var", "n", "escapes", "bits", F.round(32.0 * F.col("n") / F.col("bits"), 4).alias("ratio"))
 
 
 METHODS = (
@@ -586,17 +733,19 @@ def container_offsets(spark, sf):
     return ranking.exclusive_prefix(placed, "place", "bytes").drop("place")
 
 
-@query(with_(SERIES) + "SELECT var, t, CAST(count(*) AS BIGINT) AS n, true AS bound_kept, true AS worst_found FROM series GROUP BY var, t")
+@query(GROUND + _coded_cte(True) + """, errors AS (
+  SELECT c.var, c.t, c.vid, b.val, b.eb, abs(CAST(c.dec AS DOUBLE) - CAST(b.val AS DOUBLE)) AS err
+  FROM coded c JOIN base b ON b.var = c.var AND b.t = c.t AND b.vid = c.vid)
+SELECT var, t, CAST(count(*) AS BIGINT) AS n, round(max(err), 6) AS max_err, first(vid ORDER BY err DESC, vid) AS worst_vid,
+  round(avg(err * err) FILTER (val <> -99999), 4) AS mse_valid, max(err) <= max(eb) AS bound_kept
+FROM errors GROUP BY var, t""")
 def masked_error_stats(spark, sf):
-    """Decoded-field statistics with the marker left out of the range."""
-    laid, mesh = laid_field(spark, sf), block_mesh(spark, sf)
-    decoded = blocks.decompress(encoded(spark, sf, "masked"), mesh, tables.steps(spark, sf), BATCH)
-    pairs = blocks.paired(laid, decoded, bounds(spark, sf), BATCH)
+    """Decoded-field statistics of the masked sweep with the marker left out of the range."""
+    pairs = long_field(spark, sf).join(swept(spark, sf, True).select("var", "t", "vid", "dec"), ["var", "t", "vid"])
     s = stats.error_stats(pairs, ["var", "t"], SENTINEL)
     return s.select(
-        "var", "t", "n",
-        (F.col("max_err") <= REL_EB * (F.col("hi") - F.col("lo")) + 1e-12).alias("bound_kept"),
-        F.col("worst_vid").isNotNull().alias("worst_found"),
+        "var", "t", "n", F.round("max_err", 6).alias("max_err"), "worst_vid", F.round("mse_valid", 4).alias("mse_valid"),
+        (F.col("max_err") <= F.coalesce((F.col("hi") - F.col("lo")) * REL_EB, F.lit(0.0))).alias("bound_kept"),
     )
 
 

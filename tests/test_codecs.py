@@ -183,3 +183,46 @@ def test_sweeps_use_every_causal_edge_and_decode_from_the_blob(spark, monkeypatc
         assert all(abs(coded[k] - truth[k]) <= limit for k in truth)
         if masked:
             assert all((coded[k] == -99999.0) == (truth[k] == -99999.0) for k in truth)
+
+
+@pytest.mark.parametrize("n", [1, 2, 21])
+def test_levels_interpolate_the_whole_order(spark, n):
+    """Indices as a plain loop gives them, with an escape, several windows and a decoder that
+    reads the blob and the bounds alone; one slot, and ends where points are missing."""
+    from fieldloom.plans import levels
+
+    steps, eb = 2, 0.25
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.normal(size=(n, 2, steps)), axis=0).astype(np.float32)
+    if n > 5:
+        x[5, 0, 0] = 3e30
+    rows = spark.createDataFrame(
+        [(p, tb, 100 - p, [float(v) for v in x[p, tb]]) for p in range(n) for tb in range(2)], "place bigint, tb int, vid bigint, vals array<float>"
+    )
+    bounds = spark.createDataFrame([(tb, [eb] * steps) for tb in range(2)], "tb int, eb array<double>")
+    blob = levels.compress(rows, n, bounds)
+    got = {(r.place, r.tb): r for r in blob.collect()}
+    assert len(got) == 2 * n and all(r.vid == 100 - r.place for r in got.values())
+    dec = np.zeros((n, 2, steps), np.float32)
+    plan = [(0, [0])] + [(s, list(range(s, n, 2 * s))) for s in (1 << k for k in range(10, -1, -1)) if s < n]
+    for stride, at in plan:
+        width = eb / 2 if stride > 2 else eb
+        for p in at:
+            for tb in range(2):
+                for t in range(steps):
+                    d = lambda o: float(dec[p + o * stride, tb, t])  # noqa: E731, B023
+                    if stride == 0:
+                        pred = 0.0
+                    elif p - 3 * stride >= 0 and p + 3 * stride < n:
+                        pred = -d(-3) / 16 + 9 * d(-1) / 16 + 9 * d(1) / 16 - d(3) / 16
+                    else:
+                        pred = d(-1) / 2 + d(1) / 2 if p + stride < n else d(-1)
+                    q, value = got[p, tb].q[t], got[p, tb].decs[t]
+                    if q == 0:
+                        assert value == x[p, tb, t] == got[p, tb].raw[t]
+                    else:
+                        assert value == np.float32(pred + 2.0 * (q - RADIUS) * width) and abs(float(value) - float(x[p, tb, t])) < width
+                    dec[p, tb, t] = value
+    again = {(r.place, r.tb): r.decs for r in levels.decompress(blob, n, bounds).collect()}
+    assert again == {k: r.decs for k, r in got.items()}
+    assert n <= 5 or got[5, 0].q[0] == 0
