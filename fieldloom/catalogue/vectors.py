@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.catalogue import mesh as mq
 from fieldloom.catalogue.registry import CORNERS, EDGES, TETS, query, with_
 from fieldloom.functions import scalars
-from fieldloom.operators import adjacency, critical, neighbours
+from fieldloom.operators import adjacency, critical, locate, neighbours
 from fieldloom.plans import critical as cp
 from fieldloom.plans.sweeps import MODULUS, MULTIPLIER
 from fieldloom.sources import tables
@@ -101,6 +101,32 @@ def critical_points(spark, sf):
 
 
 
+PROBES = """probes AS (SELECT s_suppkey AS pid, CAST(1 + s_suppkey * 13 % 49 AS DOUBLE) + 0.25::DOUBLE AS px,
+  900.0::DOUBLE + CAST(s_suppkey * 29 % 1000 AS DOUBLE) AS py, CAST(s_suppkey * 41 % 96 AS DOUBLE) + 0.5::DOUBLE AS pz FROM supplier)"""
+BOXED = " AND ".join(f"p{a} BETWEEN least({a}0, {a}1, {a}2, {a}3) AND greatest({a}0, {a}1, {a}2, {a}3)" for a in "xyz")
+VOLUMES = ", ".join(f"{v} AS s{i}" for i, v in enumerate(locate.signed_volumes()))
+
+
+@query(with_(TETS, CORNERS, VECTORS, PLACES, gather_sql(), PROBES) + f""", held AS (
+  SELECT pid, cid, {", ".join(f"(s0 * {n}0 + s1 * {n}1 + s2 * {n}2 + s3 * {n}3) / (s0 + s1 + s2 + s3) AS {n}" for n in "uvw")}
+  FROM (SELECT *, {VOLUMES} FROM probes JOIN (SELECT * FROM g WHERE {locate.solid()}) ON {BOXED}) WHERE {locate.INSIDE}
+  QUALIFY row_number() OVER (PARTITION BY pid ORDER BY cid) = 1)
+SELECT p.pid, h.cid, {", ".join(f"floor(h.{n} * 10000 + 0.5) / 10000 AS {n}" for n in "uvw")}
+FROM probes p LEFT JOIN held h ON h.pid = p.pid""")
+def locate_points(spark, sf):
+    """Smallest order tetrahedron around a point of every supplier, and the vector there."""
+    corners = tables.once(spark, sf, "flat-corners", lambda: locate.flat_corners(
+        critical.gather_corners(tables.tets(spark, sf), vectors(spark, sf), tables.positions3(spark, sf))))
+    key = F.col("s_suppkey")
+    points = tables.read(spark, sf, "supplier").select(
+        key.alias("pid"), ((1 + key * 13 % 49).cast("double") + 0.25).alias("px"),
+        (F.lit(900.0) + (key * 29 % 1000).cast("double")).alias("py"), ((key * 41 % 96).cast("double") + 0.5).alias("pz"),
+    )
+    found = locate.interpolate(points, locate.locate(points, corners), corners)
+    near = [(F.floor(F.col(n) * 10000 + 0.5) / 10000).alias(n) for n in "uvw"]
+    return points.select("pid").join(found.select("pid", "cid", *near), "pid", "left")
+
+
 @query(with_(TETS, CORNERS, VECTORS, PLACES, gather_sql(), FOUND, KINDS) + """,
 coarse AS (SELECT vid, round(u / 8) * 8 AS u, round(v / 8) * 8 AS v, round(w / 8) * 8 AS w FROM vectors),
 was AS (SELECT cid, kind FROM kinds),

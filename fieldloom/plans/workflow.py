@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import SENTINEL
-from fieldloom.operators import adjacency, regions, regression, stats
+from fieldloom.operators import adjacency, components, neighbours, regions, regression, stats
 from fieldloom.operators.traverse import Order
-from fieldloom.plans import blocks, transform
+from fieldloom.plans import blocks, levels, sweeps, transform
 from fieldloom.session import materialize
 
 # Method numbers of the command line.
@@ -20,6 +20,17 @@ METHOD_NUMBERS = {
 }
 
 
+@dataclass
+class Coded:
+    """A field coded over the whole mesh: ``blob`` and ``bounds`` are all that decoding reads of it."""
+
+    blob: DataFrame
+    bounds: DataFrame
+    method: str
+    variables: tuple[str, ...]
+    k: int
+
+
 @dataclass
 class MeshWorkflow:
     """Reusable mesh layout. ``batch`` steps form one time window."""
@@ -30,6 +41,7 @@ class MeshWorkflow:
     d: int
     steps: int
     batch: int
+    kept: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def lay_out(
@@ -99,6 +111,49 @@ class MeshWorkflow:
         join = blocks.paired if "decs" in decoded.columns else transform.paired
         return join(laid, decoded, bounds, self.batch)
 
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = materialize(build(), name)
+        return self.kept[name]
+
+    def causal(self, k: int) -> DataFrame:
+        """Edges along which a colour predicts from smaller ones, the k nearest of a vertex."""
+        return self._once(f"causal-{k}", lambda: sweeps.causal_edges(neighbours.with_distance(self.edges, self.positions), k))
+
+    def seats(self) -> DataFrame:
+        """(vid, place): breadth-first queue order of the whole mesh."""
+        order = lambda: components.breadth_first_order(self.positions.select("vid"), self.edges)
+        return self._once("seats", lambda: order().select("vid", F.col("rank").alias("place")))
+
+    def code(self, values: DataFrame, eb: float, method: str | int = "neighbours", k: int = 4, relative: bool = True) -> Coded:
+        """Code (var, vid, vals) over the whole mesh, no part cut: "neighbours" (2), "masked" (4), "interpolated".
+
+        Every vertex of the mesh has every variable; an empty field gives an empty blob.
+        """
+        name = METHOD_NUMBERS.get(method, method)
+        variables = tuple(r[0] for r in values.select("var").distinct().orderBy("var").collect())
+        rows = materialize(sweeps.rows_of(values, variables, self.steps, self.batch), "rows")
+        bounds = sweeps.bounds_of(rows, eb, relative)
+        if name in ("neighbours", "masked"):
+            blob = sweeps.compress(rows, self.causal(k), bounds, k, name == "masked")
+        elif name == "interpolated":
+            n = self.seats().count()
+            seated = rows.join(self.seats(), "vid")
+            if (found := seated.where("tb = 0").count()) not in (0, n):
+                raise ValueError(f"the field has {found} of {n} vertices")
+            blob = levels.compress(seated, n, bounds)
+        else:
+            raise ValueError(f"{name} is not coded over the whole mesh: use compress()")
+        return Coded(blob.drop("decs"), bounds, name, variables, k)
+
+    def decode(self, coded: Coded) -> DataFrame:
+        """(var, vid, vals) in the field's own layout, as ``rawarray.write_steps`` takes it."""
+        if coded.method == "interpolated":
+            back = levels.decompress(coded.blob, self.seats().count(), coded.bounds)
+        else:
+            back = sweeps.decompress(coded.blob, self.causal(coded.k), coded.bounds, coded.k, coded.method == "masked")
+        return sweeps.series(back, "decs", coded.variables, self.steps, self.batch)
+
     def statistics(self, pairs: DataFrame) -> DataFrame:
         return stats.error_stats(pairs, ["var", "t"], SENTINEL)
 

@@ -285,3 +285,83 @@ def test_workflow_covers_every_method(spark):
     assert len(back) == n and all(abs(r.val - r.dec) <= 0.05 for r in back)
     with pytest.raises(ValueError):
         wf.compress(laid, b, 7)
+
+
+@pytest.mark.parametrize("method", [2, 4, "interpolated"])
+def test_workflow_codes_the_whole_mesh_and_writes_step_files(spark, method):
+    n, steps, rng = 30, 5, np.random.default_rng(8)
+    pos = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(n)], "vid bigint, pos array<double>")
+    cells = spark.createDataFrame(random_tets(n, 40, 3), "cid bigint, verts array<bigint>")
+    vals = rng.normal(size=(2, n, steps)).astype(np.float32)
+    vals[1, ::4, 2] = SENTINEL
+    f = spark.createDataFrame([(v, i, vals[j, i].tolist()) for j, v in enumerate("ab") for i in range(n)], "var string, vid bigint, vals array<float>")
+    wf = MeshWorkflow.lay_out(pos, cells, "tets", steps, part_size=20, batch=2)
+    coded = wf.code(f, 0.05, method, relative=False)
+    assert set(coded.blob.columns) <= {"vid", "tb", "place", "q", "raw"}
+    back = materialize(wf.decode(coded), "decoded")
+    got = {(r.var, r.vid): r.vals for r in back.collect()}
+    assert len(got) == 2 * n
+    assert all(np.abs(np.array(got[v, i]) - vals[j, i]).max() <= 0.05 for j, v in enumerate("ab") for i in range(n))
+    folder = f"{scratch_dir(spark)}/decoded-{method}"
+    rawarray.write_steps(back, folder)
+    files = {(r.var, r.t, r.vid): r.val for r in rawarray.read_steps(spark, folder).collect()}
+    assert len(files) == 2 * n * steps and all(files[v, t, i] == got[v, i][t] for v, t, i in files)
+    if method == 2:
+        with pytest.raises(ValueError):
+            wf.code(f, 0.05, 3)
+    if method == "interpolated":
+        with pytest.raises(ValueError):
+            wf.code(f.where("vid > 3"), 0.05, method)
+
+
+def test_points_are_located_in_the_smallest_cell(spark):
+    """All points against all cells in numpy: small and large cells, corners, faces, flat cells,
+    nulls and repeated points; weights give the vectors of the corners back."""
+    from fieldloom.operators import locate
+
+    rng = np.random.default_rng(4)
+    corners, points = {}, {}
+    for cid in range(120):
+        at = rng.random(3) * 90
+        x = at + rng.random((4, 3)) * (90 if cid % 5 == 0 else 9 if cid % 2 else 1)
+        corners[cid] = np.round(x)
+    corners[7] = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0.0]])
+    for pid in range(150):
+        home = corners[pid % 120]
+        w = rng.dirichlet([1] * 4) if pid % 3 else np.eye(4)[pid % 4]
+        points[pid] = home.T @ w if pid % 7 else rng.random(3) * 120
+    names = [f"{a}{i}" for i in range(4) for a in "xyz"]
+    rows = [(cid, *[float(v) for v in x.ravel()], *[float(v) for v in (x * 2 + 1).ravel()]) for cid, x in corners.items()]
+    rows.append((-5, None, *rows[0][2:]))
+    cells = spark.createDataFrame(rows, "cid bigint, " + ", ".join(f"{c} double" for c in names + [f"{a}{i}" for i in range(4) for a in "uvw"]))
+    some = [(p, *[float(v) for v in x]) for p, x in points.items()] + [(900, None, 1.0, 1.0), (901, float("nan"), 1.0, 1.0)]
+    probes = spark.createDataFrame(some + some[:1], "pid bigint, px double, py double, pz double")
+
+    def volumes(x, p):
+        a, b, c, d = x - p
+        det = lambda *m: float(np.dot(m[0], np.cross(m[1], m[2])))
+        return np.array([det(b, c, d), -det(a, c, d), det(a, b, d), -det(a, b, c)])
+
+    sure, never = {}, set()
+    for pid, p in points.items():
+        share = {}
+        for cid, x in corners.items():
+            s = volumes(x, p)
+            share[cid] = (s / s.sum()).min() if abs(s.sum()) > 1e-9 else -1.0
+        sure[pid] = {c for c, m in share.items() if m > 1e-9}, {c for c, m in share.items() if m > -1e-9}
+        if not sure[pid][1]:
+            never.add(pid)
+    found = locate.locate(probes, cells, finest=4)
+    got = {r.pid: r.cid for r in found.collect()}
+    assert never and not never & set(got), [(p, got[p], volumes(corners[got[p]], points[p])) for p in sorted(never & set(got))][:3]
+    assert not {900, 901} & set(got)
+    for pid, (inside, perhaps) in sure.items():
+        if pid in got:
+            assert got[pid] in perhaps and got[pid] <= min(inside, default=got[pid])
+        else:
+            assert not inside
+    assert sum(bool(inside) for inside, _ in sure.values()) > 40  # the rounded small cells are flat
+    assert {r.pid: r.cid for r in locate.locate(probes, cells).collect()} == got
+    for r in locate.interpolate(probes.distinct(), found, cells).collect():
+        assert np.allclose([r.u, r.v, r.w], points[r.pid] * 2 + 1, atol=1e-6)
+    assert locate.locate(probes, cells.limit(0)).count() == 0 and locate.locate(probes.limit(0), cells).count() == 0
