@@ -10,7 +10,7 @@ from fieldloom.catalogue import mesh as mq
 from fieldloom.catalogue.registry import (
     DIST, EDGES, PART_SIZE, POS, STATIC, WEIGHTS, near_cte, parts_cte, query, with_,
 )
-from fieldloom.functions import scalars
+from fieldloom.functions import kriged, scalars
 from fieldloom.operators import (
     adjacency, coding, components, masks, neighbours, ranking, regions, regression, stats, traverse, variogram,
 )
@@ -469,6 +469,85 @@ def _coded_cte(masked: bool, name: str = "coded", share: float = 1.0) -> str:
     return ",\n" + ",\n".join(out) + f", {name} AS ({every})\n"
 
 
+PAIR_NAMES = [(i, j) for i in range(1, SWEEP_K + 1) for j in range(i + 1, SWEEP_K + 1)]
+
+
+def _kriging_sql(inner: str) -> str:
+    """SELECT of ``inner`` (with n1.., the squared distances to the target, p12.., those between the
+    neighbours, and h12.., the semivariances) with reach, sill, usable and the weights w1..w4."""
+    names = [f"{i}{j}" for i, j in PAIR_NAMES]
+    plus = lambda term: " + ".join(f"coalesce({term.replace('@', n)}, 0.0::DOUBLE)" for n in names)
+    cost = lambda r, s: plus(f"(h@ - {s} * (1 - exp(-p@ / ({r} * {r})))) ** 2")
+    floor = f"{kriged.FLOOR}::DOUBLE"
+    clip = lambda r: f"least(greatest({r}, lo), hi)"
+    at = f"""SELECT *, greatest(longest * {kriged.NARROWEST}::DOUBLE, {floor}) AS lo, greatest(longest * {kriged.WIDEST}::DOUBLE, {floor}) AS hi
+      FROM (SELECT *, sqrt(greatest({', '.join('p' + n for n in names)})) AS longest, ({plus('h@')}) / ({' + '.join(f'(h{n} IS NOT NULL)::INTEGER' for n in names)}) AS mean
+            FROM ({inner}))"""
+    at = f"SELECT *, {cost('r', 's')} AS cost, 0.01::DOUBLE AS damp FROM (SELECT *, {clip('longest / sqrt(3.0::DOUBLE)')} AS r, greatest(mean, {floor}) AS s FROM ({at}))"
+    for _ in range(kriged.STEPS):
+        e = "exp(-p@ / (r * r))"
+        jr, js, res = f"(-2.0::DOUBLE * s * {e} * p@ / (r * r * r))", f"(1 - {e})", f"(h@ - s * (1 - {e}))"
+        at = f"""SELECT *, {plus(f'{jr} * {jr}')} AS ga, {plus(f'{jr} * {js}')} AS gb, {plus(f'{js} * {js}')} AS gc,
+          {plus(f'{jr} * {res}')} AS gr, {plus(f'{js} * {res}')} AS gs FROM ({at})"""
+        at = f"SELECT *, ga * (1 + damp) * (gc * (1 + damp)) - gb * gb AS det FROM ({at})"
+        at = f"""SELECT *, {clip('r + CASE WHEN det > 1e-30 THEN (gc * (1 + damp) * gr - gb * gs) / det ELSE 0 END')} AS nr,
+          greatest(s + CASE WHEN det > 1e-30 THEN (ga * (1 + damp) * gs - gb * gr) / det ELSE 0 END, {floor}) AS ns FROM ({at})"""
+        at = f"SELECT *, {cost('nr', 'ns')} AS ncost FROM ({at})"
+        better = lambda a, b: f"CASE WHEN ncost <= cost * (1 - {kriged.GAIN}::DOUBLE) THEN {a} ELSE {b} END"
+        at = f"""SELECT * EXCLUDE (ga, gb, gc, gr, gs, det, nr, ns, ncost)
+          REPLACE ({better('nr', 'r')} AS r, {better('ns', 's')} AS s, {better('damp * 0.25', 'damp * 4.0')} AS damp, {better('ncost', 'cost')} AS cost) FROM ({at})"""
+    at = f"SELECT *, greatest(round(r, {kriged.DIGITS}), {floor}) AS reach, round(s, {kriged.DIGITS}) AS sill FROM ({at})"
+    # the bordered system by Cholesky factors of the correlations; b is the target's side, o the border
+    x = lambda n: f"coalesce(exp(-{n} / (reach * reach)), 0.0::DOUBLE)"
+    at = f"""SELECT *, {', '.join(f'{x("p" + n)} AS c{n}' for n in names)}, {', '.join(f'{x(f"n{i}")} AS b{i}' for i in range(1, SWEEP_K + 1))},
+      {', '.join(f'CASE WHEN n{i} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS o{i}' for i in range(1, SWEEP_K + 1))} FROM ({at})"""
+    root = lambda v: f"sqrt(CASE WHEN {v} > {kriged.PIVOT} THEN {v} END)"
+    at = f"SELECT *, {root('1 - c12 * c12')} AS k2 FROM ({at})"
+    at = f"SELECT *, (c23 - c13 * c12) / k2 AS k32, (c24 - c14 * c12) / k2 AS k42 FROM ({at})"
+    at = f"SELECT *, {root('1 - c13 * c13 - k32 * k32')} AS k3 FROM ({at})"
+    at = f"SELECT *, (c34 - c14 * c13 - k42 * k32) / k3 AS k43 FROM ({at})"
+    at = f"SELECT *, {root('1 - c14 * c14 - k42 * k42 - k43 * k43')} AS k4 FROM ({at})"
+    for v in "bo":
+        at = f"SELECT *, ({v}2 - c12 * {v}1) / k2 AS {v}y2 FROM ({at})"
+        at = f"SELECT *, ({v}3 - c13 * {v}1 - k32 * {v}y2) / k3 AS {v}y3 FROM ({at})"
+        at = f"SELECT *, ({v}4 - c14 * {v}1 - k42 * {v}y2 - k43 * {v}y3) / k4 / k4 AS {v}x4 FROM ({at})"
+        at = f"SELECT *, ({v}y3 - k43 * {v}x4) / k3 AS {v}x3 FROM ({at})"
+        at = f"SELECT *, ({v}y2 - k32 * {v}x3 - k42 * {v}x4) / k2 AS {v}x2 FROM ({at})"
+        at = f"SELECT *, {v}1 - c12 * {v}x2 - c13 * {v}x3 - c14 * {v}x4 AS {v}x1 FROM ({at})"
+    at = f"SELECT *, (1 - bx1 - bx2 - bx3 - bx4) / (ox1 + ox2 + ox3 + ox4) AS mu FROM ({at})"
+    at = f"SELECT *, {', '.join(f'round(bx{i} + mu * ox{i}, {kriged.WEIGHT_DIGITS}) AS u{i}' for i in range(1, SWEEP_K + 1))} FROM ({at})"
+    at = f"SELECT *, coalesce(greatest(abs(u1), abs(u2), abs(u3), abs(u4)) <= {kriged.MOST} AND mu IS NOT NULL, false) AS usable FROM ({at})"
+    return f"SELECT *, {', '.join(f'CASE WHEN usable THEN u{i} END AS w{i}' for i in range(1, SWEEP_K + 1))} FROM ({at})"
+
+
+def _kriged_cte(name: str = "coded") -> str:
+    """CTEs name0, name1, ... as ``_coded_cte``, predicted by kriging where its weights are usable."""
+    ks = range(1, SWEEP_K + 1)
+    out = [f"""shape AS MATERIALIZED (SELECT vid, {', '.join(f'(x{i} - tx) ** 2 + (y{i} - ty) ** 2 AS n{i}' for i in ks)},
+    {', '.join(f'(x{i} - x{j}) ** 2 + (y{i} - y{j}) ** 2 AS p{i}{j}' for i, j in PAIR_NAMES)}
+  FROM (SELECT n.src AS vid, any_value(t.x) AS tx, any_value(t.y) AS ty, {', '.join(f'max(d.x) FILTER (n.rn = {i}) AS x{i}, max(d.y) FILTER (n.rn = {i}) AS y{i}' for i in ks)}
+        FROM near n JOIN pos t ON t.vid = n.src JOIN pos d ON d.vid = n.dst GROUP BY n.src))"""]
+    for c in range(sweeps.COLOURS):
+        pred = "(SELECT NULL::BIGINT AS vid, NULL::VARCHAR AS var, NULL::INTEGER AS t, 0.0::DOUBLE AS pred)"
+        if c:
+            earlier = " UNION ALL ".join(f"SELECT var, t, vid, dec FROM {name}{j}" for j in range(c))
+            slot = lambda j, what: f"coalesce(max(CASE WHEN n.rn = {j} THEN {what} END), 0.0::DOUBLE)"
+            out.append(f"""mail{c} AS MATERIALIZED (SELECT n.src AS vid, d.var, d.t, {', '.join(f'max(CAST(d.dec AS DOUBLE)) FILTER (n.rn = {i}) AS v{i}' for i in ks)},
+    {' + '.join(slot(j, 'n.w * CAST(d.dec AS DOUBLE)') for j in ks)} AS num, {' + '.join(slot(j, 'n.w') for j in ks)} AS den
+  FROM near n JOIN paint p ON p.vid = n.src AND p.c = {c} JOIN ({earlier}) d ON d.vid = n.dst GROUP BY n.src, d.var, d.t)""")
+            inner = f"""SELECT m.vid, m.var, m.t AS t0, s.* EXCLUDE (vid), {', '.join(f'(v{i} - v{j}) ** 2 / 2 AS h{i}{j}' for i, j in PAIR_NAMES)}
+              FROM mail{c} m JOIN shape s ON s.vid = m.vid WHERE m.t % {BATCH} = 0 AND v3 IS NOT NULL"""
+            out.append(f"fit{c} AS MATERIALIZED (SELECT vid, var, t0, w1, w2, w3, w4 FROM ({_kriging_sql(inner)}) WHERE usable)")
+            best = " + ".join(f"coalesce(f.w{i} * m.v{i}, 0.0::DOUBLE)" for i in ks)
+            pred = f"""(SELECT m.vid, m.var, m.t, CASE WHEN f.w1 IS NOT NULL THEN {best} WHEN den > 0 THEN num / den ELSE 0.0::DOUBLE END AS pred
+              FROM mail{c} m LEFT JOIN fit{c} f ON f.vid = m.vid AND f.var = m.var AND f.t0 = m.t - m.t % {BATCH})"""
+        predicted = f"""SELECT b.var, b.t, b.vid, b.val, b.eb, coalesce(p.pred, 0.0::DOUBLE) AS pred
+          FROM base b LEFT JOIN {pred} p ON p.vid = b.vid AND p.var = b.var AND p.t = b.t WHERE b.c = {c}"""
+        out.append(f"{name}{c} AS MATERIALIZED (\n  {_quantized(predicted, 'false')})")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{c}" for c in range(sweeps.COLOURS))
+    return ",\n" + ",\n".join(out) + f", {name} AS ({every})\n"
+
+
 # Orders of the whole mesh as seats (vid, place), and the levels of the interpolation along them.
 BY_ID = ", {name} AS (SELECT p_partkey AS vid, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part)"
 BY_BREADTH = """, reach(vid, root) USING KEY (vid) AS (
@@ -545,21 +624,23 @@ def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tables.once(spark, sf, "sweep-rows", rows)
 
 
-def swept(spark: SparkSession, sf: str, masked: bool, share: float = 1.0) -> DataFrame:
+def swept(spark: SparkSession, sf: str, masked: bool, share: float = 1.0, krige: bool = False) -> DataFrame:
     """(var, t, vid, q, dec, restored): coded over the whole mesh, and decoded from the blob alone."""
 
     def build():
         edges, rows = sweep_edges(spark, sf), sweep_rows(spark, sf)
         b = sweeps.bounds_of(rows, REL_EB * share)
-        blob = sweeps.compress(rows, edges, b, SWEEP_K, masked)
-        back = sweeps.decompress(blob, edges, b, SWEEP_K, masked)
+        shape = tables.once(spark, sf, "sweep-shape", lambda: sweeps.geometry(edges, tables.positions(spark, sf))) if krige else None
+        args = dict(k=SWEEP_K, masked=masked, shape=shape, variables=len(tables.VARIABLES))
+        blob = sweeps.compress(rows, edges, b, **args)
+        back = sweeps.decompress(blob, edges, b, **args)
         both = blob.select("vid", "tb", "q", "decs").join(back.select("vid", "tb", F.col("decs").alias("again")), ["vid", "tb"])
         zipped = both.select("vid", "tb", F.arrays_zip("q", "decs", "again").alias("s"))
         return sweeps.samples(zipped, "s", tables.VARIABLES, tables.steps(spark, sf), BATCH).select(
             "var", "t", "vid", "s.q", F.col("s.decs").alias("dec"), (F.col("s.decs") == F.col("s.again")).alias("restored")
         )
 
-    return tables.once(spark, sf, f"swept-{masked}-{share}", build)
+    return tables.once(spark, sf, f"swept-{masked}-{share}-{krige}", build)
 
 
 def seats(spark: SparkSession, sf: str, breadth: bool) -> DataFrame:
@@ -641,10 +722,10 @@ def roundtrip_regression(spark, sf):
     return _report(spark, sf, "regression")
 
 
-@query(REPORT)
+@query(GROUND + _kriged_cte() + SWEPT.format(keys="var, t"))
 def roundtrip_kriging(spark, sf):
-    """Kriging weights refitted every batch."""
-    return _report(spark, sf, "kriging")
+    """Kriging over the whole mesh: weights refitted to decoded neighbours at the start of every window."""
+    return _swept_report(swept(spark, sf, False, krige=True), "var", "t")
 
 
 @query(GROUND + _coded_cte(True) + SWEPT.format(keys="var, t"))
@@ -812,13 +893,25 @@ def semivariogram_pairs(spark, sf):
     )
 
 
-@query(PAIRS + "SELECT src, CAST(m AS INTEGER) AS m, true AS unbiased FROM lists WHERE m >= 3 GROUP BY ALL")
+def _kriging_lists() -> str:
+    """The relation that ``_kriging_sql`` takes, from the lists of the static field."""
+    ks = range(1, SWEEP_K + 1)
+    slots = ", ".join(f"max(l.{c}) FILTER (l.rn = {i}) AS {c}{i}" for i in ks for c in "xyv")
+    return f"""SELECT src, m, {', '.join(f'(x{i} - tx) ** 2 + (y{i} - ty) ** 2 AS n{i}' for i in ks)},
+      {', '.join(f'(x{i} - x{j}) ** 2 + (y{i} - y{j}) ** 2 AS p{i}{j}, (v{i} - v{j}) ** 2 / 2 AS h{i}{j}' for i, j in PAIR_NAMES)}
+      FROM (SELECT l.src, any_value(l.m) AS m, any_value(t.x) AS tx, any_value(t.y) AS ty, {slots}
+            FROM lists l JOIN pos t ON t.vid = l.src WHERE l.m >= 3 GROUP BY l.src)"""
+
+
+@query(PAIRS + f"""SELECT src, CAST(m AS INTEGER) AS m, reach, sill, usable,
+  {', '.join(f'w{i}' for i in range(1, SWEEP_K + 1))}, coalesce(abs(w1 + w2 + w3 + w4 - 1) < 1e-5, false) AS unbiased FROM ({_kriging_sql(_kriging_lists())})""")
 def kriging_weights(spark, sf):
-    """Ordinary-kriging weights of every vertex: they sum to one where the system is usable."""
-    w = variogram.weights_per_vertex(variogram_lists(spark, sf), 20)
+    """Fitted variogram and ordinary-kriging weights of every vertex with three or four neighbours."""
+    w = variogram.weights_per_vertex(variogram_lists(spark, sf))
     total = F.aggregate("lambda", F.lit(0.0), lambda a, b: a + b)
     return w.select(
-        "src", F.size("ids").alias("m"), (~F.col("usable") | (F.abs(total - 1) < 1e-6)).alias("unbiased")
+        "src", "m", "reach", "sill", F.col("lambda").isNotNull().alias("usable"),
+        *[F.col("lambda")[i].alias(f"w{i + 1}") for i in range(SWEEP_K)], F.coalesce(F.abs(total - 1) < 1e-5, F.lit(False)).alias("unbiased"),
     )
 
 

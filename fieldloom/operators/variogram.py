@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.kriging import fit_variograms, kriging_weights
-
-WEIGHTS = "src bigint, reach double, sill double, ids array<bigint>, lambda array<double>, usable boolean"
+from fieldloom.functions import kriged
 
 
 def neighbour_lists(near: DataFrame, positions: DataFrame, field: DataFrame) -> DataFrame:
@@ -44,27 +38,18 @@ def semivariogram_pairs(lists: DataFrame, fewest: int = 3) -> DataFrame:
     )
 
 
-def weights_per_vertex(lists: DataFrame, max_iter: int, fewest: int = 3) -> DataFrame:
-    """Variogram fit and ordinary-kriging weights of every vertex, batch by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for m in sorted({len(r["l"]) for r in rows}):
-                some = [r for r in rows if len(r["l"]) == m]
-                here = np.array([r["pos"] for r in some])
-                there = np.array([[n["npos"] for n in r["l"]] for r in some])
-                vals = np.array([[n["nval"] for n in r["l"]] for r in some])
-                near = np.sqrt(((there - here[:, None]) ** 2).sum(2))
-                pair = np.sqrt(((there[:, :, None] - there[:, None]) ** 2).sum(3))
-                i, j = np.triu_indices(m, 1)
-                reach, sill = fit_variograms(pair[:, i, j], (vals[:, i] - vals[:, j]) ** 2 / 2.0, max_iter)
-                lam, good = kriging_weights(near, pair, reach, sill)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "src": [r["src"] for r in some], "reach": reach, "sill": sill,
-                        "ids": [[n["dst"] for n in r["l"]] for r in some], "lambda": list(lam), "usable": good,
-                    }
-                )
-
-    return lists.where(F.size("l") >= fewest).mapInArrow(run, WEIGHTS)
+def weights_per_vertex(lists: DataFrame) -> DataFrame:
+    """(src, m, reach, sill, lambda): variogram fit and ordinary-kriging weights of every vertex with
+    three or four neighbours; ``lambda`` is null where the system is not usable."""
+    spot = [F.get("l", F.lit(i)) for i in range(kriged.K)]
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    shaped = lists.where(F.size("l") >= kriged.FEWEST).select(
+        "src", F.size("l").alias("m"),
+        F.array(*[apart(s["npos"], F.col("pos")) for s in spot]).alias("near"),
+        F.array(*[apart(spot[i]["npos"], spot[j]["npos"]) for i in range(kriged.K) for j in range(i + 1, kriged.K)]).alias("pair"),
+        kriged.half_squares([s["nval"] for s in spot]).alias("half"),
+    )
+    solved = kriged.let(
+        kriged.fit(F.col("pair"), F.col("half")), lambda f: F.struct(f.alias("f"), kriged.weights(F.col("near"), F.col("pair"), f["reach"]).alias("w"))
+    )
+    return shaped.select("src", "m", solved.alias("s")).select("src", "m", "s.f.reach", "s.f.sill", F.col("s.w").alias("lambda"))

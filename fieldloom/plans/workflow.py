@@ -120,13 +120,18 @@ class MeshWorkflow:
         """Edges along which a colour predicts from smaller ones, the k nearest of a vertex."""
         return self._once(f"causal-{k}", lambda: sweeps.causal_edges(neighbours.with_distance(self.edges, self.positions), k))
 
+    def shape(self, k: int) -> DataFrame:
+        """Distances among the neighbours that predict a vertex, for kriging."""
+        return self._once(f"shape-{k}", lambda: sweeps.geometry(self.causal(k), self.positions))
+
     def seats(self) -> DataFrame:
         """(vid, place): breadth-first queue order of the whole mesh."""
         order = lambda: components.breadth_first_order(self.positions.select("vid"), self.edges)
         return self._once("seats", lambda: order().select("vid", F.col("rank").alias("place")))
 
     def code(self, values: DataFrame, eb: float, method: str | int = "neighbours", k: int = 4, relative: bool = True) -> Coded:
-        """Code (var, vid, vals) over the whole mesh, no part cut: "neighbours" (2), "masked" (4), "interpolated".
+        """Code (var, vid, vals) over the whole mesh, no part cut: "neighbours" (2), "kriging" (3, k = 4),
+        "masked" (4), "interpolated".
 
         Every vertex of the mesh has every variable; an empty field gives an empty blob.
         """
@@ -134,8 +139,9 @@ class MeshWorkflow:
         variables = tuple(r[0] for r in values.select("var").distinct().orderBy("var").collect())
         rows = materialize(sweeps.rows_of(values, variables, self.steps, self.batch), "rows")
         bounds = sweeps.bounds_of(rows, eb, relative)
-        if name in ("neighbours", "masked"):
-            blob = sweeps.compress(rows, self.causal(k), bounds, k, name == "masked")
+        if name in ("neighbours", "masked", "kriging"):
+            shape = self.shape(k) if name == "kriging" else None
+            blob = sweeps.compress(rows, self.causal(k), bounds, k, name == "masked", shape, len(variables))
         elif name == "interpolated":
             n = self.seats().count()
             seated = rows.join(self.seats(), "vid")
@@ -151,7 +157,8 @@ class MeshWorkflow:
         if coded.method == "interpolated":
             back = levels.decompress(coded.blob, self.seats().count(), coded.bounds)
         else:
-            back = sweeps.decompress(coded.blob, self.causal(coded.k), coded.bounds, coded.k, coded.method == "masked")
+            k, shape = coded.k, self.shape(coded.k) if coded.method == "kriging" else None
+            back = sweeps.decompress(coded.blob, self.causal(k), coded.bounds, k, coded.method == "masked", shape, len(coded.variables))
         return sweeps.series(back, "decs", coded.variables, self.steps, self.batch)
 
     def statistics(self, pairs: DataFrame) -> DataFrame:

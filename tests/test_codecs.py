@@ -143,6 +143,52 @@ def test_kriging_weights_sum_to_one_and_honour_a_coincident_point():
     assert np.allclose(lam[1], [1, 0, 0], atol=1e-6)
 
 
+def test_kriging_expressions_agree_with_the_stacked_systems(spark):
+    """Two, three and four neighbours, none, coincident ones and equal values."""
+    from pyspark.sql import functions as F
+
+    from fieldloom.functions import kriged
+
+    rng, rows = np.random.default_rng(1), []
+    for i in range(80):
+        m = {1: 2, 2: 0}.get(i % 20, 4 if i % 3 else 3)
+        p, v = rng.normal(size=(5, 2)) * 20, rng.normal(size=4) * 30
+        if i % 10 == 0:
+            p[1] = p[2]
+        if i % 10 == 3:
+            v[:] = 7.0
+        sq = lambda a, b: float(((a - b) ** 2).sum())
+        near = [sq(p[j], p[4]) if j < m else None for j in range(4)]
+        pair = [sq(p[a], p[b]) if b < m else None for a in range(4) for b in range(a + 1, 4)]
+        rows.append((i, near, pair, [float(x) if j < m else None for j, x in enumerate(v)]))
+    df = spark.createDataFrame(rows, "i long, near array<double>, pair array<double>, v array<double>")
+    half = kriged.half_squares([F.col("v")[j] for j in range(4)])
+    fitted = df.withColumn("f", kriged.fit(F.col("pair"), half))
+    got = {r.i: r for r in fitted.select("i", "f", kriged.weights(F.col("near"), F.col("pair"), F.col("f.reach")).alias("w")).collect()}
+    usable = 0
+    for i, near, pair, v in rows:
+        m, g = sum(x is not None for x in near), got[i]
+        if m < 3:
+            assert g.f is None and g.w is None
+            continue
+        spots = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+        whole = np.zeros((4, 4))
+        for (a, b), x in zip(spots, pair):
+            whole[a, b] = whole[b, a] = np.sqrt(x or 0.0)
+        at = np.triu_indices(m, 1)
+        lag, h = whole[at][None], np.array([[(v[a] - v[b]) ** 2 / 2 for a, b in zip(*at)]])
+        cost = lambda r, s: ((h - s * (1 - np.exp(-((lag / r) ** 2)))) ** 2).sum()  # noqa: E731, B023
+        r, s = kriging.fit_variograms(lag, h, 200)
+        assert cost(g.f.reach, g.f.sill) <= 3 * cost(r[0], s[0]) + 1e-6
+        if i % 10 == 0:
+            assert g.w is None
+        if g.w is not None:
+            lam, _ = kriging.kriging_weights(np.sqrt([near[:m]]), whole[None, :m, :m], np.array([g.f.reach]), np.array([g.f.sill]))
+            assert np.allclose(g.w[:m], lam[0], atol=2e-6) and all(x == 0 for x in g.w[m:]) and abs(sum(g.w) - 1) < 1e-5
+            usable += 1
+    assert usable > 40
+
+
 def test_sweeps_use_every_causal_edge_and_decode_from_the_blob(spark, monkeypatch):
     """A ring with chords over several windows: no edge between colours is lost, the bound
     holds, and the decoder needs nothing but indices, escapes, mesh and bounds."""

@@ -287,7 +287,7 @@ def test_workflow_covers_every_method(spark):
         wf.compress(laid, b, 7)
 
 
-@pytest.mark.parametrize("method", [2, 4, "interpolated"])
+@pytest.mark.parametrize("method", [2, 3, 4, "interpolated"])
 def test_workflow_codes_the_whole_mesh_and_writes_step_files(spark, method):
     n, steps, rng = 30, 5, np.random.default_rng(8)
     pos = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(n)], "vid bigint, pos array<double>")
@@ -308,7 +308,7 @@ def test_workflow_codes_the_whole_mesh_and_writes_step_files(spark, method):
     assert len(files) == 2 * n * steps and all(files[v, t, i] == got[v, i][t] for v, t, i in files)
     if method == 2:
         with pytest.raises(ValueError):
-            wf.code(f, 0.05, 3)
+            wf.code(f, 0.05, 5)
     if method == "interpolated":
         with pytest.raises(ValueError):
             wf.code(f.where("vid > 3"), 0.05, method)
