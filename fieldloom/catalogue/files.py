@@ -15,7 +15,7 @@ from fieldloom.operators import adjacency, components, critical, neighbours, tra
 from fieldloom.plans import blocks, reorder, transform
 from fieldloom.session import scratch_dir
 from fieldloom.sources import artefacts, rawarray, tables
-from fieldloom.streaming.masks import stream_mask_changes
+from fieldloom.streaming.masks import stream_mask_changes, stream_mask_events
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -111,6 +111,32 @@ def streamed_mask_changes(spark, sf):
     return spark.read.schema("var string, vid bigint, t int").parquet(f"{base}/out")
 
 
+@query(with_(fq.SERIES) + f""", arrivals AS (
+  SELECT var, vid, t, val = -99999 AS gone,
+    vid % 7 = 0 AND t = {fq.BATCH} AND t < (SELECT max(t) FROM series WHERE t % {fq.BATCH} = 0) AS late
+  FROM series WHERE t % {fq.BATCH} = 0)
+SELECT var, vid, t, false AS late FROM (
+  SELECT *, coalesce(lag(gone) OVER (PARTITION BY var, vid ORDER BY t), false) AS before FROM arrivals WHERE NOT late) WHERE gone <> before
+UNION ALL SELECT var, vid, t, true FROM arrivals WHERE late""")
+def streamed_late_steps(spark, sf):
+    """All steps arrive, but every seventh vertex's samples of one step only after a restart: the
+    changes that the stream finds, and beside them the samples that came too late."""
+    base = folder(spark, "late-stream")
+    long = fq.long_field(spark, sf).where(F.col("t") % fq.BATCH == 0)
+    held = (F.col("vid") % 7 == 0) & (F.col("t") == fq.BATCH)
+    for arrivals in (long.where(~held), long.where(held)):
+        arrivals.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("var string, vid bigint, t int, val float").parquet(f"{base}/in")
+        q = (
+            stream_mask_events(stream, fq.BATCH)
+            .writeStream.format("parquet").outputMode("append").partitionBy("late")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    return spark.read.schema("var string, vid bigint, t int, late boolean").parquet(f"{base}/out")
+
+
 @query(with_(fq.SERIES) + "SELECT unnest(['discount', 'price', 'quantity', 'tax']) AS var, (SELECT count(*) FROM part) * (SELECT count(DISTINCT t) FROM series) AS samples")
 def variable_list(spark, sf):
     """Variable names kept as a text list, joined with what the field holds."""

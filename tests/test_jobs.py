@@ -13,7 +13,7 @@ from fieldloom.plans import critical as cp
 from fieldloom.plans.workflow import MeshWorkflow
 from fieldloom.session import materialize, scratch_dir
 from fieldloom.sources import artefacts, rawarray
-from fieldloom.streaming.masks import stream_mask_changes
+from fieldloom.streaming.masks import stream_mask_changes, stream_mask_events
 
 
 def ring(spark, n, chords=0, seed=0):
@@ -261,6 +261,38 @@ def test_stream_of_steps_equals_the_batch_form(spark, tmp_path):
     assert got == expected
 
 
+def test_late_repeated_and_split_steps_end_no_stream(spark, tmp_path):
+    """Arrivals in any order, replayed in plain Python: a vertex takes a step only after its last one."""
+    rng = random.Random(9)
+    every = [(t, v, SENTINEL if rng.random() < 0.4 else 1.0) for t in (0, 2, 4, 6, 8) for v in range(40)]
+    runs = [[], [], []]
+    for row in every:
+        runs[rng.choice([0, 0, 1, 2])].append(row)
+    runs[2] += every[:5] + [(None, 3, 1.0), (4, None, 1.0), (3, 7, SENTINEL)]
+    runs[1].append((6, 1000, None))
+    src, ckpt, out = (str(tmp_path / d) for d in ("in", "ckpt", "out"))
+    seen, mask, want = {}, {}, []
+    for run in runs:
+        rng.shuffle(run)
+        rows = [("a", v, t, x) for t, v, x in run]
+        spark.createDataFrame(rows, "var string, vid bigint, t int, val float").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("var string, vid bigint, t int, val float").parquet(src)
+        q = (
+            stream_mask_events(stream, 2, bucket=16).writeStream.format("parquet").partitionBy("late")
+            .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        for t, v, x in sorted((r for r in run if r[0] is not None and r[1] is not None and r[0] % 2 == 0), key=lambda r: r[0]):
+            if seen.get(v, -1) >= t:
+                want.append((v, t, True))
+                continue
+            if mask.get(v, False) != (x == SENTINEL):
+                want.append((v, t, False))
+            seen[v], mask[v] = t, x == SENTINEL
+    got = sorted((r.vid, r.t, r.late) for r in spark.read.schema("vid bigint, t int, late boolean").parquet(out).collect())
+    assert got == sorted(want) and sum(late for *_, late in got) > 20
+
+
 def test_scratch_is_local_only_in_local_mode(spark):
     assert spark.sparkContext.master.startswith("local")
     assert scratch_dir(spark) == scratch_dir(spark)
