@@ -11,7 +11,7 @@ from fieldloom.catalogue import fields as fq
 from fieldloom.catalogue import mesh as mq
 from fieldloom.catalogue import vectors as vq
 from fieldloom.catalogue.registry import CELL_EDGES, DIST, EDGES, POS, STATIC, parts_cte, query, with_
-from fieldloom.operators import adjacency, components, critical, neighbours, traverse
+from fieldloom.operators import adjacency, components, critical, forest, neighbours, traverse
 from fieldloom.plans import blocks, reorder, transform
 from fieldloom.session import scratch_dir
 from fieldloom.sources import artefacts, rawarray, tables
@@ -193,7 +193,7 @@ def critical_point_table(spark, sf):
     return artefacts.reuse_or_build(spark, path, build).select("cid")
 
 
-@query("WITH RECURSIVE " + EDGES + """,
+QUEUE = "WITH RECURSIVE " + EDGES + """,
 reach(vid, root) USING KEY (vid) AS (
   SELECT p_partkey, p_partkey FROM part
   UNION
@@ -206,7 +206,27 @@ bfs(vid, root, level, pos) USING KEY (vid) AS (
   FROM (SELECT e.dst AS vid, min(b.root) AS root, min(b.level) + 1 AS level, min(b.pos) AS parent
         FROM bfs b JOIN edges e ON e.src = b.vid
         WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.vid = e.dst) GROUP BY e.dst))
-SELECT vid, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY root, level, pos) - 1 AS BIGINT) AS rank FROM bfs""")
+"""
+
+
+@query(QUEUE + """SELECT vid, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY root, level, pos) - 1 AS BIGINT) AS rank FROM bfs""")
 def breadth_first_order(spark, sf):
     """Exact breadth-first queue order over the whole mesh."""
     return components.breadth_first_order(tables.positions(spark, sf).select("vid"), mq.edges(spark, sf))
+
+
+@query(QUEUE + """, seated AS (SELECT vid, level, row_number() OVER (ORDER BY root, level, pos) AS rank FROM bfs),
+hung AS (
+  SELECT o.vid, CAST(o.level AS INTEGER) AS level, min_by(s.vid, s.rank) AS parent
+  FROM seated o LEFT JOIN edges e ON e.dst = o.vid LEFT JOIN seated s ON s.vid = e.src AND s.level = o.level - 1 GROUP BY o.vid, o.level),
+paths(vid, path) AS (
+  SELECT vid, [vid] FROM hung WHERE level = 0
+  UNION ALL
+  SELECT h.vid, list_append(p.path, h.vid) FROM paths p JOIN hung h ON h.parent = p.vid),
+sizes AS (SELECT vid, count(*) AS size FROM (SELECT unnest(path) AS vid FROM paths) GROUP BY vid),
+entered AS (SELECT vid, row_number() OVER (ORDER BY path) - 1 AS pre FROM paths)
+SELECT vid, parent, level, CAST(pre AS BIGINT) AS pre, CAST(pre - level + size - 1 AS BIGINT) AS post
+FROM hung JOIN entered USING (vid) JOIN sizes USING (vid)""")
+def depth_first_numbers(spark, sf):
+    """Entry and exit numbers of the breadth-first forest over the whole mesh."""
+    return forest.depth_first_numbers(tables.positions(spark, sf).select("vid"), mq.edges(spark, sf))

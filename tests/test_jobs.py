@@ -293,6 +293,50 @@ def test_late_repeated_and_split_steps_end_no_stream(spark, tmp_path):
     assert got == sorted(want) and sum(late for *_, late in got) > 20
 
 
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_depth_first_numbers_follow_the_forest(spark, shape):
+    """A long path, a hub, several trees with lone vertices, and no vertex at all; by a plain walk."""
+    from collections import deque
+
+    from fieldloom.operators import forest
+
+    rng = random.Random(12)
+    n = 0 if shape == "none" else 14 if shape == "path" else 60
+    pairs = {
+        "path": [(i, i + 1) for i in range(n - 1)], "star": [(7, i) for i in range(n) if i != 7],
+        "random": [tuple(rng.sample(range(60), 2)) for _ in range(45)], "none": [],
+    }[shape]
+    both = sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    got = forest.depth_first_numbers(
+        spark.createDataFrame([(i,) for i in range(n)], "vid bigint"), spark.createDataFrame(both, "src bigint, dst bigint")
+    )
+    parent, level = {}, {}
+    for root in range(n):
+        if root in level:
+            continue
+        parent[root], level[root], queue = None, 0, deque([root])
+        while queue:
+            v = queue.popleft()
+            for w in sorted(b for a, b in both if a == v):
+                if w not in level:
+                    parent[w], level[w] = v, level[v] + 1
+                    queue.append(w)
+    pre, post = {}, {}
+
+    def walk(v):
+        pre[v] = len(pre)
+        for w in range(n):
+            if parent[w] == v:
+                walk(w)
+        post[v] = len(post)
+
+    for v in range(n):
+        if parent[v] is None:
+            walk(v)
+    want = [(v, parent[v], level[v], pre[v], post[v]) for v in range(n)]
+    assert sorted((r.vid, r.parent, r.level, r.pre, r.post) for r in got.collect()) == want
+
+
 def test_scratch_is_local_only_in_local_mode(spark):
     assert spark.sparkContext.master.startswith("local")
     assert scratch_dir(spark) == scratch_dir(spark)
