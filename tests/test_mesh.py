@@ -245,3 +245,40 @@ def test_refined_parts_find_clusters_and_keep_their_sizes(spark):
     assert inside(better) > 1.25 * inside(parts)
     none = parts.limit(0)
     assert partition.refine(none, edges, 2).count() == 0
+
+
+def test_order_edges_are_those_of_cells_and_short_orders(spark, tmp_path):
+    """Pairs of the ascending list, against the edges of all cells: long, short, lone and repeated parts."""
+    from fieldloom.operators import adjacency
+    from fieldloom.sources import tables
+
+    orders = {1: [5, 2, 9, 2, 7, 4, 1], 2: [3, 8], 3: [6], 4: [9, 4, 1], 5: [2, 4, 6, 8], 6: [7, 7], 7: [1, 2, 3, 4, 5, 6, 7, 8, 9]}
+    lines = [(o, p) for o, parts in orders.items() for p in parts]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf = str(tmp_path)
+    cells, short = adjacency.from_cells(tables.order_cells(spark, sf, 4), 4), adjacency.from_pairs(tables.short_pairs(spark, sf))
+    expected = sorted(map(tuple, cells.unionByName(short).distinct().collect()))
+    one_way = tables.order_edges(spark, sf)
+    assert sorted(map(tuple, adjacency.both_ways(one_way).collect())) == expected
+    assert all(r.src < r.dst for r in one_way.collect())
+
+
+def test_decoding_takes_other_columns_along(spark):
+    """The encoder's values ride with the blob, unread, so nothing is joined to compare them; windows without a join by variable."""
+    from fieldloom.plans import levels, sweeps
+
+    n, steps, batch = 40, 5, 3
+    wide = spark.createDataFrame([(i, [float(i + t) for t in range(steps)], [float(i * t % 7) for t in range(steps)]) for i in range(n)], "vid bigint, a array<float>, b array<float>")
+    rows = sweeps.windows_of(wide, ("a", "b"), steps, batch)
+    long = wide.selectExpr("vid", "stack(2, 'a', a, 'b', b) as (var, vals)")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, sweeps.rows_of(long, ("a", "b"), steps, batch).collect()))
+    pairs = [(i, j, float(abs(i - j))) for i in range(n) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n]
+    edges = sweeps.causal_edges(spark.createDataFrame(pairs, "src bigint, dst bigint, dist double"), 2)
+    bounds = sweeps.bounds_of(rows, 1e-2)
+    blob = sweeps.compress(rows, edges, bounds, 2).withColumnRenamed("decs", "first")
+    back = sweeps.decompress(blob, edges, bounds, 2).collect()
+    assert len(back) == 2 * n and all(r.first == r.decs and r.q for r in back)
+    seated = rows.withColumn("place", rows.vid)
+    blob = levels.compress(seated, n, bounds).withColumnRenamed("decs", "first")
+    back = levels.decompress(blob, n, bounds).collect()
+    assert len(back) == 2 * n and all(r.first == r.decs and r.q for r in back)
