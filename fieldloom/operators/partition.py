@@ -64,13 +64,12 @@ def refine(parts: DataFrame, edges: DataFrame, rounds: int, slack: float = 0.05)
         return parts
     mean = total[0] / total[1]
     most, least = math.ceil(mean * (1 + slack)), math.floor(mean * (1 - slack))
-    half = F.floor(F.pmod(F.pmod(F.col("vid"), F.lit(1 << 31)) * F.lit(MULTIPLIER), F.lit(MODULUS)) / F.lit(MODULUS // 2))
+    half = F.floor(F.pmod(F.pmod(F.col("src"), F.lit(1 << 31)) * F.lit(MULTIPLIER), F.lit(MODULUS)) / F.lit(MODULUS // 2))
     for r in range(rounds):
-        movable = parts.where(half == r % 2)
-        near = edges.join(movable.select(F.col("vid").alias("src"), F.col("part").alias("own")), "src").join(
-            parts.select(F.col("vid").alias("dst"), "part"), "dst"
-        )
-        counts = near.groupBy(F.col("src").alias("vid"), "own", "part").agg(F.count(F.lit(1)).alias("n"))
+        # edges of vertices that may move meet the other end's part; the own part joins the counts
+        near = edges.where(half == r % 2).join(parts.select(F.col("vid").alias("dst"), "part"), "dst")
+        votes = near.groupBy(F.col("src").alias("vid"), "part").agg(F.count(F.lit(1)).alias("n"))
+        counts = votes.join(parts.withColumnRenamed("part", "own"), "vid")
         other = F.max(F.when(F.col("part") != F.col("own"), F.struct("n", (-F.col("part")).alias("part"))))
         mine = F.coalesce(F.max(F.when(F.col("part") == F.col("own"), F.col("n"))), F.lit(0))
         asks = counts.groupBy("vid", "own").agg(other.alias("best"), mine.alias("mine"))

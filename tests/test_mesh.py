@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.operators import adjacency, components, neighbours, partition, permute, ranking, traverse
 
@@ -282,3 +283,19 @@ def test_decoding_takes_other_columns_along(spark):
     blob = levels.compress(seated, n, bounds).withColumnRenamed("decs", "first")
     back = levels.decompress(blob, n, bounds).collect()
     assert len(back) == 2 * n and all(r.first == r.decs and r.q for r in back)
+
+
+def test_refinement_exchanges_edges_of_movable_vertices_once(spark, monkeypatch):
+    """The edges meet the other end's part only; the own part joins the counts."""
+    from fieldloom.operators import partition
+
+    plans, kept = [], partition.materialize
+    monkeypatch.setattr(partition, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or kept(df, name))
+    parts = kept(spark.createDataFrame([(i, i // 4) for i in range(12)], "vid bigint, part bigint"), "few-parts")
+    pairs = spark.createDataFrame([(i, (i * 5 + 1) % 12) for i in range(12) if i != (i * 5 + 1) % 12], "src bigint, dst bigint").withColumn("mark", F.lit("edge-row"))
+    assert partition.refine(parts, pairs, 2).count() == 12
+    for plan in plans:
+        lines = plan.splitlines()
+        at = next(i for i, line in enumerate(lines) if "edge-row" in line)
+        above = [line for line in lines[:at] if "Join" in line and "src#" in line]
+        assert not above, above  # no join by src over the edges
