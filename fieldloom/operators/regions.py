@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.components import components
 from fieldloom.operators.ranking import as_of, grouped_lag, grouped_running_sum, with_rank
-from fieldloom.session import materialize
+from fieldloom.session import materialize, sorted_side
 
 
 def level_set_starts(field: DataFrame, eb: float) -> DataFrame:
@@ -59,11 +59,11 @@ class Decomposition:
 
 def label_regions(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, val, set_id, rid): components inside each set, numbered by (set, smallest id)."""
-    s = sets.select(F.col("vid").alias("src"), F.col("set_id").alias("ss"))
-    d = sets.select(F.col("vid").alias("dst"), F.col("set_id").alias("sd"))
+    s = sorted_side(sets.select(F.col("vid").alias("src"), F.col("set_id").alias("ss")))
+    d = sorted_side(sets.select(F.col("vid").alias("dst"), F.col("set_id").alias("sd")))
     inside = edges.join(s, "src").join(d, "dst").where("ss = sd").select("src", "dst")
     roots = components(sets.select("vid"), inside)
-    placed = sets.join(roots, "vid")
+    placed = sets.join(sorted_side(roots), "vid")
     numbered = with_rank(placed.where("vid = root").select("set_id", "root"), ["set_id", "root"], "rid")
     return placed.join(numbered.select("root", "rid"), "root").select("vid", "val", "set_id", "rid")
 
@@ -76,18 +76,18 @@ def region_means(labels: DataFrame) -> DataFrame:
 
 def boundary_vertices(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, rid) of vertices with a neighbour in another region."""
-    s = labels.select(F.col("vid").alias("src"), F.col("rid").alias("rs"))
-    d = labels.select(F.col("vid").alias("dst"), F.col("rid").alias("rd"))
+    s = sorted_side(labels.select(F.col("vid").alias("src"), F.col("rid").alias("rs")))
+    d = sorted_side(labels.select(F.col("vid").alias("dst"), F.col("rid").alias("rd")))
     cut = edges.join(s, "src").join(d, "dst").where("rs <> rd")
     return cut.select(F.col("src").alias("vid"), F.col("rs").alias("rid")).distinct()
 
 
 def interior_components(vertices: DataFrame, boundary: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, root) over the vertices that are not on a boundary."""
-    interior = vertices.select("vid").join(boundary.select("vid"), "vid", "left_anti")
+    interior = vertices.select("vid").join(sorted_side(boundary.select("vid")), "vid", "left_anti")
     interior = materialize(interior, "interior")
-    kept = edges.join(interior.withColumnRenamed("vid", "src"), "src", "left_semi").join(
-        interior.withColumnRenamed("vid", "dst"), "dst", "left_semi"
+    kept = edges.join(sorted_side(interior.withColumnRenamed("vid", "src")), "src", "left_semi").join(
+        sorted_side(interior.withColumnRenamed("vid", "dst")), "dst", "left_semi"
     )
     return components(interior, kept)
 

@@ -299,3 +299,15 @@ def test_refinement_exchanges_edges_of_movable_vertices_once(spark, monkeypatch)
         at = next(i for i, line in enumerate(lines) if "edge-row" in line)
         above = [line for line in lines[:at] if "Join" in line and "src#" in line]
         assert not above, above  # no join by src over the edges
+
+
+def test_rounds_send_no_vertex_table_through_the_driver(spark, monkeypatch):
+    """Labels of vertices are joined by exchange, however small their files are."""
+    from fieldloom.operators import components as cc
+
+    plans, kept = [], cc.materialize
+    monkeypatch.setattr(cc, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    vertices = spark.range(30).withColumnRenamed("id", "vid")
+    pairs = spark.createDataFrame([(i, i + 2) for i in range(28)], "src bigint, dst bigint")
+    assert {r.root for r in cc.components(vertices, pairs).collect()} == {0, 1}
+    assert len(plans) > 4 and not any("BroadcastExchange" in p for p in plans)
