@@ -72,7 +72,7 @@ def _transform_report(spark, sf, order: traverse.Order) -> DataFrame:
     laid, b = fq.laid_field(spark, sf, order), fq.bounds(spark, sf)
     blob = tables.once(spark, sf, f"blob-transform-{order.name}", lambda: transform.compress(laid, b))
     decoded = transform.decompress(blob, b)
-    return blocks.bound_report(transform.paired(laid, decoded, b, fq.BATCH))
+    return blocks.bound_report(blocks.paired(laid, decoded, b, fq.BATCH))
 
 
 @query(fq.REPORT)

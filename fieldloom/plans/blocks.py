@@ -82,15 +82,18 @@ def lay_out_field(field: DataFrame, mesh: DataFrame, steps: int, batch: int) ->
 
     The one join by vertex; afterwards a block job needs a single shuffle.
     """
+    placed = field.join(mesh.select("vid", "part", "slot"), "vid")
+    return windows(placed.select("part", "var", "slot", "vid", "vals"), steps, batch).select("part", "tb", "var", "slot", "vid", "vals")
+
+
+def windows(field: DataFrame, steps: int, batch: int) -> DataFrame:
+    """Rows with an array ``vals`` of all steps, cut into time windows ``tb`` of ``batch`` steps."""
     longest = field.agg(F.max(F.size("vals"))).first()[0]
     if longest is not None and longest > steps:
         raise ValueError(f"the field has {longest} steps, not {steps}")
-    windows = F.sequence(F.lit(0), F.lit((steps - 1) // batch))
-    placed = field.join(mesh.select("vid", "part", "slot"), "vid")
-    return placed.select("part", "var", "slot", "vid", "vals", F.explode(windows).alias("tb")).select(
-        "part", "tb", "var", "slot", "vid",
-        F.slice("vals", F.col("tb") * batch + 1, F.lit(batch)).alias("vals"),
-    )
+    starts = F.sequence(F.lit(0), F.lit((steps - 1) // batch))
+    part = F.slice("vals", F.col("tb") * batch + 1, F.lit(batch)).alias("vals")
+    return field.withColumn("tb", F.explode(starts)).select(*[c for c in field.columns if c != "vals"], "tb", part)
 
 
 def step_bounds(laid: DataFrame, eb: float, relative: bool = True, sentinel: float | None = SENTINEL) -> DataFrame:

@@ -101,15 +101,14 @@ class MeshWorkflow:
         )
 
     def decompress(self, blob: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-        """(part, tb, var, slot, vid, decs), or long rows for "transform" blobs."""
+        """(part, tb, var, slot, vid, decs); "transform" blobs give no vid."""
         if "method" not in blob.columns:
             return transform.decompress(blob, bounds)
         return blocks.decompress(blob, self.mesh, self.steps, self.batch)
 
     def pairs(self, laid: DataFrame, decoded: DataFrame, bounds: DataFrame) -> DataFrame:
         """(var, t, vid, val, dec, eb)."""
-        join = blocks.paired if "decs" in decoded.columns else transform.paired
-        return join(laid, decoded, bounds, self.batch)
+        return blocks.paired(laid, decoded, bounds, self.batch)
 
     def _once(self, name: str, build) -> DataFrame:
         if name not in self.kept:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from fieldloom import SENTINEL
 from fieldloom.operators import adjacency, critical, masks, neighbours, regions, regression, stats, traverse
-from fieldloom.plans import blocks
+from fieldloom.functions import entropy
+from fieldloom.plans import blocks, transform
 from fieldloom.plans import critical as cp
 from fieldloom.plans.workflow import MeshWorkflow
 from fieldloom.session import materialize, scratch_dir
@@ -488,3 +489,36 @@ def test_masked_series_equal_the_masks_step_by_step(spark, monkeypatch):
         for t in range(steps):
             pred = SENTINEL if vals[r.vid][t] == SENTINEL else r.preds[t] if r.preds else 0.0
             assert abs(pred - expected[t, r.vid]) < 1e-9
+
+
+def test_transform_moves_windows_and_agrees_with_its_columns(spark):
+    """Blobs hold what the column expressions give, and decoding gives a row a slot, not a row a sample."""
+    rng = np.random.default_rng(5)
+    vals = {("a", p): rng.normal(size=(n, 3)).astype(np.float32) for p, n in ((0, 9), (1, 1), (2, 4))}
+    vals["b", 0] = (rng.normal(size=(9, 3)) * [1e30, 1.0, 1.0]).astype(np.float32)
+    vals["b", 0][2, 1], vals["b", 0][5, 2] = np.nan, np.inf
+    rows = [(p, 0, v, s, 100 * p + s, [float(x) for x in x[s]]) for (v, p), x in vals.items() for s in range(len(x))]
+    laid = spark.createDataFrame(rows, "part bigint, tb int, var string, slot int, vid bigint, vals array<float>")
+    b = spark.createDataFrame([("a", 0, [0.25, 0.0, None]), ("b", 0, [1e-9, 0.5, 0.5])], "var string, tb int, eb array<double>")
+    blob = materialize(transform.compress(laid, b), "blob")
+    expected = {}
+    for r in transform.encode_blocks(laid, b).orderBy("i", "block").collect():
+        expected.setdefault((r.var, r.part), []).append(r)
+    found = blob.collect()
+    assert len(found) == len(expected)
+    for r in found:
+        bits, raw, *coded = entropy.unpack(r.payload)
+        want = expected[r.var, r.part]
+        verbatim = [w.q0 is None for w in want]
+        assert r.n * r.steps == len(want) and np.unpackbits(np.frombuffer(bits, np.uint8), count=len(want)).astype(bool).tolist() == verbatim
+        for k in range(4):
+            assert entropy.huffman_decode(coded[k]).tolist() == [w[f"q{k}"] for w in want if w.q0 is not None]
+        kept = np.array([[w[f"r{k}"] for w in want if w.q0 is None] for k in range(4)], np.float32)
+        assert np.array_equal(np.frombuffer(raw, np.float32), kept.ravel(), equal_nan=True)
+    decoded = transform.decompress(blob, b)
+    assert decoded.count() == sum(4 * -(-len(x) // 4) for x in vals.values())
+    for r in blocks.paired(laid, decoded, b, 3).collect():
+        if r.eb is None or not np.isfinite(r.val):
+            assert r.dec == r.val or (np.isnan(r.dec) and np.isnan(r.val))
+        else:
+            assert abs(r.dec - r.val) <= r.eb
