@@ -2,19 +2,25 @@
 
 Two texts with a Jaccard similarity of at least ``SIMILAR`` share a shingle among the first
 n - ceil(SIMILAR n) + 1 of each, in any common order of shingles (prefix filter). So every
-distinct set of shingles goes to the keys of its prefix, in the order of their hashes. Under
-a key, sets meet in pairs; pairs pass if their sizes allow the similarity and their
-fingerprints differ in at most ``MOST_BITS``, and what passes is verified on the whole sets.
-
-A key of more than ``PAIRWISE`` sets is a passage that many texts share, or a large group of
-near copies. Its members meet the smallest sets of ``PIVOTS`` classes of the key, so the
-work stays linear and a group of near copies, whose keys have the same pivots, is joined
-over them. Two texts that share no smaller key and no pivot's similarity stay apart.
+distinct set of shingles goes to the keys of its prefix, in the order of their hashes, but with
+popular shingles last: a passage that many texts share is a key only of texts that hold little
+else. Which shingles count as popular is read from a sample; any choice gives the same links.
+Under a key, sets meet in pairs; pairs pass if their sizes and their counts of shingles by leading
+bits of the hash allow the similarity (both are bounds that no similar pair misses), and what
+passes is verified on the whole sets.
+
+A key of more than ``PAIRWISE`` sets is still a popular one, or a large group of near copies. Its
+members first meet the smallest sets of ``PIVOTS`` classes of the key, and links join components.
+Then every member outside the key's largest component meets all members of other components, by
+bands of sizes. So all similar pairs are links, or lie in one component: nothing is left out. A
+group of near copies is joined over its pivots and costs linear work; only members of a popular
+key that are unlike meet in pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from fieldloom.llm.common import mix64, slices, span_hashes, utf8, word_spans
+from fieldloom.operators.components import components
 from fieldloom.session import materialize
 
 SEED = 42
@@ -32,10 +39,15 @@ SHINGLE = 3
 WORDS = 5
 """Words of a shingle of the similarity."""
 SIMILAR = 0.8
-MOST_BITS = 22
-"""Pairs at the similarity differ in about 10 of 64 bits, with a standard deviation of 3."""
 PAIRWISE = 32
 PIVOTS = 8
+POPULAR = 1 << 16
+"""Most shingles that are put last."""
+SAMPLED = 32
+"""One set in so many is searched for them; a shingle counts from OFTEN of these sets on."""
+OFTEN = 3
+BAND = math.log(1.26)
+"""Sizes of similar sets differ by a factor of 1.25 at most: in neighbouring bands."""
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -107,19 +119,74 @@ def signature(texts: Column) -> Column:
     return _signatures(texts)
 
 
+def _per_text(texts: DataFrame, rows: Callable[[list[np.ndarray], pa.Array], dict], schema: str) -> DataFrame:
+    """``rows`` of the shingle sets of texts (set, text), slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at, _ = utf8(batch.column("text"))
+            for lo, hi in slices(at):
+                yield pa.RecordBatch.from_pydict(rows(shingle_sets(raw, at, lo, hi), batch.column("set")[lo:hi]))
+
+    return texts.select("set", "text").mapInArrow(run, schema)
+
+
+def _lists(values: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
+
+
+def _popular(texts: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many of the sampled sets hold, ascending; at most POPULAR."""
+    some = texts.where(F.pmod("set", F.lit(SAMPLED)) == 0).dropDuplicates(["set"])
+    held = _per_text(some, lambda sets, _: {"key": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)}, "key long")
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    top = counts.orderBy(F.desc("n"), "key").limit(POPULAR).select("key").toArrow()
+    return np.sort(top.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def described(texts: DataFrame, popular: np.ndarray) -> DataFrame:
+    """(set, n, counts, prefix) of every text (set, text): the set's name and size, its shingles by
+    the first six bits of their hash, and the prefix of the order that has ``popular`` ones last."""
+
+    def last(s: np.ndarray) -> np.ndarray:
+        if not len(popular):
+            return np.zeros(len(s), bool)
+        return popular[np.minimum(np.searchsorted(popular, s), len(popular) - 1)] == s
+
+    def rows(sets: list[np.ndarray], names: pa.Array) -> dict:
+        counts, prefixes = [], []
+        for s in sets:
+            counts.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 127).astype(np.int8))
+            hot = last(s)
+            prefixes.append(np.concatenate([s[~hot], s[hot]])[: len(s) - -(-len(s) * 4 // 5) + 1].view(np.int64))
+        return {"set": names, "n": np.array([len(s) for s in sets], np.int64), "counts": _lists(counts, np.int8), "prefix": _lists(prefixes, np.int64)}
+
+    return _per_text(texts, rows, "set long, n long, counts array<tinyint>, prefix array<long>")
+
+
 def _passes(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members whose sizes and fingerprints allow the similarity."""
+    """Pairs (a, b) of members whose sizes and counts allow the similarity.
+
+    At a similarity of 0.8 or more, at most a ninth of all shingles are in one set only, and counts
+    by any rule cannot differ by more.
+    """
     sizes = F.least("a.n", "b.n") * 5 >= F.greatest("a.n", "b.n") * 4
-    bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS
-    return pairs.where(sizes & bits).select(F.least("a.set", "b.set").alias("src"), F.greatest("a.set", "b.set").alias("dst"))
+    apart = F.aggregate(F.zip_with("a.counts", "b.counts", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, v: s + v)
+    fits = pairs.where(sizes).where(apart * 9 <= F.col("a.n") + F.col("b.n"))
+    return fits.select(F.least("a.set", "b.set").alias("src"), F.greatest("a.set", "b.set").alias("dst"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(src, dst): pairs of sets (set, fp, n, prefix) to verify."""
-    keys = sets.select("set", "fp", "n", F.explode("prefix").alias("key"))
+def _members(sets: DataFrame) -> DataFrame:
+    """(key, m, s): the sets of every key that m > 1 sets share; s is (set, n, counts)."""
+    keys = sets.select("set", F.explode("prefix").alias("key"))
     counts = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shingle-keys")
-    members = materialize(keys.join(counts, "key").select("key", "m", F.struct("set", "fp", "n").alias("s")), "shingle-members")
-    few, many = members.where(F.col("m") <= PAIRWISE), members.where(F.col("m") > PAIRWISE)
+    shared = keys.join(counts, "key")  # ids alone are exchanged; sizes and counts join those that are left
+    return materialize(shared.join(sets.select("set", "n", "counts"), "set").select("key", "m", F.struct("set", "n", "counts").alias("s")), "shingle-members")
+
+
+def _first_meetings(few: DataFrame, many: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of small keys, and the members of large ones with the key's pivots."""
     a, b = few.select("key", F.col("s").alias("a")), few.select("key", F.col("s").alias("b"))
     pairs = a.join(b, "key").where("a.set < b.set")
     kind = F.pmod(F.col("s.set"), F.lit(PIVOTS))
@@ -128,24 +195,49 @@ def candidates(sets: DataFrame) -> DataFrame:
     return _passes(pairs).unionByName(_passes(stars)).distinct()
 
 
+def _later_meetings(many: DataFrame, joined: DataFrame) -> DataFrame:
+    """(src, dst): pairs of large keys whose ends are not yet joined by the links ``joined``.
+
+    Of two sets in different components one at least is outside the key's largest component.
+    """
+    ends = joined.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    roots = components(ends, joined).select(F.col("vid").alias("set"), "root")
+    placed = many.select("key", "s", F.col("s.set").alias("set")).join(roots, "set", "left").select("key", "s", F.coalesce("root", "set").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    band = F.floor(F.log(F.col("s.n").cast("double")) / F.lit(BAND))
+    split = materialize(placed.join(tops.select("key", F.col("top.root").alias("top")), "key").withColumn("band", band), "shingle-split")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    a = split.where("root <> top").select("key", near, F.col("s").alias("a"), F.col("root").alias("ra"))
+    b = split.select("key", "band", F.col("s").alias("b"), F.col("root").alias("rb"))
+    return _passes(a.join(b, ["key", "band"]).where("ra <> rb")).distinct()
+
+
 def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst) between names of sets of similarity SIMILAR or more, verified on whole sets.
+    """(src, dst) between names of sets of similarity SIMILAR or more, verified on whole sets: all such
+    pairs, but for those under large keys that other links join already.
 
-    ``rows`` are (fp, set, n, prefix) of all texts, ``texts`` (set, text).
+    ``rows`` are (set, n) of all texts, ``texts`` (set, text).
     """
-    sets = materialize(rows.where("n > 0").groupBy("set").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-sets")
-    pairs = materialize(candidates(sets), "shingle-pairs")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
-    one_text = texts.join(ends, "set", "left_semi").groupBy("set").agg(F.min("text").alias("text"))
+    if rows.where("n > 0").isEmpty():  # no text has a word
+        return rows.select(F.col("set").alias("src"), F.col("set").alias("dst")).limit(0)
+    worded = texts.where("set <> 0")
+    each = described(worded, _popular(worded)).groupBy("set")
+    members = _members(materialize(each.agg(*[F.first(c).alias(c) for c in ("n", "counts", "prefix")]), "shingle-sets"))
+    few, many = members.where(F.col("m") <= PAIRWISE), members.where(F.col("m") > PAIRWISE)
+    found = materialize(_verified(_first_meetings(few, many), worded), "shingle-links")
+    if many.isEmpty():
+        return found
+    return found.unionByName(_verified(_later_meetings(many, found), worded)).distinct()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at, _ = utf8(batch.column("text"))
-            for lo, hi in slices(at):
-                found = shingle_sets(raw, at, lo, hi)
-                yield pa.RecordBatch.from_arrays([batch.column("set")[lo:hi], pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "all"])
 
-    whole = materialize(one_text.mapInArrow(hashed, "set long, all binary"), "shingle-whole")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of sets that have the similarity, by the whole sets of their texts."""
+    pairs = materialize(pairs, "shingle-pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
+    one_text = texts.join(ends, "set", "left_semi").groupBy("set").agg(F.min("text").alias("text"))
+    hashed = _per_text(one_text, lambda sets, names: {"set": names, "all": pa.array([s.tobytes() for s in sets], pa.binary())}, "set long, all binary")
+    whole = materialize(hashed, "shingle-whole")
     both = pairs.join(whole.select(F.col("set").alias("src"), F.col("all").alias("a")), "src").join(whole.select(F.col("set").alias("dst"), F.col("all").alias("b")), "dst")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

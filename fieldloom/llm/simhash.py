@@ -157,12 +157,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tables stay empty.
     """
     uid, found = free_name(docs, "row"), free_name(docs, "signature")
-    marked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(found, shingles.signature(text(text_col)))
+    marked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(found, shingles.signature(text(text_col)).dropFields("prefix"))
     marked = materialize(marked, "simhash-marked")  # every text is read and hashed once
     rows = marked.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), f"{found}.*")
     prints = rows.select("fp").distinct()
     close = links(prints)
-    alike = shingles.links(rows.select("fp", "set", "n", "prefix"), marked.select(F.col(f"{found}.set").alias("set"), text(text_col).alias("text")))
+    alike = shingles.links(rows.select("set", "n"), marked.select(F.col(f"{found}.set").alias("set"), text(text_col).alias("text")))
     # a set of shingles and the fingerprints of its texts are vertices of one graph
     same = rows.where("set <> fp").select(F.col("fp").alias("src"), F.col("set").alias("dst")).distinct()
     one_way = close.unionByName(alike).unionByName(same)

@@ -199,3 +199,39 @@ def test_maps_and_structs_are_carried(spark):
     docs = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other")]).selectExpr("*", "map('k', doc_id) AS m", "named_struct('a', 1) AS `__row`")
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_every_near_copy_of_a_large_group_is_joined(spark):
+    """The rows that all pairs leave, where all keys of a group are hot and pivots alone leave 129 rows."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [*copies(rng, base, 300, 5), *(" ".join(f"o{i}x{j}" for j in range(50)) for i in range(20))]
+    roots = components([simhash.fingerprint(t.encode()) for t in texts], similar_pairs(texts))
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, list(enumerate(texts)))).collect())
+    assert kept == sorted(set(roots)) and len(kept) == 94
+
+
+@pytest.mark.parametrize("often", [3, 1])
+def test_pairs_under_hot_keys_only_are_joined(spark, monkeypatch, often):
+    """Short texts whose prefix is one shared passage, whatever is put last; fingerprints may differ in many bits."""
+    monkeypatch.setattr(shingles, "PAIRWISE", 3)
+    monkeypatch.setattr(shingles, "PIVOTS", 1)
+    monkeypatch.setattr(shingles, "SAMPLED", 1)
+    monkeypatch.setattr(shingles, "OFTEN", often)
+    rng = random.Random(4)
+    passage = " ".join(f"passage{i}" for i in range(24))
+    texts = []
+    for g in range(25):
+        own = [f"g{g}w{i}" for i in range(rng.choice([3, 9, 30]))]
+        texts += [" ".join([passage, *own, f"end{i}"]) for i in range(2)]
+    docs = documents(spark, list(enumerate(texts)))
+    marked = docs.select("text", shingles.signature(docs["text"]).alias("s")).select("text", "s.*").collect()
+    name = [next(r["set"] for r in marked if r.text == t) for t in texts]
+    rows = spark.createDataFrame([(r["set"], r.n, r.text) for r in marked], "set long, n long, text string")
+    found = {(r.src, r.dst) for r in shingles.links(rows, rows).collect()}
+    place = {n: i for i, n in enumerate(name)}
+    want = similar_pairs(texts)
+    assert {tuple(sorted((place[a], place[b]))) for a, b in found} <= want
+    apart = [1 << i for i in range(len(texts))]  # no fingerprint joins anything
+    apart = [a << 40 | a << 80 | a for a in apart]
+    assert components(apart, [(place[a], place[b]) for a, b in found]) == components(apart, want)
