@@ -42,7 +42,8 @@ def lay_out_mesh(
 
     Built once and reused by every field, step and method. Coordinates are
     centred per part; neighbours are the causal part-local ones, nearest first.
-    ``parts`` (vid, part) overrides the space-filling curve, e.g. for id ranges.
+    ``parts`` (vid, part) overrides the space-filling curve, e.g. for id ranges; edges
+    (part, src, dst) are those inside these parts already.
     """
     if parts is None:
         parts = partition.assign_parts(positions, part_size)

@@ -264,6 +264,33 @@ def test_order_edges_are_those_of_cells_and_short_orders(spark, tmp_path):
     assert all(r.src < r.dst for r in one_way.collect())
 
 
+def test_lines_meet_their_part_before_their_order(spark, tmp_path):
+    """Lengths and parts of edges come with the lines: the same edges as looked up afterwards, and no edge list is read for a layout."""
+    from fieldloom.catalogue import fields, mesh
+    from fieldloom.sources import tables
+
+    orders = {1: [5, 2, 9, 2, 7, 4, 1, None], 2: [3, 8], 3: [6], 4: [9, 4, 1, 99], 5: [2, 4, 6, 8], 6: [7, 7], 7: [1, 2, 3, 98, 5, 6, 7, 8, 9], None: [3, 5]}
+    lines = [(o, p) for o, parts in orders.items() for p in parts]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spots = [(v, v * 3 % 5, v * 1.7 % 4) for v in range(1, 10)]
+    spark.createDataFrame(spots, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    sf = str(tmp_path)
+    edges, pos = tables.order_edges(spark, sf), tables.positions(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    long = neighbours.with_distance(edges, pos)
+    for by in ("src", "dst"):
+        assert rows(tables.order_distances(spark, sf, by)) == rows(long) != []
+    assert rows(mesh.earlier_near(spark, sf, 2)) == rows(neighbours.nearest(adjacency.causal(adjacency.both_ways(long)), 2))
+    parts = pos.selectExpr("vid", "vid % 2 as part")
+    inside = rows(adjacency.within_parts(edges, parts))
+    assert rows(tables.order_edges_inside(spark, sf, parts)) == inside != []
+    placed = pos.join(parts, "vid")
+    cut = adjacency.both_ways(tables.order_edges_inside(spark, sf, parts))
+    assert rows(adjacency.local_with_distance(cut, placed)) == rows(adjacency.local_with_distance(adjacency.both_ways(edges), placed))
+    fields.block_mesh(spark, sf)
+    assert (spark.sparkContext.applicationId, sf, "edges") not in tables._made
+
+
 def test_decoding_takes_other_columns_along(spark):
     """The encoder's values ride with the blob, unread, so nothing is joined to compare them; windows without a join by variable."""
     from fieldloom.plans import levels, sweeps
