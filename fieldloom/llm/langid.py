@@ -48,6 +48,8 @@ SHARPNESS = 8.0
 UND = "und"
 OTHER = 0xFFFF
 BLANK = 32
+SLICE = 1 << 18
+"""Bytes of text that one numpy step holds here: a character takes up to some hundred bytes on its way."""
 FLUSH = 1 << 20
 """Grams a counting task holds before it hands them on."""
 
@@ -125,7 +127,7 @@ def _count(batches):
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), object)
         raw, at, _ = utf8(batch.column(1))
-        for lo, hi in slices(at):
+        for lo, hi in slices(at, SLICE):
             keys, ends = grams(*normalise(*codepoints(raw, at, lo, hi))[:2])
             for lang in set(langs[lo:hi]):
                 mine = np.repeat(langs[lo:hi] == lang, np.diff(ends))
@@ -244,7 +246,7 @@ def own_scores(model: Model, counts: dict[str, tuple[np.ndarray, np.ndarray]], b
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), object)
         raw, at, _ = utf8(batch.column(1))
-        for lo, hi in slices(at):
+        for lo, hi in slices(at, SLICE):
             codes, offsets, letters = normalise(*codepoints(raw, at, lo, hi))
             keys, ends = grams(codes, offsets)
             n = np.diff(ends)
@@ -342,7 +344,7 @@ def score_rows(model: Model, raw: np.ndarray, at: np.ndarray, valid: np.ndarray)
     entropy = np.full((rows, k), np.inf)
     letters = np.zeros(rows, np.int64)
     length = np.ones(rows)
-    for lo, hi in slices(at):
+    for lo, hi in slices(at, SLICE):
         codes, offsets, letters[lo:hi] = normalise(*codepoints(raw, at, lo, hi))
         keys, ends = grams(codes, offsets)
         distinct = np.unique(keys)

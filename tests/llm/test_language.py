@@ -155,3 +155,28 @@ def test_no_gram_is_left_out_of_a_large_model(spark):
     assert len(want) > 1_000_000
     model = langid.train(documents(spark, [(i, t, "zh") for i, t in enumerate(texts)]))
     assert len(model.tables[0][3][0]) == len(want)
+
+
+def test_memory_of_a_step_does_not_follow_the_batch():
+    """Counting and scoring a batch of long texts hold arrays for a slice of it, not for a megabyte of characters at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fieldloom.llm.common import utf8
+
+    words = ["lorem", "ipsum", "dolor", "sit", "amet"]
+    texts = [" ".join(words[(i * 7 + j * j) % 5] for j in range(400)) for i in range(1500)]
+    batch = pa.record_batch({"lang": ["xx"] * len(texts), "text": texts})
+    got = list(langid._count([batch]))
+    keys = np.concatenate([b.column(1).to_numpy().view(np.uint64) for b in got])
+    counts = {"xx": (np.sort(keys), np.concatenate([b.column(2).to_numpy() for b in got])[np.argsort(keys)])}
+    model = langid.build(counts)
+    raw, at, valid = utf8(batch.column(1))
+    for step in (lambda: list(langid._count([batch])), lambda: list(langid.own_scores(model, counts, [batch])), lambda: langid.score_rows(model, raw, at, valid)):
+        step()
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6
