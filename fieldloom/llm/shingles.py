@@ -6,8 +6,8 @@ distinct set of shingles goes to the keys of its prefix, in the order of their h
 popular shingles last: a passage that many texts share is a key only of texts that hold little
 else. Which shingles count as popular is read from a sample; any choice gives the same links.
 Under a key, sets meet in pairs; pairs pass if their sizes and their counts of shingles by leading
-bits of the hash allow the similarity (both are bounds that no similar pair misses), and what
-passes is verified on the whole sets.
+bits of the hash allow the similarity, first by 64 counts and then by about one a shingle (all of
+them bounds that no similar pair misses), and what passes is verified on the whole sets.
 
 A key of more than ``PAIRWISE`` sets is still a popular one, or a large group of near copies. Its
 members first meet the smallest sets of ``PIVOTS`` classes of the key, and links join components.
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldloom.llm.common import mix64, slices, span_hashes, utf8, word_spans
 from fieldloom.operators.components import components
@@ -46,6 +46,8 @@ POPULAR = 1 << 16
 SAMPLED = 32
 """One set in so many is searched for them; a shingle counts from OFTEN of these sets on."""
 OFTEN = 3
+SLICE = 1 << 18
+"""Text that one numpy step holds; the arrays over it are some forty times larger."""
 BAND = math.log(1.26)
 """Sizes of similar sets differ by a factor of 1.25 at most: in neighbouring bands."""
 
@@ -91,31 +93,24 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, lo: int, hi: int, words: int =
     return out
 
 
-SIGNATURE = StructType(
-    [StructField("fp", LongType()), StructField("set", LongType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType()))]
-)
-_ARROW = pa.struct([("fp", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
+SIGNATURE = StructType([StructField("fp", LongType()), StructField("set", LongType()), StructField("n", LongType())])
 
 
 @F.arrow_udf(SIGNATURE)
 def _signatures(texts: pa.Array) -> pa.Array:
     raw, at, _ = utf8(texts)
-    prints, names, sizes, prefixes = [], [], [], []
-    for lo, hi in slices(at):
+    prints, names, sizes = [], [], []
+    for lo, hi in slices(at, SLICE):
         for i, s in enumerate(shingle_sets(raw, at, lo, hi), lo):
             prints.append(fingerprint(raw[at[i] : at[i + 1]].tobytes()))
             names.append(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else np.uint64(0))
             sizes.append(len(s))
-            prefixes.append(s[: len(s) - -(-len(s) * 4 // 5) + 1].view(np.int64) if len(s) else s.view(np.int64))
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes], dtype=np.int64)]).astype(np.int32)
-    flat = np.concatenate([*prefixes, np.zeros(0, np.int64)]).astype(np.int64)
-    columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64))]
-    return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], fields=list(_ARROW))
+    columns = [np.array(prints, np.uint64).view(np.int64), np.array(names, np.uint64).view(np.int64), np.array(sizes, np.int64)]
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=SIGNATURE.names)
 
 
 def signature(texts: Column) -> Column:
-    """(fp, set, n, prefix): fingerprint, name and size of the set of shingles, and its prefix."""
+    """(fp, set, n): fingerprint, name and size of the set of shingles."""
     return _signatures(texts)
 
 
@@ -125,7 +120,7 @@ def _per_text(texts: DataFrame, rows: Callable[[list[np.ndarray], pa.Array], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at, _ = utf8(batch.column("text"))
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, SLICE):
                 yield pa.RecordBatch.from_pydict(rows(shingle_sets(raw, at, lo, hi), batch.column("set")[lo:hi]))
 
     return texts.select("set", "text").mapInArrow(run, schema)
@@ -145,9 +140,23 @@ def _popular(texts: DataFrame) -> np.ndarray:
     return np.sort(top.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """Shingles by the leading bits of their hash: about one count a shingle, of a byte each."""
+    bits = max(6, (len(s) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def fine_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """By how much the fine counts of two sets differ in all; the longer ones are added up to the shorter's."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    b = np.minimum(b.reshape(len(a), -1).sum(axis=1, dtype=np.int64), 255)
+    return int(np.abs(a.astype(np.int64) - b).sum())
+
+
 def described(texts: DataFrame, popular: np.ndarray) -> DataFrame:
-    """(set, n, counts, prefix) of every text (set, text): the set's name and size, its shingles by
-    the first six bits of their hash, and the prefix of the order that has ``popular`` ones last."""
+    """(set, n, counts, prefix, fine) of every text (set, text): the set's name and size, its shingles by
+    the first six bits of their hash, the prefix of the order that has ``popular`` ones last, and size
+    and fine counts as bytes."""
 
     def last(s: np.ndarray) -> np.ndarray:
         if not len(popular):
@@ -160,9 +169,10 @@ def described(texts: DataFrame, popular: np.ndarray) -> DataFrame:
             counts.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 127).astype(np.int8))
             hot = last(s)
             prefixes.append(np.concatenate([s[~hot], s[hot]])[: len(s) - -(-len(s) * 4 // 5) + 1].view(np.int64))
-        return {"set": names, "n": np.array([len(s) for s in sets], np.int64), "counts": _lists(counts, np.int8), "prefix": _lists(prefixes, np.int64)}
+        fine = pa.array([np.int64(len(s)).tobytes() + fine_counts(s).tobytes() for s in sets], pa.binary())
+        return {"set": names, "n": np.array([len(s) for s in sets], np.int64), "counts": _lists(counts, np.int8), "prefix": _lists(prefixes, np.int64), "fine": fine}
 
-    return _per_text(texts, rows, "set long, n long, counts array<tinyint>, prefix array<long>")
+    return _per_text(texts, rows, "set long, n long, counts array<tinyint>, prefix array<long>, fine binary")
 
 
 def _passes(pairs: DataFrame) -> DataFrame:
@@ -223,32 +233,45 @@ def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         return rows.select(F.col("set").alias("src"), F.col("set").alias("dst")).limit(0)
     worded = texts.where("set <> 0")
     each = described(worded, _popular(worded)).groupBy("set")
-    members = _members(materialize(each.agg(*[F.first(c).alias(c) for c in ("n", "counts", "prefix")]), "shingle-sets"))
+    sets = materialize(each.agg(*[F.first(c).alias(c) for c in ("n", "counts", "prefix", "fine")]), "shingle-sets")
+    members = _members(sets)
     few, many = members.where(F.col("m") <= PAIRWISE), members.where(F.col("m") > PAIRWISE)
-    found = materialize(_verified(_first_meetings(few, many), worded), "shingle-links")
+    found = materialize(_verified(_first_meetings(few, many), sets, worded), "shingle-links")
     if many.isEmpty():
         return found
-    return found.unionByName(_verified(_later_meetings(many, found), worded)).distinct()
+    return found.unionByName(_verified(_later_meetings(many, found), sets, worded)).distinct()
+
+
+def _holding(pairs: DataFrame, sides: DataFrame, good: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (src, dst) for which ``good`` holds on the ``data`` of both ends in ``sides`` (set, data)."""
+    both = pairs.join(sides.select(F.col("set").alias("src"), F.col("data").alias("a")), "src").join(sides.select(F.col("set").alias("dst"), F.col("data").alias("b")), "dst")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [good(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"))]
+            yield batch.select(["src", "dst"]).filter(pa.array(kept, pa.bool_()))
 
+    return both.select("src", "dst", "a", "b").mapInArrow(held, "src long, dst long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of sets that have the similarity, by the whole sets of their texts.
+
+    Fine counts go first: an eighth of a set's size, and they leave hardly any pair that is not similar.
+    """
+
+    def fits(a: bytes, b: bytes) -> bool:
+        n = sum(int(np.frombuffer(x, np.int64, 1)[0]) for x in (a, b))
+        return fine_apart(*(np.frombuffer(x, np.uint8, offset=8) for x in (a, b))) * 9 <= n
+
+    def similar(a: bytes, b: bytes) -> bool:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 5 * both >= 4 * (len(a) + len(b) - both)
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of sets that have the similarity, by the whole sets of their texts."""
     pairs = materialize(pairs, "shingle-pairs")
+    pairs = materialize(_holding(pairs, sets.select("set", F.col("fine").alias("data")), fits), "shingle-near")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("set")).distinct()
     one_text = texts.join(ends, "set", "left_semi").groupBy("set").agg(F.min("text").alias("text"))
-    hashed = _per_text(one_text, lambda sets, names: {"set": names, "all": pa.array([s.tobytes() for s in sets], pa.binary())}, "set long, all binary")
-    whole = materialize(hashed, "shingle-whole")
-    both = pairs.join(whole.select(F.col("set").alias("src"), F.col("all").alias("a")), "src").join(whole.select(F.col("set").alias("dst"), F.col("all").alias("b")), "dst")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"))):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                at = np.searchsorted(a, b)
-                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                good[i] = 5 * both >= 4 * (len(a) + len(b) - both)
-            kept = batch.select(["src", "dst"]).filter(pa.array(good))
-            yield kept
-
-    return both.select("src", "dst", "a", "b").mapInArrow(verified, "src long, dst long")
+    hashed = _per_text(one_text, lambda sets, names: {"set": names, "data": pa.array([s.tobytes() for s in sets], pa.binary())}, "set long, data binary")
+    return _holding(pairs, materialize(hashed, "shingle-whole"), similar)

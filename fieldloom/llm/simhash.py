@@ -27,7 +27,7 @@ from fieldloom.llm import shingles
 from fieldloom.llm.common import free_name, text, utf8
 from fieldloom.llm.shingles import SEED, SHINGLE, fingerprint  # noqa: F401
 from fieldloom.operators.components import components
-from fieldloom.session import materialize
+from fieldloom.session import materialize, spread
 
 DISTANCE = 2
 HALF = 32
@@ -87,7 +87,11 @@ def _expanded(members: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(src, dst) between distinct fingerprints ``fp``: enough links to join all that are
-    within DISTANCE bits of one another, each of them verified or linked by construction."""
+    within DISTANCE bits of one another, each of them verified or linked by construction.
+
+    A fingerprint has 66 keys, so few bytes of them make much work: they are dealt to all tasks.
+    """
+    prints = spread(prints, "fp")
     keys = materialize(
         _variants(prints)
         .groupBy("key")
@@ -157,10 +161,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tables stay empty.
     """
     uid, found = free_name(docs, "row"), free_name(docs, "signature")
-    marked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(found, shingles.signature(text(text_col)).dropFields("prefix"))
+    marked = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(found, shingles.signature(text(text_col)))
     marked = materialize(marked, "simhash-marked")  # every text is read and hashed once
     rows = marked.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), f"{found}.*")
-    prints = rows.select("fp").distinct()
+    prints = materialize(rows.select("fp").distinct(), "simhash-prints")
     close = links(prints)
     alike = shingles.links(rows.select("set", "n"), marked.select(F.col(f"{found}.set").alias("set"), text(text_col).alias("text")))
     # a set of shingles and the fingerprints of its texts are vertices of one graph

@@ -2,6 +2,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -235,3 +236,51 @@ def test_pairs_under_hot_keys_only_are_joined(spark, monkeypatch, often):
     apart = [1 << i for i in range(len(texts))]  # no fingerprint joins anything
     apart = [a << 40 | a << 80 | a for a in apart]
     assert components(apart, [(place[a], place[b]) for a, b in found]) == components(apart, want)
+
+
+def test_fine_counts_bound_what_two_sets_do_not_share():
+    """Never more than the shingles in one set only, at sizes that need folding and at counts beyond a byte."""
+    rng = np.random.default_rng(5)
+    for n, few in [(1, 0), (70, 9), (64, 6), (65, 8), (1030, 90), (4000, 700)]:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        b = np.unique(np.concatenate([a[few:], rng.integers(0, 2**64, few // 2, np.uint64, endpoint=False)]))
+        for x, y in [(a, b), (a >> np.uint64(30), b >> np.uint64(30))]:  # all under one count, too
+            x, y = np.unique(x), np.unique(y)
+            apart = len(np.setxor1d(x, y))
+            assert shingles.fine_apart(shingles.fine_counts(x), shingles.fine_counts(y)) <= apart
+    far = [np.unique(rng.integers(0, 2**64, 1500, np.uint64, endpoint=False)) for _ in range(2)]
+    assert shingles.fine_apart(*map(shingles.fine_counts, far)) * 9 > 2 * 1500 * 4
+
+
+def test_whole_sets_of_unlike_pairs_are_not_moved(spark, monkeypatch):
+    """Long texts that share a passage and little else meet under its keys; only similar ones are compared whole."""
+    whole = []
+    kept = shingles.materialize
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "shingle-whole":
+            whole.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "materialize", seen)
+    monkeypatch.setattr(shingles, "SAMPLED", 1 << 40)  # nothing is known as popular
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = [passage + " " + " ".join(f"o{i}x{j}" for j in range(1200)) for i in range(12)]
+    texts += [texts[0] + " more"]
+    kept_ids = sorted(r.doc_id for r in simhash.keep_one(documents(spark, list(enumerate(texts)))).collect())
+    assert kept_ids == list(range(12)) and whole and whole[0] == 2
+
+
+def test_keys_of_few_fingerprints_are_dealt_to_all_tasks(spark, monkeypatch):
+    """A few kilobytes of fingerprints make sixty-six keys each: no task makes them all."""
+    tasks, made = [], simhash._variants
+
+    def variants(prints):
+        tasks.append(prints.rdd.getNumPartitions())
+        return made(prints)
+
+    monkeypatch.setattr(simhash, "_variants", variants)
+    docs = documents(spark, [(i, " ".join(f"o{i}x{j}" for j in range(20))) for i in range(50)])
+    assert simhash.keep_one(docs).count() == 50
+    assert tasks and set(tasks) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
