@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,11 +29,19 @@ class LocalMesh:
     slots: np.ndarray
     raw: np.ndarray  # inverse distances
     pos: np.ndarray  # n x d
+    _nearest: dict = field(default_factory=dict, repr=False)
 
     @property
     def n(self) -> int:
         return len(self.starts) - 1
 
+    def nearest(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """``table`` of all neighbours and its ``fronts``: made once, for all fields of the part."""
+        if k not in self._nearest:
+            nbr, w = self.table(k)
+            self._nearest[k] = nbr, w, fronts(nbr, w > 0)
+        return self._nearest[k]
+
     def table(self, k: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """n x k neighbour slots and normalized weights of the first k kept neighbours."""
         owner = np.repeat(np.arange(self.n), np.diff(self.starts))
@@ -146,11 +155,11 @@ def blend(nbr: np.ndarray, w: np.ndarray, dec: np.ndarray, rows: np.ndarray) ->
 
 def scan_neighbours(job: Job, coder, cols=None, scale: float = 1.0) -> np.ndarray:
     """Inverse-distance prediction; no neighbours predicts zero."""
-    nbr, w = job.mesh.table(job.k)
+    nbr, w, order = job.mesh.nearest(job.k)
     cols = slice(None) if cols is None else cols
     width = np.arange(coder.shape[1])[cols]
     dec = np.zeros((job.mesh.n, len(width)), np.float32)
-    for rows in fronts(nbr, w > 0):
+    for rows in order:
         dec[rows] = coder.code(rows, blend(nbr, w, dec, rows), cols, scale)
     return dec
 
@@ -196,13 +205,12 @@ def scan_kriged(job: Job, coder) -> np.ndarray:
     Vertices with fewer than ``min_neighbors`` neighbours, or an unusable system,
     keep inverse-distance weights; the weights serve all steps of the block.
     """
-    nbr, w = job.mesh.table(job.k)
+    nbr, w, order = job.mesh.nearest(job.k)
     count = (w > 0).sum(1)
     lam = w.copy()
     fewest = max(int(job.options["min_neighbors"]), 3)
     coder.facts["kriging_share"] = float((count >= fewest).mean())
     dec = np.zeros(coder.shape, np.float32)
-    order = fronts(nbr, w > 0)
     head, tail = np.arange(1), np.arange(1, coder.shape[1])
     for rows in order:
         for m in range(fewest, job.k + 1):
@@ -223,6 +231,7 @@ def scan_kriged(job: Job, coder) -> np.ndarray:
     return dec
 
 
+@lru_cache(8)
 def interpolation_plan(n: int) -> list[tuple[float, list[tuple[np.ndarray, list[tuple[int, float]]]]]]:
     """Levels of a 1-D interpolation over n slots.
 
@@ -279,13 +288,19 @@ def _trial_size(x: np.ndarray, eb: np.ndarray, scan, job: Job) -> list[int]:
 def scan_adaptive(job: Job, coder) -> np.ndarray:
     """Per column the smaller of interpolation (0) and neighbours at half the bound (1)."""
 
-    def choose() -> np.ndarray:
-        by_interp = _trial_size(coder.x, coder.eb, scan_interpolated, job)
-        by_nbr = _trial_size(coder.x, coder.eb, scan_neighbours, job)
-        return np.packbits(np.asarray(by_nbr) <= np.asarray(by_interp))
-
-    flags = np.unpackbits(coder.note(choose), count=coder.shape[1]).astype(bool)
+    bits = coder.note(lambda: np.packbits(by_neighbours(job, coder.x, coder.eb)))
+    flags = np.unpackbits(bits, count=coder.shape[1]).astype(bool)
     coder.facts["interpolation_share"] = float((~flags).mean())
+    return _by_columns(job, coder, flags)
+
+
+def by_neighbours(job: Job, x: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Per column, whether neighbours take no more bytes than interpolation."""
+    by_interp = _trial_size(x, eb, scan_interpolated, job)
+    return np.asarray(_trial_size(x, eb, scan_neighbours, job)) <= np.asarray(by_interp)
+
+
+def _by_columns(job: Job, coder, flags: np.ndarray) -> np.ndarray:
     dec = np.zeros(coder.shape, np.float32)
     for cols, scan in ((np.flatnonzero(flags), "nbr"), (np.flatnonzero(~flags), "interp")):
         if len(cols):
@@ -303,3 +318,31 @@ SCANS = {
     "adaptive": scan_adaptive,
     "interpolated": scan_interpolated,
 }
+
+
+def written(method: str, job: Job, xs: list[np.ndarray], ebs: list[np.ndarray], fits: list[np.ndarray]) -> list[Writer]:
+    """A writer per field, each with its field scanned.
+
+    Neighbours and interpolation take every column for itself, so there all fields are one scan,
+    with as many numpy steps as a single field has.
+    """
+    writers = [Writer(x, eb) for x, eb in zip(xs, ebs)]
+    if method not in ("neighbours", "interpolated", "adaptive"):
+        for writer, fit in zip(writers, fits or [None] * len(xs)):
+            if fit is not None:
+                writer.note(lambda: fit)
+            SCANS[method](Job(job.mesh, job.k, job.options, fit), writer)
+        return writers
+    whole = Writer(np.hstack(xs), np.concatenate(ebs))
+    cuts = np.cumsum([x.shape[1] for x in xs])[:-1]
+    if method == "adaptive":
+        flags = by_neighbours(job, whole.x, whole.eb)
+        _by_columns(job, whole, flags)
+        for writer, mine in zip(writers, np.split(flags, cuts)):
+            writer.note(lambda: np.packbits(mine))
+            writer.facts["interpolation_share"] = float((~mine).mean())
+    else:
+        SCANS[method](job, whole)
+    for writer, q in zip(writers, np.split(whole.q, cuts, axis=1)):
+        writer.q = q
+    return writers

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import SENTINEL, schema
-from fieldloom.functions.blockscan import SCANS, Job, LocalMesh, Reader, Writer
+from fieldloom.functions.blockscan import SCANS, Job, LocalMesh, Reader, written
 from fieldloom.functions.scalars import compression_ratio, valid
 from fieldloom.operators import adjacency, neighbours, partition, traverse
 from fieldloom.operators.stats import absolute_bound
@@ -166,7 +166,6 @@ def compress(
                 F.lit(None).cast("array<float>").alias("vals"), "aux",
             )
         )
-    scan = SCANS[method]
     whole_lists = method == "masked"
     params = {"k": float(k), **{name: float(v) for name, v in options.items()}}
 
@@ -182,26 +181,19 @@ def compress(
                 mine = mine.slice(1)
             ebs.append(np.asarray(mine.column("aux")[0].as_py(), float))
             xs.append(_rows(mine.column("vals"), local.n, np.float32))
-        jobs = [("*", np.hstack(xs), np.concatenate(ebs), fits)] if joint else [
-            (name, xs[i], ebs[i], fits[i : i + 1]) for i, name in enumerate(names)
+        if joint:
+            names, xs, ebs = [",".join(names)], [np.hstack(xs)], [np.concatenate(ebs)]
+            fits = [np.concatenate(fits)] if fits else []
+        tables = [aux.reshape(x.shape[1], -1) for aux, x in zip(fits, xs)]
+        out = [
+            {
+                "part": key[0].as_py(), "tb": key[1].as_py(), "var": name, "method": method,
+                "n": writer.shape[0], "steps": writer.shape[1], "eb": writer.eb.tolist(),
+                "params": [*params.items(), ("fitted", float(bool(tables))), *writer.facts.items()],
+                "payload": writer.payload(),
+            }
+            for name, writer in zip(names, written(method, Job(local, k, params), xs, ebs, tables))
         ]
-        out = []
-        for name, x, eb, aux in jobs:
-            table = np.concatenate(aux).reshape(x.shape[1], -1) if aux else None
-            writer = Writer(x, eb)
-            if table is not None:
-                writer.note(lambda: table)
-            scan(Job(local, k, params, table), writer)
-            out.append(
-                {
-                    "part": key[0].as_py(), "tb": key[1].as_py(), "var": name, "method": method,
-                    "n": x.shape[0], "steps": x.shape[1], "eb": eb.tolist(),
-                    "params": [*params.items(), ("fitted", float(table is not None)), *writer.facts.items()],
-                    "payload": writer.payload(),
-                }
-            )
-            if joint:
-                out[-1]["var"] = ",".join(names)
         return pa.Table.from_pylist(out, _BLOB_ARROW)
 
     right = _windows(mesh, steps, batch, None if whole_lists else k, method in ("kriged", "fitted"))

@@ -272,3 +272,34 @@ def test_levels_interpolate_the_whole_order(spark, n):
     again = {(r.place, r.tb): r.decs for r in levels.decompress(blob, n, bounds).collect()}
     assert again == {k: r.decs for k, r in got.items()}
     assert n <= 5 or got[5, 0].q[0] == 0
+
+
+@pytest.mark.parametrize("method", ["neighbours", "interpolated", "adaptive", "masked", "kriged", "fitted"])
+def test_fields_of_a_block_are_written_as_if_alone(monkeypatch, method):
+    """Payloads and facts equal those of a scan per field; the neighbours' fronts are found once a part."""
+    rng = np.random.default_rng(8)
+    n, owner = 300, np.sort(rng.integers(1, 300, 900))
+    slots = np.array([rng.integers(0, o) for o in owner])
+
+    def mesh():
+        return blockscan.LocalMesh(np.searchsorted(owner, np.arange(n + 1)), slots, weights, spots)
+
+    weights, spots = rng.random(len(owner)) + 0.1, rng.random((n, 2))
+    xs = [(np.cumsum(rng.standard_normal((n, 5)), axis=0) * s).astype(np.float32) for s in (1, 30, 0.01, 5)]
+    for x in xs:
+        x[rng.random(n) < 0.2] = blockscan.SENTINEL
+    ebs = [np.full(5, e) for e in (0.1, 1.0, 0.01, 2.0)]
+    fits = [np.hstack([rng.integers(0, 2, (5, 1)), rng.random((5, 3))]).astype(float) for _ in xs] if method == "fitted" else []
+    options = {"min_neighbors": 3.0, "max_iter": 20.0}
+    alone = []
+    for i, (x, eb) in enumerate(zip(xs, ebs)):
+        writer = blockscan.Writer(x, eb)
+        if fits:
+            writer.note(lambda: fits[i])
+        blockscan.SCANS[method](blockscan.Job(mesh(), 4, options, fits[i] if fits else None), writer)
+        alone.append(writer)
+    found, made = [], blockscan.fronts
+    monkeypatch.setattr(blockscan, "fronts", lambda *a: found.append(1) or made(*a))
+    both = blockscan.written(method, blockscan.Job(mesh(), 4, options), xs, ebs, fits)
+    assert [w.payload() for w in both] == [w.payload() for w in alone] and [w.facts for w in both] == [w.facts for w in alone]
+    assert len(found) <= (4 if method == "masked" else 1)
