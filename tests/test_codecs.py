@@ -303,3 +303,48 @@ def test_fields_of_a_block_are_written_as_if_alone(monkeypatch, method):
     both = blockscan.written(method, blockscan.Job(mesh(), 4, options), xs, ebs, fits)
     assert [w.payload() for w in both] == [w.payload() for w in alone] and [w.facts for w in both] == [w.facts for w in alone]
     assert len(found) <= (4 if method == "masked" else 1)
+
+
+def test_kriging_of_rows_is_that_of_columns(spark):
+    """Reach and weights of numpy equal those of the column expressions; absent, coincident and useless neighbours too."""
+    from pyspark.sql import functions as F
+
+    from fieldloom.functions import kriged, kriged_rows
+
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(200):
+        m, p = 4 - i % 3, rng.uniform(0, 9, (5, 2)).round(i % 4)
+        near = [float(((p[j] - p[4]) ** 2).sum()) if j < m else None for j in range(4)]
+        pair = [float(((p[a] - p[b]) ** 2).sum()) if b < m else None for a, b in kriged_rows.PAIRS]
+        data.append((i, near, pair, [float(v) if j < m and (i % 7 or j != 1) else None for j, v in enumerate(rng.normal(0, 5, 4))]))
+    df = spark.createDataFrame(data, "i int, near array<double>, pair array<double>, v array<double>")
+    fitted = df.withColumn("f", kriged.fit(F.col("pair"), kriged.half_squares([F.col("v")[j] for j in range(4)])))
+    want = {r.i: r for r in fitted.select("i", "f.reach", kriged.weights(F.col("near"), F.col("pair"), F.col("f.reach")).alias("w")).collect()}
+    near, pair, v = (np.array([[np.nan if x is None else x for x in r[c]] for r in data]).T for c in (1, 2, 3))
+    apart = np.array([v[a] - v[b] for a, b in kriged_rows.PAIRS])
+    reach = kriged_rows.reach(pair, apart * apart / 2, ~np.isnan(pair) & ~np.isnan(apart))
+    got = kriged_rows.weights(near, pair, ~np.isnan(near), ~np.isnan(pair), reach)
+    assert sum(r.w is not None for r in want.values()) > 20 < sum(r.w is None for r in want.values())
+    for i in range(len(data)):
+        assert (want[i].reach is None and np.isnan(reach[i])) or abs(want[i].reach - reach[i]) < 1e-9
+        assert (want[i].w is None and np.isnan(got[:, i]).all()) or np.abs(np.array(want[i].w) - got[:, i]).max() < 1.5e-6
+
+
+def test_a_colour_is_one_job_whatever_predicts(spark, monkeypatch):
+    """Nothing but the rows themselves is stored beside the results; a vertex without a row gets no prediction and sends none."""
+    from fieldloom.plans import sweeps
+
+    stored, kept = [], sweeps.materialize
+    monkeypatch.setattr(sweeps, "materialize", lambda df, name, *by: stored.append(name) or kept(df, name, *by))
+    n = 12
+    rows = spark.createDataFrame([(i, 0, [float(i % 5), -99999.0, None]) for i in range(n) if i != 3] + [(3, 1, None)], "vid bigint, tb int, vals array<float>")
+    pairs = spark.createDataFrame([(i, j, 1.0 + abs(i - j)) for i in range(n + 2) for j in range(n + 2) if i != j], "src bigint, dst bigint, dist double")
+    edges = sweeps.causal_edges(pairs, 4)
+    bounds = spark.createDataFrame([(t, [0.1, 0.1, 0.1]) for t in (0, 1)], "tb int, eb array<double>")
+    blob = sweeps.compress(rows, edges, bounds, 4, True)
+    got = {(r.vid, r.tb): r for r in blob.collect()}
+    assert stored == ["causal", "sweep-own"] and len(got) == n and got[3, 1].decs is None and got[3, 1].q is None
+    for (i, _), r in got.items():
+        assert i == 3 or (abs(r.decs[0] - i % 5) < 0.1 and r.q[1:] == [-1, 0] and r.decs[1] == -99999.0 and r.decs[2] is None and r.raw[2] is None)
+    assert {(r.vid, r.tb): r.decs for r in sweeps.decompress(blob, edges, bounds, 4, True).collect()} == {k: r.decs for k, r in got.items()}
