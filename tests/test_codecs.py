@@ -305,6 +305,26 @@ def test_fields_of_a_block_are_written_as_if_alone(monkeypatch, method):
     assert len(found) <= (4 if method == "masked" else 1)
 
 
+def test_rounds_of_few_levels_give_what_one_round_gives(spark, monkeypatch):
+    """Blocks with halos: an order longer than a block is coded as if it were one, a slot that lacks a row included."""
+    from fieldloom.plans import levels
+
+    n, steps, eb = 150, 2, 0.25
+    x = np.cumsum(np.random.default_rng(3).normal(size=(n, 2, steps)), axis=0).astype(np.float32)
+    rows = spark.createDataFrame(
+        [(p, tb, 7 * p, [float(v) for v in x[p, tb]]) for p in range(n) for tb in range(2) if p != 77], "place bigint, tb int, vid bigint, vals array<float>"
+    )
+    bounds = spark.createDataFrame([(tb, [eb] * steps) for tb in range(2)], "tb int, eb array<double>")
+    whole = sorted(map(tuple, levels.compress(rows, n, bounds).collect()))
+    assert len(whole) == 2 * n - 2
+    for bits in (2, 3, 5):
+        monkeypatch.setattr(levels, "TIER", bits)
+        blob = levels.compress(rows, n, bounds, as_bytes=True)
+        back = levels.decompress(blob.withColumnRenamed("decs", "first"), n, bounds)
+        assert back.where("first <> decs").count() == 0 and back.count() == len(whole)
+        assert sorted(map(tuple, levels.compress(rows, n, bounds).collect())) == whole
+
+
 def test_kriging_of_rows_is_that_of_columns(spark):
     """Reach and weights of numpy equal those of the column expressions; absent, coincident and useless neighbours too."""
     from pyspark.sql import functions as F
