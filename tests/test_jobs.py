@@ -580,3 +580,28 @@ def test_points_in_no_cell_meet_few_of_the_wide_cells(monkeypatch):
     far = locate.Tree(spots[-2000:], locate.FINEST)
     locate.smallest_holders(far, np.repeat(cells[:1], 1000, axis=0), np.arange(1000), np.full(2000, 1 << 40))
     assert sum(tested) == 0
+
+
+def test_sizes_open_indices_alone_and_stored_pairs_are_not_stored_again(spark, monkeypatch):
+    """Bits need no samples: neither the encoder's nor the decoder's are read; components take pairs as they are."""
+    from fieldloom.catalogue import fields
+    from fieldloom.functions import packed
+    from fieldloom.operators import components as cc
+    from fieldloom.plans import sweeps
+
+    names = fields.tables.VARIABLES
+    monkeypatch.setattr(fields.tables, "steps", lambda *_: 3)
+    arrays = spark.createDataFrame([(i, 0, [i] * 12, [0.5] * 12, [0.5] * 11 + [None]) for i in range(5)], "vid bigint, tb int, q array<int>, first array<float>, decs array<float>")
+    both = packed.packed(arrays)
+    assert {f.dataType.simpleString() for f in both.schema.fields[2:]} == {"binary"}
+    assert sorted(map(tuple, sweeps.opened(both).collect())) == sorted(map(tuple, arrays.collect()))
+    short = fields._indices(spark, "", both)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, fields._long(spark, "", both).select("var", "t", "vid", "q").collect()))
+    assert short.count() == 5 * 3 * len(names) and "decs" not in short._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n")[0]
+    stored, kept = [], cc.materialize
+    monkeypatch.setattr(cc, "materialize", lambda df, name: stored.append(name) or kept(df, name))
+    pairs = kept(spark.createDataFrame([(0, 2), (2, 4), (1, 3)], "src bigint, dst bigint"), "pairs")
+    ways = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    vertices = spark.range(6).withColumnRenamed("id", "vid")
+    assert {r.vid: r.root for r in cc.components(vertices, ways, pairs).collect()} == {0: 0, 2: 0, 4: 0, 1: 1, 3: 1, 5: 5}
+    assert "cc-edges" not in stored
